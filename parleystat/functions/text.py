@@ -11,8 +11,8 @@ SPACE = r"[\s\x1c-\x1f]"
 
 def count_tokens(text: Column) -> Column:
     """Number of whitespace-separated tokens; a missing text has none."""
-    words = F.filter(F.split(text, f"(?U){SPACE}+"), lambda word: word != "")
-    return F.coalesce(F.size(words), F.lit(0)).cast("long")
+    words = F.array_remove(F.split(text, f"(?U){SPACE}+"), "")
+    return F.when(text.isNull(), 0).otherwise(F.size(words)).cast("long")
 
 
 def strip(text: Column) -> Column:

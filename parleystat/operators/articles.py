@@ -9,12 +9,10 @@ from pyspark.sql import functions as F
 
 from parleystat import schemas as S
 from parleystat.functions.text import prefix
-from parleystat.operators.skew import has_at_most, heavy_keys, lookup_join
+from parleystat.operators.skew import has_at_most, heavy_keys, salted_lookup_join
 
 # 2000 contexts of at most 10000 characters are at most 80 MB.
 BROADCAST_ARTICLES = 2_000
-# Fewer heavy articles than this can exist, and their contexts fit a broadcast for the same reason.
-MAX_HEAVY_ARTICLES = 2_000
 
 
 def last_of_each(articles: DataFrame, position: Sequence[str]) -> DataFrame:
@@ -25,17 +23,22 @@ def last_of_each(articles: DataFrame, position: Sequence[str]) -> DataFrame:
     return articles.groupBy("article_id").agg(newest.alias("newest")).select("article_id", "newest.text")
 
 
-def with_context(turns: DataFrame, articles: DataFrame, chars: int = S.MAX_ARTICLE_CHARS, **skew: int) -> DataFrame:
+def with_context(
+    turns: DataFrame,
+    articles: DataFrame,
+    spread: Sequence[str],
+    chars: int = S.MAX_ARTICLE_CHARS,
+    broadcast_rows: int = BROADCAST_ARTICLES,
+    **skew: int,
+) -> DataFrame:
     """Add `article_text`, the first `chars` characters of the turn's article, '' for an unknown one.
 
-    `articles` has one row per `article_id`. A corpus of checked size is broadcast; a larger one is
-    shuffled, with the articles of very many turns handled apart.
+    `articles` has one row per `article_id`; the `spread` columns tell turns apart. A corpus of checked
+    size is broadcast. A larger one is shuffled, with the turns of a popular article spread over tasks.
     """
     contexts = articles.select("article_id", prefix(F.col("text"), chars).alias("article_text"))
-    small = has_at_most(contexts, skew.pop("broadcast_rows", BROADCAST_ARTICLES))
-    if small:
+    if has_at_most(contexts, broadcast_rows):
         joined = turns.join(F.broadcast(contexts), "article_id", "left")
     else:
-        skew.setdefault("max_heavy", MAX_HEAVY_ARTICLES)
-        joined = lookup_join(turns, contexts, heavy_keys(turns, "article_id", **skew))
+        joined = salted_lookup_join(turns, contexts, heavy_keys(turns, "article_id", **skew), spread)
     return joined.withColumn("article_text", F.coalesce("article_text", F.lit("")))

@@ -142,7 +142,8 @@ def collect_moments(frame: DataFrame, models: Sequence[Model]) -> Moments:
             *[F.sum(values[i] * values[j]).alias(f"_p{i}_{j}") for i, j in pairs],
         )
     )
-    cells = grouped.limit(MAX_CELLS + 1).collect()
+    # A limit below the root is one job; as the root it would be a series of growing ones.
+    cells = grouped.limit(MAX_CELLS + 1).coalesce(1).collect()
     if len(cells) > MAX_CELLS:
         raise ValueError(f"{', '.join(categorical)} have more than {MAX_CELLS} level combinations")
     return Moments(numeric, samples, cells)

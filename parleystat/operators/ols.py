@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import cache, reduce
 from operator import add
 
 import numpy as np
@@ -50,13 +50,18 @@ class Fit:
         return reduce(add, parts)
 
 
+@cache
+def _quadrature() -> tuple[np.ndarray, np.ndarray]:
+    return np.polynomial.legendre.leggauss(200)
+
+
 def two_sided_p(t: float, df: int) -> float:
     """Student's t tail on both sides, as a ratio of integrals of cos^(df-1), by Gauss-Legendre."""
     if df <= 0 or math.isnan(t):
         return math.nan
     if math.isinf(t):
         return 0.0
-    nodes, weights = np.polynomial.legendre.leggauss(200)
+    nodes, weights = _quadrature()
     reach = 12.0 / math.sqrt(df)
 
     def area(start: float) -> tuple[float, float]:

@@ -64,6 +64,27 @@ def lookup_join(rows: DataFrame, table: DataFrame, heavy: HeavyKeys) -> DataFram
     return ordinary.unionByName(heavy.only(rows).join(F.broadcast(needed), key, "left").select(ordinary.columns))
 
 
+def salted_lookup_join(rows: DataFrame, table: DataFrame, heavy: HeavyKeys, spread: Sequence[str]) -> DataFrame:
+    """Left join with a table that has one row per key, for rows too costly to read twice.
+
+    The rows of a heavy key are dealt out over as many lanes as they fill, by a hash of the `spread`
+    columns, which must tell rows apart; the key's table row is copied to each of its lanes.
+    """
+    key = heavy.key
+    if not heavy:
+        return rows.join(table, key, "left")
+    lanes = heavy.table.select(F.col(key).alias("_heavy"), F.ceil(F.col("rows") / heavy.limit).alias("_lanes"))
+
+    def with_lanes(side: DataFrame) -> DataFrame:
+        return side.join(F.broadcast(lanes), side[key].eqNullSafe(F.col("_heavy")), "left")
+
+    lane = F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_lanes")), F.lit(0).cast("long"))
+    every = F.sequence(F.lit(0).cast("long"), F.coalesce("_lanes", F.lit(1)).cast("long") - 1)
+    salted = with_lanes(rows).withColumn("_lane", lane).drop("_heavy", "_lanes")
+    copies = with_lanes(table).withColumn("_lane", F.explode(every)).drop("_heavy", "_lanes")
+    return salted.join(copies, [key, "_lane"], "left").drop("_lane")
+
+
 def has_at_most(table: DataFrame, rows: int) -> bool:
     """Whether the table holds no more than `rows` rows; reads no columns and stops once it knows."""
     return table.select(F.lit(1).alias("one")).limit(rows + 1).count() <= rows

@@ -52,7 +52,8 @@ def analysis_frame(survey: DataFrame, utterances: DataFrame | None, **skew: int)
     scored = core_conditions(with_scores(survey)).select(*_FRAME)
     if utterances is None:
         return scored
-    return lookup_join(scored, token_totals(utterances), heavy_keys(scored, "person_id", **skew))
+    # Filtering can only thin a key out, so the unfiltered survey, counted from file footers, will do.
+    return lookup_join(scored, token_totals(utterances), heavy_keys(survey, "person_id", **skew))
 
 
 def complete_cases(frame: DataFrame, required: Sequence[str]) -> DataFrame:

@@ -26,6 +26,7 @@ from parleystat.plans.models import (
 from parleystat.plans.studies import needs_tokens, sample_sizes
 from parleystat.session import cut_lineage
 from parleystat.sources import writers
+from parleystat.streaming.replay import replay_turns
 from parleystat.streaming.sinks import drain, stream_token_totals
 from parleystat.streaming.turns import follow_turns
 
@@ -34,7 +35,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 ORDER = proxies.ORDER
 PROMPT = "Talk about the article in two sentences."
 # Small enough that most sessions of the test data count as heavy.
-FORCED_SKEW = {"floor": 25, "max_heavy": 10_000_000}
+FORCED_SKEW = {"floor": 25}
 
 
 def _six(table: DataFrame, *names: str) -> DataFrame:
@@ -278,13 +279,13 @@ def article_lookup(spark: SparkSession, folder: str) -> DataFrame:
     asked = proxies.table(spark, folder, "events").select(
         "event_id", (F.col("event_id") % 1999).cast("string").alias("article_id")
     )
-    return _digest(art.with_context(asked, proxies.articles(spark, folder)), "article_text", "event_id", "article_id")
+    return _digest(art.with_context(asked, proxies.articles(spark, folder), ("event_id",)), "article_text", "event_id", "article_id")
 
 
 def _article_context(**skew: int) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         resolved = turns.sticky_ids(*_turns(spark, folder), "text", ORDER).select("event_id", "session_id", "article_id")
-        joined = art.with_context(resolved, proxies.articles(spark, folder), **skew)
+        joined = art.with_context(resolved, proxies.articles(spark, folder), ("event_id",), **skew)
         return _digest(joined, "article_text", "event_id", "session_id", "article_id")
 
     return run
@@ -326,27 +327,38 @@ def log_preview(spark: SparkSession, folder: str) -> DataFrame:
 # Streams
 
 
-def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
+def _event_stream(spark: SparkSession, folder: str, max_bytes: int) -> DataFrame:
     schema = proxies.table(spark, folder, "events").schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    return files.selectExpr(*proxies.TURNS)
+    options = {"pathGlobFilter": "events.parquet", "maxBytesPerTrigger": max_bytes}
+    return spark.readStream.schema(schema).options(**options).parquet(folder).selectExpr(*proxies.TURNS)
 
 
 def _stream_turns(variant: str, *columns: str) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        followed = follow_turns(_event_stream(spark, folder), variant, ORDER)
+        followed = follow_turns(_event_stream(spark, folder, 256 << 20), variant, ORDER)
         drained = drain(followed, "turns")
         return drained.withColumn("eligible", F.col("eligible").cast("long")).select("event_id", "session_id", *columns)
 
     return run
 
 
+def _replayed_turns(variant: str, **skew: int) -> Query:
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        followed = replay_turns(_event_stream(spark, folder, 64 << 30), variant, ORDER, **skew)
+        return followed.select(
+            "event_id", "session_id", "turn_number", _long(F.col("eligible"), "eligible"), "article_id", "response_id"
+        )
+
+    return run
+
+
 def stream_tokens(spark: SparkSession, folder: str) -> DataFrame:
     documents = proxies.table(spark, folder, "documents").schema
     talks = proxies.table(spark, folder, "conversations").schema
 
     def stream(schema, name: str, key: str) -> DataFrame:
-        files = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+        options = {"pathGlobFilter": f"{name}.parquet", "maxBytesPerTrigger": 64 << 30}
+        files = spark.readStream.schema(schema).options(**options).parquet(folder)
         return files.select(F.col(key).alias("person_id"), "text")
 
     both = stream(documents, "documents", "doc_id").unionByName(stream(talks, "conversations", "conv_id"))
@@ -406,7 +418,7 @@ def _catalogue() -> dict[str, tuple[Query, str | None]]:
         "article_lookup": (article_lookup, oracle.article_lookup()),
         "article_context": (_article_context(), oracle.article_context()),
         "article_context_split": (
-            _article_context(broadcast_rows=0, floor=25, max_heavy=10_000_000), oracle.article_context()
+            _article_context(broadcast_rows=0, **FORCED_SKEW), oracle.article_context()
         ),
         "log_to_utterances": (log_to_utterances, oracle.log_to_utterances()),
         "log_token_totals": (log_token_totals, oracle.utterance_tokens_from_log()),
@@ -426,6 +438,7 @@ def _catalogue() -> dict[str, tuple[Query, str | None]]:
         }
         every = ("turn_number", "eligible", "article_id", "response_id")
         found[f"stream_turns_{variant}"] = (_stream_turns(variant, *every), oracle.stream_follow(variant))
+        found[f"stream_replay_{variant}"] = (_replayed_turns(variant), oracle.stream_follow(variant))
     return found
 
 

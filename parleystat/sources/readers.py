@@ -67,9 +67,9 @@ def read_turn_log(spark: SparkSession, path: str, fmt: str = "parquet", session_
     return log if session_id is None else log.where(F.col("session_id") == session_id)
 
 
-def stream_turn_log(spark: SparkSession, path: str, fmt: str = "parquet", max_files: int = 100) -> DataFrame:
-    """The log as a stream; `max_files` bounds what one micro-batch takes in."""
-    return spark.readStream.schema(S.TURN_LOG).format(fmt).option("maxFilesPerTrigger", max_files).load(path)
+def stream_turn_log(spark: SparkSession, path: str, fmt: str = "parquet", max_bytes: int = 256 << 20) -> DataFrame:
+    """The log as a stream; `max_bytes` bounds what one micro-batch takes in."""
+    return spark.readStream.schema(S.TURN_LOG).format(fmt).option("maxBytesPerTrigger", max_bytes).load(path)
 
 
 def articles_from_json(lists: DataFrame) -> DataFrame:

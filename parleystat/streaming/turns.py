@@ -1,7 +1,8 @@
 """Turn numbers, eligibility and sticky identifiers as stateful streams.
 
-State per session is one count and two short strings. Only narrow columns reach Python. A micro-batch
-is bounded by the source's per-trigger limit, and with it the rows any session brings at once.
+State per session is one count and two short strings, and only narrow columns reach Python. A session's
+rows of one micro-batch meet in one task, so the source must bound the micro-batch
+(`maxBytesPerTrigger`). To work off a large backlog in large micro-batches, use `replay`.
 """
 
 from __future__ import annotations
@@ -27,6 +28,32 @@ _STATE = T.StructType(
 )
 
 
+def narrow_turns(turns: DataFrame, order: Sequence[str]) -> DataFrame:
+    """What numbering and identifiers need of a turn."""
+    return turns.select(
+        "session_id",
+        *order,
+        "ArticleID",
+        "ResponseID",
+        chat.is_counted(F.col("user_input")).alias("counted"),
+        *[value.alias(name) for name, value in stored_ids().items()],
+    )
+
+
+def followed_columns(followed: DataFrame, variant: str, order: Sequence[str]) -> DataFrame:
+    """The published columns, from what came before each turn."""
+    prior = F.col("prior_turns")
+    ids = resolved_ids(F.col("prior_stored_article"), F.col("prior_stored_response"), variant)
+    return followed.select(
+        "session_id",
+        *order,
+        prior,
+        F.when(F.col("counted"), prior + 1).otherwise(F.lit(0).cast("long")).alias("turn_number"),
+        (F.col("counted") & (prior >= S.MIN_TURNS_FOR_CODE)).alias("eligible"),
+        *[value.alias(name) for name, value in ids.items()],
+    )
+
+
 def _follow(order: list[str]):
     def follow(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         turns, article, response = state.get if state.exists else (0, None, None)
@@ -50,14 +77,7 @@ def follow_turns(turns: DataFrame, variant: str = "text", order: Sequence[str] =
 
     Turns of a session are taken in `order` within a micro-batch and in arrival order across them.
     """
-    narrow = turns.select(
-        "session_id",
-        *order,
-        F.col("ArticleID"),
-        F.col("ResponseID"),
-        chat.is_counted(F.col("user_input")).alias("counted"),
-        *[value.alias(name) for name, value in stored_ids().items()],
-    )
+    narrow = narrow_turns(turns, order)
     kept = [f for f in narrow.schema if f.name not in ("stored_article", "stored_response")]
     schema = T.StructType(
         kept
@@ -70,13 +90,4 @@ def follow_turns(turns: DataFrame, variant: str = "text", order: Sequence[str] =
     followed = narrow.groupBy("session_id").applyInPandasWithState(
         _follow(list(order)), schema, _STATE, "append", GroupStateTimeout.NoTimeout
     )
-    prior = F.col("prior_turns")
-    ids = resolved_ids(F.col("prior_stored_article"), F.col("prior_stored_response"), variant)
-    return followed.select(
-        "session_id",
-        *order,
-        prior,
-        F.when(F.col("counted"), prior + 1).otherwise(F.lit(0).cast("long")).alias("turn_number"),
-        (F.col("counted") & (prior >= S.MIN_TURNS_FOR_CODE)).alias("eligible"),
-        *[value.alias(name) for name, value in ids.items()],
-    )
+    return followed_columns(followed, variant, order)
