@@ -18,6 +18,8 @@ def local_session(cpus: int | str = "*", memory: str = "8g", app: str = "parleys
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.sql.session.timeZone", "UTC")
+        # Turn histories grow fiftyfold after their shuffle, so small partitions are worth their tasks.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )

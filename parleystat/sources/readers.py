@@ -80,20 +80,19 @@ def articles_from_json(lists: DataFrame) -> DataFrame:
     """
     items = lists.select(
         "path",
-        F.posexplode(F.from_json("value", "array<map<string,string>>")).alias("pos", "item"),
-        F.try_parse_json("value").alias("document"),
-    ).where(F.map_contains_key("item", "article_id") & F.map_contains_key("item", "text"))
-    raw = F.col("item")["article_id"]
-    kind = F.schema_of_variant(
-        F.try_variant_get("document", F.concat(F.lit("$["), F.col("pos").cast("string"), F.lit("].article_id")), "variant")
+        F.posexplode(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")).alias("pos", "item"),
     )
-    written = F.when(kind == "BOOLEAN", F.initcap(raw)).otherwise(F.coalesce(raw, F.lit("None")))
-    return last_of_each(
-        items.select("path", "pos", written.alias("article_id"), F.col("item")["text"].alias("text")), ("path", "pos")
+    key, text = (F.try_variant_get("item", f"$.{name}", "variant") for name in ("article_id", "text"))
+    raw = F.try_variant_get("item", "$.article_id", "string")
+    written = F.when(F.schema_of_variant(key) == "BOOLEAN", F.initcap(raw)).otherwise(F.coalesce(raw, F.lit("None")))
+    kept = items.where(key.isNotNull() & text.isNotNull())
+    texts = kept.select(
+        "path", "pos", written.alias("article_id"), F.try_variant_get("item", "$.text", "string").alias("text")
     )
+    return last_of_each(texts, ("path", "pos"))
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
     """Article corpus of one or more JSON files, each of them a list of objects."""
-    lists = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    lists = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     return articles_from_json(lists)

@@ -18,8 +18,8 @@ def append_turns(turns: DataFrame, path: str) -> None:
 
 def union_of_documents(parts: Sequence[DataFrame]) -> DataFrame:
     """Documents with differing keys in one table: the union of their columns, `_id` as text."""
-    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return whole.withColumn("_id", F.col("_id").cast("string")) if "_id" in whole.columns else whole
+    texted = [p.withColumn("_id", F.col("_id").cast("string")) if "_id" in p.columns else p for p in parts]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), texted)
 
 
 def export_csv(log: DataFrame, path: str) -> None:
