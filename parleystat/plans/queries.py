@@ -328,9 +328,9 @@ def log_preview(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _event_stream(spark: SparkSession, folder: str, max_bytes: int) -> DataFrame:
-    schema = proxies.table(spark, folder, "events").schema
     options = {"pathGlobFilter": "events.parquet", "maxBytesPerTrigger": max_bytes}
-    return spark.readStream.schema(schema).options(**options).parquet(folder).selectExpr(*proxies.TURNS)
+    events = spark.readStream.schema(proxies.TABLES["events"]).options(**options).parquet(folder)
+    return events.selectExpr(*proxies.TURNS)
 
 
 def _stream_turns(variant: str, *columns: str) -> Query:
@@ -353,16 +353,12 @@ def _replayed_turns(variant: str, **skew: int) -> Query:
 
 
 def stream_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    documents = proxies.table(spark, folder, "documents").schema
-    talks = proxies.table(spark, folder, "conversations").schema
-
-    def stream(schema, name: str, key: str) -> DataFrame:
+    def said(name: str, key: str) -> DataFrame:
         options = {"pathGlobFilter": f"{name}.parquet", "maxBytesPerTrigger": 64 << 30}
-        files = spark.readStream.schema(schema).options(**options).parquet(folder)
-        return files.select(F.col(key).alias("person_id"), "text")
+        rows = spark.readStream.schema(proxies.TABLES[name]).options(**options).parquet(folder)
+        return rows.select(F.col(key).alias("person_id"), "text")
 
-    both = stream(documents, "documents", "doc_id").unionByName(stream(talks, "conversations", "conv_id"))
-    return stream_token_totals(both)
+    return stream_token_totals(said("documents", "doc_id").unionByName(said("conversations", "conv_id")))
 
 
 def _catalogue() -> dict[str, tuple[Query, str | None]]:
