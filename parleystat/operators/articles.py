@@ -29,16 +29,19 @@ def with_context(
     spread: Sequence[str],
     chars: int = S.MAX_ARTICLE_CHARS,
     broadcast_rows: int = BROADCAST_ARTICLES,
+    counted: DataFrame | None = None,
     **skew: int,
 ) -> DataFrame:
     """Add `article_text`, the first `chars` characters of the turn's article, '' for an unknown one.
 
     `articles` has one row per `article_id`; the `spread` columns tell turns apart. A corpus of checked
-    size is broadcast. A larger one is shuffled, with the turns of a popular article spread over tasks.
+    size is broadcast. A larger one is shuffled, with the turns of a popular article spread over tasks;
+    `counted` may name a cheaper frame with the same article ids, to find the popular ones in.
     """
     contexts = articles.select("article_id", prefix(F.col("text"), chars).alias("article_text"))
     if has_at_most(contexts, broadcast_rows):
         joined = turns.join(F.broadcast(contexts), "article_id", "left")
     else:
-        joined = salted_lookup_join(turns, contexts, heavy_keys(turns, "article_id", **skew), spread)
+        popular = heavy_keys(turns if counted is None else counted, "article_id", **skew)
+        joined = salted_lookup_join(turns, contexts, popular, spread)
     return joined.withColumn("article_text", F.coalesce("article_text", F.lit("")))

@@ -130,7 +130,7 @@ def prompt_messages(
     ).withColumns(resolved_ids(F.col("stored_article"), F.col("stored_response"), variant))
     entry = F.struct(user.alias("user_input"), bot.alias("bot_response"))
     rows = _with_history(scanned.drop("stored_article", "stored_response"), heavy, contributes, entry).where(asked)
-    rows = with_context(rows, articles, ("session_id", *order), **skew)
+    rows = with_context(rows, articles, ("session_id", *order), counted=scanned, **skew)
 
     opening = [F.array(_message("system", F.lit(system_prompt)))]
     if variant == "avatar":

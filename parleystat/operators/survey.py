@@ -62,7 +62,7 @@ def complete_cases(frame: DataFrame, required: Sequence[str]) -> DataFrame:
 
 def condition_summary(frame: DataFrame, outcomes: Sequence[str]) -> DataFrame:
     """Bar-chart series: mean, sample deviation, count and standard error per condition and outcome,
-    with the upper end of the axis. A condition with a single answer has no deviation and is dropped."""
+    with the ends of the axis. A condition with a single answer has no deviation and is dropped."""
     stats = frame.groupBy("condition").agg(
         *[
             F.struct(
@@ -70,6 +70,7 @@ def condition_summary(frame: DataFrame, outcomes: Sequence[str]) -> DataFrame:
                 F.avg(name).alias("mean"),
                 F.stddev_samp(name).alias("std"),
                 F.count(name).alias("count"),
+                F.lit(0).alias("axis_min"),
                 F.lit(5 if name == "anthropomorphism_score" else 7).alias("axis_max"),
             ).alias(name)
             for name in outcomes

@@ -249,7 +249,7 @@ def condition_summary(model: str, outcomes: Sequence[str]) -> str:
     parts = [
         f"""select condition, '{y}' as outcome, round(avg({y}), 6) + 0.0 as mean, round(stddev_samp({y}), 6) + 0.0 as std,
   count({y})::bigint as count, round(stddev_samp({y}) / sqrt(count({y})), 6) + 0.0 as sem,
-  {5 if y == 'anthropomorphism_score' else 7}::bigint as axis_max
+  0::bigint as axis_min, {5 if y == 'anthropomorphism_score' else 7}::bigint as axis_max
 from frame where {SAMPLES[model]} group by condition having count({y}) > 1"""
         for y in outcomes
     ]
@@ -376,7 +376,11 @@ def url_params() -> str:
 
 
 def article_corpus() -> str:
-    return f"with {ARTICLE_CTE} select article_id, md5(text) as text_digest, length(text)::bigint as chars from article"
+    return """with last as (select doc_id // 2 as k, max(doc_id) as doc_id from documents group by doc_id // 2)
+select k::varchar as article_id,
+  case when last.doc_id % 10 <> 9 then length(text)::bigint end as chars,
+  case when last.doc_id % 10 <> 9 then md5(text) end as text_digest
+from last join documents on documents.doc_id = last.doc_id"""
 
 
 def article_lookup() -> str:

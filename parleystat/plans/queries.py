@@ -26,6 +26,7 @@ from parleystat.plans.models import (
 from parleystat.plans.studies import needs_tokens, sample_sizes
 from parleystat.session import cut_lineage
 from parleystat.sources import writers
+from parleystat.sources.readers import articles_from_json
 from parleystat.streaming.replay import replay_turns
 from parleystat.streaming.sinks import drain, stream_token_totals
 from parleystat.streaming.turns import follow_turns
@@ -94,7 +95,7 @@ def _summary(models: Callable[[], list[Model]]) -> Query:
         chosen = models()
         cases = survey.complete_cases(_frame(spark, folder, chosen), chosen[0].required)
         table = survey.condition_summary(cases, [m.outcome for m in chosen])
-        return _six(table.withColumn("axis_max", F.col("axis_max").cast("long")), "mean", "std", "sem")
+        return _six(table.withColumns({n: F.col(n).cast("long") for n in ("axis_min", "axis_max")}), "mean", "std", "sem")
 
     return run
 
@@ -271,8 +272,16 @@ def _digest(table: DataFrame, text: str, *keys: str) -> DataFrame:
 
 
 def article_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    corpus = art.last_of_each(proxies.articles(spark, folder).withColumn("pos", F.length("text")), ("pos",))
-    return _digest(corpus, "text", "article_id")
+    """Every document as a JSON list of two items: an article under an id that two documents share, and
+    a second item that lacks a text or, for some documents, replaces it by null."""
+    key = F.floor(F.col("doc_id") / 2).cast("string")
+    first = F.to_json(F.struct(key.alias("article_id"), "text"))
+    empty = F.when(F.col("doc_id") % 10 == 9, ', "text": null}').otherwise("}")
+    second = F.concat(F.lit('{"article_id": "'), key, F.lit('"'), empty)
+    value = F.concat(F.lit("["), first, F.lit(",\n"), second, F.lit("]"))
+    path = F.lpad(F.col("doc_id").cast("string"), 20, "0")
+    lists = proxies.table(spark, folder, "documents").select(path.alias("path"), value.alias("value"))
+    return _digest(articles_from_json(lists), "text", "article_id")
 
 
 def article_lookup(spark: SparkSession, folder: str) -> DataFrame:

@@ -43,11 +43,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Write `frame` to the shared folder once, so that later passes neither repeat its work nor
-    depend on the executors that did it."""
-    spark = frame.sparkSession
-    folder = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return frame.checkpoint()
+def cut_lineage(frame: DataFrame, name: str = "frame") -> DataFrame:
+    """Write `frame` to a table below the shared folder and read it from there, so that later passes
+    neither repeat its work nor depend on the executors that did it."""
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)

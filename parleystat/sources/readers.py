@@ -73,22 +73,21 @@ def stream_turn_log(spark: SparkSession, path: str, fmt: str = "parquet", max_by
 
 
 def articles_from_json(lists: DataFrame) -> DataFrame:
-    """(article_id, text) from rows (path, value) that each hold one JSON list.
+    """(article_id, text) from rows (path, value) that each hold one JSON list of objects.
 
-    Items lacking either key are skipped, a document that is no list gives nothing, and the last of
+    Items lacking either key are skipped, a document that is no such list gives nothing, and the last of
     several items with one id wins. Ids are written as Python's str() writes them.
     """
-    items = lists.select(
-        "path",
-        F.posexplode(F.try_variant_get(F.try_parse_json("value"), "$", "array<variant>")).alias("pos", "item"),
-    )
-    key, text = (F.try_variant_get("item", f"$.{name}", "variant") for name in ("article_id", "text"))
-    raw = F.try_variant_get("item", "$.article_id", "string")
-    written = F.when(F.schema_of_variant(key) == "BOOLEAN", F.initcap(raw)).otherwise(F.coalesce(raw, F.lit("None")))
-    kept = items.where(key.isNotNull() & text.isNotNull())
-    texts = kept.select(
-        "path", "pos", written.alias("article_id"), F.try_variant_get("item", "$.text", "string").alias("text")
+    items = lists.select("path", F.posexplode(F.from_json("value", "array<map<string,variant>>")).alias("pos", "item"))
+    kept = items.where(F.map_contains_key("item", "article_id") & F.map_contains_key("item", "text"))
+    key = F.col("item")["article_id"]
+    kind, raw = F.schema_of_variant(key), key.cast("string")
+    written = (
+        F.when(kind == "BOOLEAN", F.initcap(raw))
+        .when(F.regexp_like(kind, F.lit(r"^DECIMAL\((\d|1[0-8]),0\)$")), F.concat(raw, F.lit(".0")))
+        .otherwise(F.coalesce(raw, F.lit("None")))
     )
+    texts = kept.select("path", "pos", written.alias("article_id"), F.col("item")["text"].cast("string").alias("text"))
     return last_of_each(texts, ("path", "pos"))
 
 

@@ -55,19 +55,28 @@ def followed_columns(followed: DataFrame, variant: str, order: Sequence[str]) ->
 
 
 def _follow(order: list[str]):
+    def before(values: list, held: str | None) -> tuple[list, str | None]:
+        """What was held before each value, where a missing value changes nothing; and what is held last."""
+        held_before = []
+        for value in values:
+            held_before.append(held)
+            held = value if isinstance(value, str) else held
+        return held_before, held
+
     def follow(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         turns, article, response = state.get if state.exists else (0, None, None)
-        rows = pd.concat(list(chunks), ignore_index=True).sort_values(order, kind="stable", na_position="first")
-        counted = rows["counted"].astype("int64")
+        parts = list(chunks)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        if len(rows) > 1:
+            rows = rows.sort_values(order, kind="stable", na_position="first", ignore_index=True)
+        counted = rows["counted"].to_numpy(dtype="int64")
+        articles, article = before(rows.pop("stored_article").tolist(), article)
+        responses, response = before(rows.pop("stored_response").tolist(), response)
         rows["prior_turns"] = turns + counted.cumsum() - counted
-        for name, value in (("stored_article", article), ("stored_response", response)):
-            filled = rows[name].ffill()
-            rows[f"prior_{name}"] = filled.shift(1).astype(object).where(filled.shift(1).notna(), value)
-            last = filled.iloc[-1]
-            if isinstance(last, str):
-                article, response = (last, response) if name == "stored_article" else (article, last)
+        rows["prior_stored_article"] = articles
+        rows["prior_stored_response"] = responses
         state.update((turns + int(counted.sum()), article, response))
-        yield rows.drop(columns=["stored_article", "stored_response"])
+        yield rows
 
     return follow
 

@@ -95,16 +95,19 @@ def test_article_corpus(spark, tmp_path):
         {"article_id": 5, "text": "five"}, {"article_id": "6", "text": "six"}, {"article_id": 5, "text": "again"},
         {"article_id": 7}, {"text": "lost"}, {"article_id": 8, "text": None}, {"article_id": None, "text": "none"},
         {"article_id": True, "text": "yes"}, {"article_id": "true", "text": "word"}, {"article_id": 2.5, "text": "é\n"},
+        {"article_id": 4.0, "text": "four"},
         {"article_id": 9, "text": "old"}, {"article_id": 9, "text": None, "more": [1, {"a": 2}]},
     ]
     assert articles(spark, tmp_path / "a", items) == {
         "5": "again", "6": "six", "8": None, "None": "none", "True": "yes", "true": "word", "2.5": "é\n", "9": None,
+        "4.0": "four",
     }
 
 
 def test_article_corpus_must_be_a_list(spark, tmp_path):
     assert articles(spark, tmp_path / "a", {"article_id": 1, "text": "x"}) == {}
     assert articles(spark, tmp_path / "b", "not json") == {}
+    assert articles(spark, tmp_path / "d", [{"article_id": 1, "text": "x"}, 2]) == {}
     assert articles(spark, tmp_path / "c", [{"article_id": 1, "text": "x"}], [{"article_id": 1, "text": "y"}]) == {"1": "y"}
 
 
