@@ -64,6 +64,14 @@ def indicator_name(column: str, level: str) -> str:
     return f"C({quoted})[T.{level}]"
 
 
+def in_order(levels: set[str]) -> list[str]:
+    """Levels that are all numbers sort as numbers, others as text."""
+    try:
+        return sorted(levels, key=float)
+    except ValueError:
+        return sorted(levels)
+
+
 @dataclass(frozen=True)
 class Moments:
     numeric: tuple[str, ...]
@@ -82,7 +90,7 @@ class Moments:
         cells = self._sample(model)
         terms = [Term("Intercept")]
         for column in model.categorical:
-            levels = sorted({cell[column] for cell in cells})
+            levels = in_order({cell[column] for cell in cells})
             terms += [Term(indicator_name(column, level), column, level) for level in levels[1:]]
         terms += [Term(column, column) for column in model.numeric]
         if len(terms) > MAX_TERMS:

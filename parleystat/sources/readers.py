@@ -67,6 +67,22 @@ def read_turn_log(spark: SparkSession, path: str, fmt: str = "parquet", session_
     return log if session_id is None else log.where(F.col("session_id") == session_id)
 
 
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """A dump of log documents, one JSON object per line, whose keys may differ: the union of the keys.
+
+    Dumps wrap identifiers and times as `{"$oid": ...}` and `{"$date": ...}`; these are unwrapped.
+    """
+    raw = spark.read.option("primitivesAsString", True).json(path)
+
+    def plain(field: T.StructField) -> Column:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, T.StructType) and field.dataType.names in (["$oid"], ["$date"]):
+            column = column[field.dataType.names[0]]
+        return column.alias(field.name)
+
+    return raw.select(*[plain(field) for field in raw.schema])
+
+
 def stream_turn_log(spark: SparkSession, path: str, fmt: str = "parquet", max_bytes: int = 256 << 20) -> DataFrame:
     """The log as a stream; `max_bytes` bounds what one micro-batch takes in."""
     return spark.readStream.schema(S.TURN_LOG).format(fmt).option("maxBytesPerTrigger", max_bytes).load(path)

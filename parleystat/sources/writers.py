@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parleystat import schemas as S
 
@@ -23,7 +24,10 @@ def union_of_documents(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def export_csv(log: DataFrame, path: str) -> None:
-    """The log as CSV files with a header. Line breaks and quotes inside cells survive a re-read."""
+    """The log as CSV files with a header. Line breaks and quotes inside cells survive a re-read; nested
+    values are written as JSON."""
+    nested = [f.name for f in log.schema if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))]
+    log = log.withColumns({name: F.to_json(F.col(f"`{name}`")) for name in nested}) if nested else log
     log.write.mode("overwrite").options(header=True, escape='"').csv(path)
 
 

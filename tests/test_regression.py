@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parleystat import schemas as S
 from parleystat.operators import ols, survey
-from parleystat.operators.moments import MAX_TERMS, Model, collect_moments
+from parleystat.operators.moments import MAX_TERMS, Model, collect_moments, in_order
 from parleystat.plans import proxies
 from parleystat.plans.models import mediation_models, regression_models
 from parleystat.plans.studies import run_models
@@ -138,6 +138,11 @@ def test_reference_level_comes_from_the_sample(spark):
     assert [t.name for t in fit.terms] == ["Intercept", "C(g)[T.c]", "x"]
 
 
+def test_numeric_levels_sort_as_numbers():
+    assert in_order({"10", "9", "2"}) == ["2", "9", "10"]
+    assert in_order({"10", "9", "x"}) == ["10", "9", "x"]
+
+
 def test_too_many_levels_and_no_rows(spark):
     rows = [(float(i), float(i), 0.0, f"g{i}") for i in range(MAX_TERMS + 20)]
     model = Model("m", "y", ("x",), ("g",), ("y", "x", "g"))

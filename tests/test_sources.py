@@ -8,6 +8,7 @@ import json
 import pytest
 
 from parleystat import schemas as S
+from parleystat.__main__ import main
 from parleystat.plans.studies import run_mediation, run_regression
 from parleystat.sources import readers, writers
 
@@ -136,3 +137,24 @@ def test_export_and_preview(spark, tmp_path):
     assert {(r["_id"], r["user_input"], r["note"]) for r in back.collect()} == {("id1", TURN[5], None), ("2", None, "bye")}
     many = spark.range(20).withColumnRenamed("id", "_id")
     assert [r["_id"] for r in writers.preview(many, ["_id"]).collect()] == [0, 1, 2, 3, 4]
+
+
+def test_documents_with_differing_keys(spark, tmp_path):
+    lines = [
+        {"_id": {"$oid": "a1"}, "session_id": "s", "turn_number": 1, "response_time": {"$date": "2024-05-01T12:00:00Z"}},
+        {"_id": {"$oid": "a2"}, "session_id": "t", "bot_response": "x,\ny", "more": {"k": [1]}},
+    ]
+    (tmp_path / "dump.json").write_text("\n".join(map(json.dumps, lines)))
+    main(["export", str(tmp_path / "dump.json"), str(tmp_path / "out")])
+    rows = spark.read.options(header=True, multiLine=True, escape='"').csv(str(tmp_path / "out")).orderBy("_id").collect()
+    assert [r["_id"] for r in rows] == ["a1", "a2"]
+    assert rows[0]["response_time"] == "2024-05-01T12:00:00Z" and rows[0]["bot_response"] is None
+    assert rows[1]["bot_response"] == "x,\ny" and json.loads(rows[1]["more"]) == {"k": ["1"]}
+
+
+def test_command_line(spark, inputs, capsys):
+    survey_path, talk_path, folder = inputs
+    main(["regression", survey_path, talk_path, str(folder / "a"), "--spec", "2"])
+    main(["mediation", survey_path, talk_path, str(folder / "b")])
+    printed = capsys.readouterr().out
+    assert "spec2 EMP_1: 29 rows" in printed and "path_a anthropomorphism: 30 rows" in printed
