@@ -128,7 +128,9 @@ def prompt_messages(
         },
         lasts=stored_ids(),
     ).withColumns(resolved_ids(F.col("stored_article"), F.col("stored_response"), variant))
-    entry = F.struct(user.alias("user_input"), bot.alias("bot_response"))
+    # An unusable record of the text chat takes up a place in the history but says nothing there.
+    pair = F.array(_message("user", user), _message("assistant", bot))
+    entry = F.when(usable, pair).otherwise(F.array().cast(S.MESSAGES))
     rows = _with_history(scanned.drop("stored_article", "stored_response"), heavy, contributes, entry).where(asked)
     rows = with_context(rows, articles, ("session_id", *order), counted=scanned, **skew)
 
@@ -138,13 +140,7 @@ def prompt_messages(
         opening.append(F.array(_message("system", F.concat(F.lit(S.TURN_PREFACE), number))))
     article = _message("system", F.concat(F.lit(S.ARTICLE_PREFACE[variant]), F.col("article_text")))
     opening.append(F.coalesce(F.when(F.col("article_text") != "", F.array(article)), F.array().cast(S.MESSAGES)))
-    past = F.filter("history", lambda h: chat.is_usable(h["user_input"], h["bot_response"]))
-    spoken = F.flatten(
-        F.transform(
-            past, lambda h: F.array(_message("user", h["user_input"]), _message("assistant", h["bot_response"]))
-        )
-    )
     closing = F.array(_message("user", current))
-    return rows.withColumn("messages", F.concat(*opening, spoken, closing)).drop(
+    return rows.withColumn("messages", F.concat(*opening, F.flatten("history"), closing)).drop(
         "history", "article_text", "prior", "prior_records", "prior_turns"
     )

@@ -160,7 +160,8 @@ def fit_statistics(spark: SparkSession, fits: Sequence[Fit]) -> DataFrame:
 
 
 def predictions(frame: DataFrame, fit: Fit) -> DataFrame:
-    """Actual, fitted and residual value of every row of the model's sample, unrounded."""
+    """Actual, fitted and residual value of every row of the model's sample, unrounded. The tokens are
+    listed wherever the frame has them, whether or not the model uses them."""
     actual = F.col(f"`{fit.model.outcome}`").cast("double")
     mediator = ["anthropomorphism_score"] if "anthropomorphism_score" in fit.model.numeric else []
     return complete_cases(frame, fit.model.required).select(
@@ -173,7 +174,7 @@ def predictions(frame: DataFrame, fit: Fit) -> DataFrame:
         "condition",
         "condition_avatar",
         *mediator,
-        "total_tokens",
+        *[name for name in ("total_tokens",) if name in frame.columns],
         S.SEX,
         f"`{S.ETHNICITY}`",
         "extraversion_score",

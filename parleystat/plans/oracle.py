@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from parleystat import schemas as S
 from parleystat.plans.proxies import REQUESTS, SURVEY, TURNS
 
 _SPACES = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -235,6 +236,17 @@ def survey_scores() -> str:
   ethnicity_simplified as "Ethnicity simplified", {', '.join(rounded(c) for c in scores)} from scored"""
 
 
+def survey_csv() -> str:
+    scores = ("EMP_Mean", "anthropomorphism_score", "extraversion_score", "agreeableness_score")
+    return f"""with {SCORED_CTE} select person_id, condition, Sex, ethnicity_simplified as "Ethnicity simplified",
+  {', '.join(rounded(c) for c in scores)} from scored"""
+
+
+def log_append() -> str:
+    return f"""with {NUMBERED_CTE} select event_id, session_id, ArticleID, ResponseID, user_input, bot_response,
+  turn_number::bigint as turn_number from numbers"""
+
+
 def person_tokens() -> str:
     return f"with {TOKENS_CTE} select person_id, total_tokens from tokens"
 
@@ -396,14 +408,6 @@ select event_id, session_id, resolved.article_id,
 from resolved left join article using (article_id)"""
 
 
-_PREFACE = {
-    "text": "Background context for this conversation. "
-    "Use it to inform your answers, but DO NOT reveal or quote verbatim unless asked.",
-    "avatar": "Background context for this conversation. Use it to inform your answers, "
-    "but do NOT reveal or quote the article verbatim unless explicitly asked by the user.",
-}
-
-
 def messages(variant: str, prompt: str) -> str:
     edge = f"[{_SPACES}]+"
     strip = f"regexp_replace(user_input, '^{edge}|{edge}$', '', 'g')"
@@ -428,7 +432,7 @@ prompted as (
     join prior p on p.event_id = n.event_id where {keep_turn.replace('user_input', 'n.user_input')}),
 part(event_id, place, role, content) as (
   select event_id, 0, 'system', '{prompt}' from prompted {number} union all
-  select event_id, 2, 'system', '{_PREFACE[variant]}' || chr(10) || chr(10) || substring(a.text, 1, 10000)
+  select event_id, 2, 'system', '{S.ARTICLE_PREFACE[variant].rstrip()}' || chr(10) || chr(10) || substring(a.text, 1, 10000)
     from prompted join article a using (article_id) where a.text <> '' union all
   select p.event_id, 10 * e.place, 'user', e.user_input from prompted p join entry e
     on e.session_id = p.session_id and e.place <= p.entries and (p.entries <= 50 or e.place <= 5 or e.place > p.entries - 45)

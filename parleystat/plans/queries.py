@@ -24,9 +24,8 @@ from parleystat.plans.models import (
     total_effect_models,
 )
 from parleystat.plans.studies import needs_tokens, sample_sizes
-from parleystat.session import cut_lineage
-from parleystat.sources import writers
-from parleystat.sources.readers import articles_from_json
+from parleystat.session import cut_lineage, scratch_path
+from parleystat.sources import readers, writers
 from parleystat.streaming.replay import replay_turns
 from parleystat.streaming.sinks import drain, stream_token_totals
 from parleystat.streaming.turns import follow_turns
@@ -159,6 +158,46 @@ def prediction_bounds(spark: SparkSession, folder: str) -> DataFrame:
     return _six(ols.identity_line(first.unionByName(second)), "low", "high")
 
 
+# Files: what is written and read back
+
+
+def survey_csv(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "survey")
+    writers.export_csv(proxies.survey(spark, folder), path)
+    scored = survey.core_conditions(survey.with_scores(readers.read_survey(spark, path)))
+    person = F.col("person_id").cast("long").alias("person_id")
+    shown = scored.select(person, "condition", S.SEX, f"`{S.ETHNICITY}`", *_SCORES)
+    return _six(shown, *_SCORES)
+
+
+def utterance_csv(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "utterances")
+    writers.export_csv(proxies.utterances(spark, folder), path)
+    totals = survey.token_totals(readers.read_utterances(spark, path))
+    return totals.withColumn("person_id", F.col("person_id").cast("long"))
+
+
+def log_append(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "log")
+    numbered = turns.number_turns(*_turns(spark, folder), ORDER)
+    log = numbered.withColumn("_id", F.col("event_id")).withColumn("user_input_time", F.col("response_time"))
+    writers.append_turns(log, path)
+    back = readers.read_turn_log(spark, path)
+    shown = ("session_id", "ArticleID", "ResponseID", "user_input", "bot_response")
+    return back.select(
+        F.col("_id").cast("long").alias("event_id"), *shown, _long(F.col("turn_number"), "turn_number")
+    )
+
+
+def results_written(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "results")
+    fits = ols.fit_models(_frame(spark, folder), regression_models(4))
+    table = ols.fit_statistics(spark, fits)
+    writers.write_results(table, path, "parquet")
+    back = spark.read.schema(table.schema).parquet(path)
+    return _six(back, "r_squared", "adj_r_squared", "aic", "bic")
+
+
 # Turn logs
 
 
@@ -281,7 +320,7 @@ def article_corpus(spark: SparkSession, folder: str) -> DataFrame:
     value = F.concat(F.lit("["), first, F.lit(",\n"), second, F.lit("]"))
     path = F.lpad(F.col("doc_id").cast("string"), 20, "0")
     lists = proxies.table(spark, folder, "documents").select(path.alias("path"), value.alias("value"))
-    return _digest(articles_from_json(lists), "text", "article_id")
+    return _digest(readers.articles_from_json(lists), "text", "article_id")
 
 
 def article_lookup(spark: SparkSession, folder: str) -> DataFrame:
@@ -429,6 +468,10 @@ def _catalogue() -> dict[str, tuple[Query, str | None]]:
         "log_token_totals": (log_token_totals, oracle.utterance_tokens_from_log()),
         "log_export": (log_export, oracle.log_export()),
         "log_preview": (log_preview, oracle.log_preview()),
+        "survey_csv": (survey_csv, oracle.survey_csv()),
+        "utterance_csv": (utterance_csv, oracle.person_tokens()),
+        "log_append": (log_append, oracle.log_append()),
+        "results_written": (results_written, oracle.fit_statistics(["spec4"])),
         "stream_tokens": (stream_tokens, oracle.person_tokens()),
     }
     for variant in S.VARIANTS:

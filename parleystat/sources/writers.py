@@ -23,12 +23,24 @@ def union_of_documents(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), texted)
 
 
+_MICROSECONDS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+CSV_OPTIONS = {
+    "header": True,
+    "escape": '"',
+    # Spark would otherwise trim cells and cut times to milliseconds.
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+    "timestampFormat": _MICROSECONDS,
+    "timestampNTZFormat": _MICROSECONDS,
+}
+
+
 def export_csv(log: DataFrame, path: str) -> None:
-    """The log as CSV files with a header. Line breaks and quotes inside cells survive a re-read; nested
-    values are written as JSON."""
+    """The log as CSV files with a header. Line breaks, quotes and outer spaces inside cells survive a
+    re-read; nested values are written as JSON."""
     nested = [f.name for f in log.schema if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))]
     log = log.withColumns({name: F.to_json(F.col(f"`{name}`")) for name in nested}) if nested else log
-    log.write.mode("overwrite").options(header=True, escape='"').csv(path)
+    log.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
 
 
 def preview(log: DataFrame, order: Sequence[str], rows: int = 5) -> DataFrame:
@@ -39,4 +51,4 @@ def preview(log: DataFrame, order: Sequence[str], rows: int = 5) -> DataFrame:
 def write_results(table: DataFrame, path: str, fmt: str = "csv") -> None:
     """One folder per model and outcome, as the tables carry both as columns."""
     writer = table.write.mode("overwrite").partitionBy("model", "outcome").format(fmt)
-    (writer.option("header", True) if fmt == "csv" else writer).save(path)
+    (writer.options(**CSV_OPTIONS) if fmt == "csv" else writer).save(path)

@@ -188,6 +188,13 @@ def test_text_is_not_read_without_need(spark):
     assert "total_tokens" not in frame.columns
 
 
+def test_study_without_text(spark):
+    study = run_models(proxies.survey(spark, FOLDER), None, regression_models(1))
+    table = study.predictions()[0]
+    assert "total_tokens" not in table.columns
+    assert table.count() == 1077
+
+
 def test_tokens_read_two_columns(spark):
     plan = survey.token_totals(proxies.utterances(spark, FOLDER))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan

@@ -113,7 +113,7 @@ def test_article_corpus_must_be_a_list(spark, tmp_path):
 
 
 NOW = dt.datetime(2024, 5, 1, 12, 0, 0, 5)
-TURN = ("id1", "s1", "5", "R", 1, 'say "hi",\nyou', NOW, "reply é", NOW)
+TURN = ("id1", "s1", "5", "R", 1, ' say "hi",\nyou ', NOW, "reply é", NOW)
 
 
 def test_turn_log_round_trip(spark, tmp_path):
@@ -135,6 +135,7 @@ def test_export_and_preview(spark, tmp_path):
     writers.export_csv(whole, str(tmp_path / "csv"))
     back = spark.read.options(header=True, multiLine=True, escape='"').csv(str(tmp_path / "csv"))
     assert {(r["_id"], r["user_input"], r["note"]) for r in back.collect()} == {("id1", TURN[5], None), ("2", None, "bye")}
+    assert {r["response_time"] for r in back.collect()} == {"2024-05-01 12:00:00.000005", None}
     many = spark.range(20).withColumnRenamed("id", "_id")
     assert [r["_id"] for r in writers.preview(many, ["_id"]).collect()] == [0, 1, 2, 3, 4]
 
