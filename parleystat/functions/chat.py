@@ -47,7 +47,7 @@ def lacks_hint(bot_response: Column, variant: str) -> Column:
 
 def completion_code(session_id: Column, turn_number: Column) -> Column:
     """A code from 0 to 10000, drawn anew each turn by hashing, so that a rerun repeats it."""
-    digest = F.md5(F.concat(session_id, F.lit("#"), turn_number.cast("string")))
+    digest = F.md5(F.concat(F.coalesce(session_id, F.lit("")), F.lit("#"), turn_number.cast("string")))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % (S.MAX_CODE + 1)
 
 

@@ -21,7 +21,11 @@ _COARSE = 64
 
 
 def _cut_points(rows: DataFrame, heavy: HeavyKeys, order: Sequence[str]) -> DataFrame:
-    """One row per heavy session: its sorted cut points, and every 64th of them for a quick lookup."""
+    """One row per heavy session: its sorted cut points, and every 64th of them for a quick lookup.
+
+    About 64 places per segment are sampled by hash, and every 64th of them becomes a cut, so the sample
+    of even the largest session stays small (at most 64 times the number of heavy-key slots).
+    """
     stride = max(1, heavy.limit // _SAMPLES_PER_SEGMENT)
     places = heavy.only(rows.select(heavy.key, order_struct(order).alias("at")))
     sample = places.where(F.pmod(F.xxhash64("at"), F.lit(stride)) == 0)

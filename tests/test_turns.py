@@ -173,3 +173,12 @@ def test_small_blocks_are_exact(log):
     positions = {r["_id"]: r["position"] for r in T.chronological(log, heavy).collect()}
     for group in sessions().values():
         assert [positions[r[0]] for r in group] == list(range(1, len(group) + 1))
+
+
+@pytest.mark.parametrize("variant", S.VARIANTS)
+def test_replies_without_a_session_id(log, variant):
+    done = T.completion(log, heavy_keys(log, "session_id"), variant).where("eligible and bot_response is not null")
+    assert done.count() > 100
+    assert done.where("final_reply is null or code is null or code not between 0 and 10000").count() == 0
+    asked = done.where("contains(lower(user_input), 'code')")
+    assert asked.count() == asked.where("final_reply like 'Here\\'s your completion code: %'").count() > 0
