@@ -55,7 +55,7 @@ class Layout:
 
 
 LAYOUTS = (
-    Layout("turn_row", (), ("turn", "role", "text"), (Turns("", "role", "text"),), order="turn"),
+    Layout("turn_row", ("role",), ("turn", "text"), (Turns("", "role", "text"),), order="turn"),
     Layout("messages", ("messages[]", "messages[].role"), ("messages[].content", "system"),
            (Field("system", "system"), Turns("messages", "role", "content"))),
     Layout("conversations", ("conversations[]", "conversations[].from"), ("conversations[].value", "system"),

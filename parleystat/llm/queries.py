@@ -111,7 +111,8 @@ ESCAPED = "\\### Assistant: </turn> ok"
 
 def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    records = rows.select("conv_id", F.to_json(F.struct("turn", "role", "text")).alias("record"))
+    role = F.coalesce("role", F.lit("")).alias("role")
+    records = rows.select("conv_id", F.to_json(F.struct("turn", role, "text")).alias("record"))
     extra = [(-7, json.dumps({"turn": k, "role": role, "text": ESCAPED})) for k, role in enumerate(("user", "assistant"))]
     records = records.unionByName(spark.createDataFrame(extra, "conv_id long, record string"))
     path = scratch(spark, "chat")

@@ -1,0 +1,96 @@
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from parleystat.llm import quality_rules as qr
+from parleystat.llm.common import table
+from tests.llm import cases
+
+
+def brute(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    places: dict = {}
+    for i in range(len(words) - 4):
+        places.setdefault(tuple(words[i : i + 5]), []).append(i)
+    covered = {p + k for at in places.values() if len(at) > 1 for p in at for k in range(5)}
+    lines, dup = set(), 0
+    for line in text.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in lines
+            lines.add(line)
+    symbols = sum(text.count(c) for c in "#*$%&|<>")
+    n = len(words)
+    return n, sum(map(len, words)), symbols, dup, len(covered), n < 10 or 100 * len(covered) > 20 * n
+
+
+def base(frame):
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return qr.measures(frame).select("doc_id", *[f"m.{n}" for n in names], qr.base_failed()).collect()
+
+
+def test_base_counts_on_a_table(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    want = {r.doc_id: brute(r.text) for r in docs.collect()}
+    assert {r[0]: tuple(r[1:]) for r in base(docs)} == want
+
+
+def test_base_counts_on_repeats_and_odd_texts(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("ab c d\n e \t #|".split(" ")) for _ in range(rng.randrange(60))) for _ in range(150)]
+    texts += ["a b c d e a b c d e", "a " * 50, "\n\n x \n x \n\x0b\n x ", "é🎉 é🎉 & <", None, "", "x\x1cy z", "1 2 3 4 5 6 1 2 3 4 5"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r[0]: tuple(r[1:]) for r in base(frame)} == {i: brute(t) for i, t in enumerate(texts)}
+
+
+def test_accuracies_are_recovered():
+    """Votes drawn from known rates: the model finds the share of bad documents and how rules vote on each kind."""
+    rng = random.Random(5)
+    bad, good = [0.6, 0.5, 0.7, 0.4], [0.02, 0.05, 0.01, 0.03]
+    counts: dict = {}
+    for _ in range(40_000):
+        rates = bad if rng.random() < 0.3 else good
+        votes = tuple(0 if rng.random() < 0.1 else (-1 if rng.random() < p else 1) for p in rates)
+        counts[votes] = counts.get(votes, 0) + 1
+    model = qr.expectation_maximisation(list("abcd"), counts, 300)
+    assert model.prior_bad == pytest.approx(0.3, abs=0.03)
+    assert model.bad_if_bad == pytest.approx(bad, abs=0.05)
+    assert model.bad_if_good == pytest.approx(good, abs=0.02)
+    assert all(0.8 < a < 1 for a in model.accuracies().values())
+
+
+def test_nothing_to_learn_from():
+    model = qr.expectation_maximisation(["a"], {})
+    assert model.bad_if_bad == (0.5,) and model.prior_bad == 0.15
+    only_good = qr.expectation_maximisation(["a", "b"], {(1, 1): 1000})
+    assert all(b >= g for b, g in zip(only_good.bad_if_bad, only_good.bad_if_good))
+
+
+def test_verdicts_follow_labels(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    measured = qr.measures(docs)
+    judged = qr.judged(measured, qr.fit(measured)).join(labels, "doc_id")
+    rows = {(r.quality, r.kept): r["count"] for r in judged.where(~F.col("base_failed")).groupBy("quality", "kept").count().collect()}
+    good, bad = rows.get((1, True), 0), rows.get((0, False), 0)
+    assert good / (good + rows.get((1, False), 0)) > 0.99
+    assert bad / (bad + rows.get((0, True), 0)) > 0.9
+
+
+def test_edge_cases(spark):
+    docs = cases.docs(spark)
+    measured = qr.measures(docs)
+    rows = qr.judged(measured, qr.fit(measured)).collect()
+    assert len(rows) == len(cases.ROWS)
+    assert sorted((r.doc_id, r.base_failed) for r in rows if r.doc_id not in (None, 7)) == sorted(
+        (r[0], brute(r[1])[-1]) for r in cases.ROWS if r[0] not in (None, 7)
+    )
+    kept = qr.filter_documents(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.collect()} == {1, 2, None, 7, 6}
+    assert kept.where("doc_id = 2").count() == 2
+    assert qr.filter_documents(cases.no_docs(spark)).collect() == []
