@@ -46,8 +46,8 @@ def _widest(bits: np.ndarray) -> np.ndarray:
         count, width = COUNTS[selector], WIDTHS[selector]
         while span < count:
             step = min(span, count - span)
-            grown = top.copy()
-            np.maximum(top[: n - step], top[step:], out=grown[: n - step])
+            grown, rest = top.copy(), max(0, n - step)
+            np.maximum(top[:rest], top[step:], out=grown[:rest])
             top, span = grown, span + step
         best[top <= width] = selector
     return best
