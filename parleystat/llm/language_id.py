@@ -16,18 +16,28 @@ UNKNOWN = "und"
 #: The sample a dictionary is made from: about so many documents per language, and so many characters of each.
 SAMPLE_DOCS = 300
 SAMPLE_CHARS = 2000
-DICTIONARY_BYTES = 112 << 10
+DICTIONARY_BYTES = 224 << 10
 #: Texts are compressed in pieces, so that a long text's own repeats do not stand in for the dictionary's.
-PIECE_BYTES = 2048
-LEVEL = 3
+PIECE_BYTES = 1024
+LEVEL = 6
+#: Texts up to so many bytes are compressed harder: only a thorough search finds their few short matches.
+SHORT_BYTES, SHORT_LEVEL = 600, 19
 #: A prediction is narrow if the second language needs less than this share more bytes.
 MARGIN = 0.01
 
 _LETTER = re.compile(r"[^\W\d_]")
+_OTHER = re.compile(r"[\W\d_]+")
+
+
+def letters_of(text: str) -> bytes:
+    """The lower-case words of a text, joined by single spaces: signs, digits and case say little of a language."""
+    return _OTHER.sub(" ", text.lower()).encode("utf-8")
 
 
 @dataclass(frozen=True)
 class LanguageModel:
+    """A dictionary by language; the more common language in the learned rows first."""
+
     dictionaries: dict[str, bytes]
 
 
@@ -50,9 +60,9 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAM
     drawn = rows.where(draw < bounds[F.col("lang")]).select("lang", draw.alias("draw"), piece.alias("piece")).distinct()
     pieces: dict[str, list[tuple[int, bytes]]] = {k: [] for k in counts}
     for lang, place, text in drawn.collect():
-        pieces[lang].append((place, text.lower().encode("utf-8")))
+        pieces[lang].append((place, letters_of(text)))
     dictionaries = {}
-    for lang, found in pieces.items():
+    for lang, found in sorted(pieces.items(), key=lambda x: (-counts[x[0]], x[0])):
         content = b"\n".join(text for _, text in sorted(found))[:DICTIONARY_BYTES]
         if len(content) >= 8:  # what zstandard takes as a dictionary
             dictionaries[lang] = content
@@ -60,31 +70,38 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAM
 
 
 class Classifier:
-    def __init__(self, model: LanguageModel, level: int = LEVEL):
+    def __init__(self, model: LanguageModel):
         import zstandard as z
 
-        self.by_language = []
-        for lang in sorted(model.dictionaries):
-            content = z.ZstdCompressionDict(model.dictionaries[lang], dict_type=z.DICT_TYPE_RAWCONTENT)
-            content.precompute_compress(level=level)
-            packer = z.ZstdCompressor(dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False)
-            self.by_language.append((lang, packer.compress))
+        def packers(level: int) -> list:
+            out = []
+            for content in model.dictionaries.values():
+                own = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+                own.precompute_compress(level=level)
+                bare = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
+                out.append(z.ZstdCompressor(dict_data=own, **bare).compress)
+            return out
+
+        self.languages = list(model.dictionaries)
+        self.packers, self.thorough = packers(LEVEL), packers(SHORT_LEVEL)
 
     def __call__(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether the margin is wide enough to rely on it.
 
         The score is the share of bytes that the best dictionary saves over the second. A text without a letter
-        is `und` with score 0; ties go to the first language by name and count as narrow.
+        is `und` with score 0; ties go to the more common language and count as narrow.
         """
-        if text is None or not self.by_language or not _LETTER.search(text):
+        if text is None or not self.languages or not _LETTER.search(text):
             return UNKNOWN, 0.0, False
-        raw = text.lower().encode("utf-8")
+        raw = letters_of(text)
         cut = [raw[i : i + PIECE_BYTES] for i in range(0, len(raw), PIECE_BYTES)]
-        sizes = sorted((sum(len(pack(x)) for x in cut), lang) for lang, pack in self.by_language)
+        packers = self.thorough if len(raw) <= SHORT_BYTES else self.packers
+        sizes = sorted((sum(len(pack(x)) for x in cut), k) for k, pack in enumerate(packers))
+        best = self.languages[sizes[0][1]]
         if len(sizes) == 1:
-            return sizes[0][1], 1.0, True
+            return best, 1.0, True
         score = 1 - sizes[0][0] / sizes[1][0]
-        return sizes[0][1], score, score >= MARGIN
+        return best, score, score >= MARGIN
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("accepted", pa.bool_())])

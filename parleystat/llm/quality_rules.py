@@ -20,6 +20,13 @@ WINDOW = 5
 
 GOOD, ABSTAIN, BAD = 1, 0, -1
 ROUNDS = 100
+#: What is believed before any document is seen: the share of bad documents, and how many of the documents a rule
+#: calls bad among good ones, among those bad for its own reason, and among those bad for another. A rule that calls
+#: more good documents bad than the bound is no rule.
+PRIOR_BAD, BAD_IF_GOOD, BAD_BY_REASON, BAD_OTHERWISE = 0.15, 0.002, 0.95, 0.1
+MOST_BAD_IF_GOOD = 0.02
+#: How much the beliefs count, as a share of the documents.
+BELIEF = 0.01
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -133,7 +140,7 @@ def votes() -> dict[str, Column]:
     length = per_word("word_chars")
     return {
         "symbols": _vote(per_word("n_symbols"), 0.03, 0.2, some),
-        "repeats": _vote(per_word("n_repeat_words"), 0.05, 0.15, some),
+        "repeats": _vote(per_word("n_repeat_words"), 0.05, 0.25, some),
         "same_lines": _vote(F.try_divide(m["n_dup_lines"], m["n_lines"]), 0.1, 0.3, m["n_lines"] >= 4),
         "capitals": _vote(F.try_divide(m["n_upper"], m["word_chars"]), 0.2, 0.45, some),
         "exclaims": _vote(per_word("n_exclaims"), 0.05, 0.3, some),
@@ -147,58 +154,71 @@ def votes() -> dict[str, Column]:
 
 @dataclass(frozen=True)
 class LabelModel:
-    """Per rule the chance of a bad vote, among its votes, in bad and in good documents; and the share of bad."""
+    """A latent class of good documents and one of bad documents for each rule: those that are bad for its reason.
+
+    `shares` are the classes' shares, good first; `bad_rates[c][j]` is how often rule `j`, where it votes, calls a
+    document of class `c` bad.
+    """
 
     rules: tuple[str, ...]
-    prior_bad: float
-    bad_if_bad: tuple[float, ...]
-    bad_if_good: tuple[float, ...]
+    shares: tuple[float, ...]
+    bad_rates: tuple[tuple[float, ...], ...]
 
     def accuracies(self) -> dict[str, float]:
         """How often a rule that votes is right."""
-        p = self.prior_bad
-        return {r: p * b + (1 - p) * (1 - g) for r, b, g in zip(self.rules, self.bad_if_bad, self.bad_if_good)}
-
-    def weights(self) -> list[tuple[float, float]]:
-        """Per rule, what a bad and a good vote add to the log odds of a bad document."""
-        return [(math.log(b / g), math.log((1 - b) / (1 - g))) for b, g in zip(self.bad_if_bad, self.bad_if_good)]
+        right = lambda c, j: 1 - self.bad_rates[0][j] if c == 0 else self.bad_rates[c][j]
+        return {r: sum(s * right(c, j) for c, s in enumerate(self.shares)) for j, r in enumerate(self.rules)}
 
     def good_probability(self) -> Column:
         """The posterior that a document is good, over its votes."""
-        odds = F.lit(math.log(self.prior_bad / (1 - self.prior_bad)))
-        for (bad, good), vote in zip(self.weights(), votes().values()):
-            odds = odds + F.when(vote == BAD, bad).when(vote == GOOD, good).otherwise(0.0)
-        return 1 / (1 + F.exp(odds))
+        against = F.lit(0.0)
+        good = self.bad_rates[0]
+        for share, rates in zip(self.shares[1:], self.bad_rates[1:]):
+            odds = F.lit(math.log(share / self.shares[0]))
+            for vote, mine, theirs in zip(votes().values(), rates, good):
+                bad, fine = math.log(mine / theirs), math.log((1 - mine) / (1 - theirs))
+                odds = odds + F.when(vote == BAD, bad).when(vote == GOOD, fine).otherwise(0.0)
+            against = against + F.exp(odds)
+        return 1 / (1 + against)
 
 
 def expectation_maximisation(rules: Sequence[str], counts: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> LabelModel:
     """Fit the label model to how often each combination of votes occurs.
 
-    Rules are taken as independent given the class, and an abstention as no evidence. Pseudo-counts keep every
-    probability inside (0, 1), and a rule is never believed to vote bad more often on good documents than on bad
-    ones, so the classes cannot swap. With no documents the starting values stay.
+    Rules are taken as independent given the class, and an abstention as no evidence. What is believed beforehand
+    counts like `BELIEF` of the documents, which keeps every rate inside (0, 1) and each class at its reason. With
+    no documents the beliefs stay.
     """
-    prior, if_bad, if_good = 0.15, [0.5] * len(rules), [0.02] * len(rules)
+    k = len(rules)
+    shares = [1 - PRIOR_BAD] + [PRIOR_BAD / k] * k
+    believed = [[BAD_IF_GOOD] * k] + [[BAD_BY_REASON if j == c else BAD_OTHERWISE for j in range(k)] for c in range(k)]
+    rates, first = [list(r) for r in believed], list(shares)
     patterns = sorted(counts.items())
     total = sum(counts.values())
+    weight = max(1.0, BELIEF * total)
     for _ in range(rounds if total else 0):
-        chance = []
-        for pattern, _n in patterns:
-            odds = math.log(prior / (1 - prior))
-            for v, b, g in zip(pattern, if_bad, if_good):
-                odds += math.log(b / g) if v == BAD else math.log((1 - b) / (1 - g)) if v == GOOD else 0.0
-            chance.append(1 / (1 + math.exp(-max(-500.0, min(500.0, odds)))))
-        weighted = [(p, n, c) for (p, n), c in zip(patterns, chance)]
-        prior = (1.5 + sum(n * c for _, n, c in weighted)) / (10 + total)
-        prior = min(prior, 0.5)
-        for j in range(len(rules)):
-            bad_bad = sum(n * c for p, n, c in weighted if p[j] == BAD)
-            good_bad = sum(n * c for p, n, c in weighted if p[j] == GOOD)
-            bad_good = sum(n * (1 - c) for p, n, c in weighted if p[j] == BAD)
-            good_good = sum(n * (1 - c) for p, n, c in weighted if p[j] == GOOD)
-            if_good[j] = min((0.02 + bad_good) / (1 + bad_good + good_good), 0.2)
-            if_bad[j] = max((0.5 + bad_bad) / (1 + bad_bad + good_bad), if_good[j])
-    return LabelModel(tuple(rules), prior, tuple(if_bad), tuple(if_good))
+        mass = [weight * s for s in first]
+        voted = [[weight * first[c]] * k for c in range(k + 1)]
+        called = [[weight * first[c] * believed[c][j] for j in range(k)] for c in range(k + 1)]
+        for pattern, n in patterns:
+            logs = []
+            for c in range(k + 1):
+                chance = math.log(shares[c])
+                for v, p in zip(pattern, rates[c]):
+                    chance += math.log(p) if v == BAD else math.log(1 - p) if v == GOOD else 0.0
+                logs.append(chance)
+            top = max(logs)
+            found = [math.exp(x - top) for x in logs]
+            for c, part in enumerate(found):
+                part *= n / sum(found)
+                mass[c] += part
+                for j, v in enumerate(pattern):
+                    voted[c][j] += part * (v != ABSTAIN)
+                    called[c][j] += part * (v == BAD)
+        shares = [m / sum(mass) for m in mass]
+        rates = [[min(max(called[c][j] / voted[c][j], 1e-4), 1 - 1e-4) for j in range(k)] for c in range(k + 1)]
+        rates[0] = [min(p, MOST_BAD_IF_GOOD) for p in rates[0]]
+    return LabelModel(tuple(rules), tuple(shares), tuple(map(tuple, rates)))
 
 
 def fit(measured: DataFrame, rounds: int = ROUNDS) -> LabelModel:

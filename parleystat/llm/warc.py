@@ -32,6 +32,9 @@ CRLF = b"\r\n"
 END = b"\r\n\r\n"
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000002ff03000000000000000000")
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+_VERSION_LINE = re.compile(rb"WARC/1\.\d\r\n")
+_NAME = re.compile(rb"[A-Za-z0-9_-]+")
+_CONTROL = re.compile(rb"[\x00-\x08\x0a-\x1f\x7f]")
 WRITTEN = "2000-01-01T00:00:00Z"
 
 EVENTS = pa.schema(
@@ -159,7 +162,7 @@ def _inflate(data: bytes, start: int, step: int = 1 << 15) -> tuple[bytes, int]:
 
 def _parse(data: bytes, start: int) -> Record:
     """The plain record at `start`, checked against its lengths and digests."""
-    if not data.startswith(VERSION, start):
+    if not _VERSION_LINE.match(data, start):
         raise Damaged("no version line")
     split = data.find(END, start, start + (1 << 20))
     if split < 0:
@@ -167,9 +170,13 @@ def _parse(data: bytes, start: int) -> Record:
     headers: dict[str, str] = {}
     for line in data[start:split].split(CRLF)[1:]:
         name, colon, value = line.partition(b":")
-        if not colon:
+        try:
+            said = value.decode("utf-8").strip()
+        except UnicodeDecodeError:
+            raise Damaged("broken header line") from None
+        if not colon or not _NAME.fullmatch(name) or _CONTROL.search(value):
             raise Damaged("broken header line")
-        headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+        headers[name.decode().lower()] = said
     length = headers.get("content-length", "")
     if not (length.isascii() and length.isdigit()):
         raise Damaged("no content length")

@@ -48,33 +48,34 @@ def test_base_counts_on_repeats_and_odd_texts(spark):
 
 
 def test_accuracies_are_recovered():
-    """Votes drawn from known rates: the model finds the share of bad documents and how rules vote on each kind."""
+    """Votes drawn from known rates: documents are good or bad for one of the reasons, and rules abstain at times."""
     rng = random.Random(5)
-    bad, good = [0.6, 0.5, 0.7, 0.4], [0.02, 0.05, 0.01, 0.03]
+    shares = [0.8, 0.1, 0.06, 0.04]
+    rates = [[0.004, 0.001, 0.008], [0.9, 0.2, 0.05], [0.1, 0.95, 0.3], [0.02, 0.1, 0.99]]
     counts: dict = {}
-    for _ in range(40_000):
-        rates = bad if rng.random() < 0.3 else good
-        votes = tuple(0 if rng.random() < 0.1 else (-1 if rng.random() < p else 1) for p in rates)
+    for _ in range(60_000):
+        c = rng.choices(range(4), shares)[0]
+        votes = tuple(0 if rng.random() < 0.1 else (-1 if rng.random() < p else 1) for p in rates[c])
         counts[votes] = counts.get(votes, 0) + 1
-    model = qr.expectation_maximisation(list("abcd"), counts, 300)
-    assert model.prior_bad == pytest.approx(0.3, abs=0.03)
-    assert model.bad_if_bad == pytest.approx(bad, abs=0.05)
-    assert model.bad_if_good == pytest.approx(good, abs=0.02)
+    model = qr.expectation_maximisation(list("abc"), counts, 200)
+    assert model.shares == pytest.approx(shares, abs=0.03)
+    assert [model.bad_rates[c + 1][c] for c in range(3)] == pytest.approx([0.9, 0.95, 0.99], abs=0.1)
+    assert model.bad_rates[0] == pytest.approx(rates[0], abs=0.008)
     assert all(0.8 < a < 1 for a in model.accuracies().values())
 
 
 def test_nothing_to_learn_from():
     model = qr.expectation_maximisation(["a"], {})
-    assert model.bad_if_bad == (0.5,) and model.prior_bad == 0.15
+    assert model.shares == (0.85, 0.15) and model.bad_rates == ((qr.BAD_IF_GOOD,), (qr.BAD_BY_REASON,))
     only_good = qr.expectation_maximisation(["a", "b"], {(1, 1): 1000})
-    assert all(b >= g for b, g in zip(only_good.bad_if_bad, only_good.bad_if_good))
+    assert only_good.shares[0] > 0.95 and max(only_good.bad_rates[0]) < 0.01
 
 
 def test_verdicts_follow_labels(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     measured = qr.measures(docs)
-    judged = qr.judged(measured, qr.fit(measured)).join(labels, "doc_id")
+    judged = qr.judged(measured, qr.fit(measured)).drop("quality").join(labels, "doc_id")
     rows = {(r.quality, r.kept): r["count"] for r in judged.where(~F.col("base_failed")).groupBy("quality", "kept").count().collect()}
     good, bad = rows.get((1, True), 0), rows.get((0, False), 0)
     assert good / (good + rows.get((1, False), 0)) > 0.99
