@@ -1,9 +1,10 @@
 """Sufficient statistics for linear models, from one pass over the analysis frame.
 
-Rows are grouped by the category levels and by which models' samples they belong to; each group keeps
-its row count, the sums of the numeric columns and the sums of their pairwise products. Every design
-matrix that mixes those columns has its X'X and X'y as sums over these few groups, so one aggregation
-with map-side combining serves all models at once, and the category levels come with it.
+Rows are grouped by which models' samples they belong to, alone, with each category and with each pair of
+categories; each group keeps its row count and the means and covariances of the numeric columns, which Spark
+merges without loss of digits. Every design matrix that mixes those columns has its centred X'X and X'y as
+sums over these groups, so one aggregation with map-side combining serves all models at once, and the
+category levels come with it. The result is no larger than the squared width of the design.
 """
 
 from __future__ import annotations
@@ -11,16 +12,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
-from itertools import combinations_with_replacement
-from operator import and_
+from itertools import combinations, combinations_with_replacement
+from operator import and_, or_
 
 import numpy as np
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-MAX_CELLS = 20_000
-MAX_TERMS = 200
-
 
 @dataclass(frozen=True)
 class Model:
@@ -49,14 +47,27 @@ class Term:
 
 @dataclass(frozen=True)
 class Gram:
-    """X'X, X'y, y'y, the sum of y and the row count of one model."""
+    """X'X, X'y and y'y of one model with its numeric columns and the outcome centred at their means (a term's
+    mean is 0 where it is not centred), and the row count."""
 
     terms: tuple[Term, ...]
     xx: np.ndarray
     xy: np.ndarray
     yy: float
-    y_sum: float
     n: int
+    means: np.ndarray
+    y_mean: float
+
+    def shift(self) -> np.ndarray:
+        """The columns as they are, in terms of the centred ones: a column plus its mean times the intercept."""
+        shift = np.eye(len(self.terms), dtype=np.longdouble)
+        shift[0] += self.means
+        return shift
+
+    def raw(self) -> tuple[np.ndarray, np.ndarray]:
+        """X'X and X'y of the columns as they are."""
+        shift = self.shift()
+        return shift.T @ self.xx @ shift, shift.T @ (self.xy + self.y_mean * self.xx[:, 0])
 
 
 def indicator_name(column: str, level: str) -> str:
@@ -75,63 +86,72 @@ def in_order(levels: set[str]) -> list[str]:
 @dataclass(frozen=True)
 class Moments:
     numeric: tuple[str, ...]
+    categorical: tuple[str, ...]
     samples: tuple[tuple[str, ...], ...]
     cells: list[Row]
 
-    def _sample(self, model: Model) -> list[Row]:
+    def _cells(self, model: Model, *columns: str) -> list[Row]:
+        """The groups of the model's sample by these categories."""
         flag = f"_in{self.samples.index(model.required)}"
-        return [cell for cell in self.cells if cell[flag]]
+        kept = {c: c in columns for c in self.categorical}
+        return [x for x in self.cells if x[flag] and all((x[f"_out_{c}"] == 0) == k for c, k in kept.items())]
 
     def sample_size(self, model: Model) -> int:
-        return sum(cell["_n"] for cell in self._sample(model))
+        return sum(cell["_n"] for cell in self._cells(model))
 
     def terms(self, model: Model) -> tuple[Term, ...]:
         """Intercept, then the categories (first level of the sample is the reference), then numerics."""
-        cells = self._sample(model)
         terms = [Term("Intercept")]
         for column in model.categorical:
-            levels = in_order({cell[column] for cell in cells})
+            levels = in_order({cell[column] for cell in self._cells(model, column)})
             terms += [Term(indicator_name(column, level), column, level) for level in levels[1:]]
         terms += [Term(column, column) for column in model.numeric]
-        if len(terms) > MAX_TERMS:
-            raise ValueError(f"model {model.name} has {len(terms)} terms, more than {MAX_TERMS}")
         return tuple(terms)
 
     def gram(self, model: Model) -> Gram:
-        cells = self._sample(model)
+        cells = self._cells(model)
         if not cells:
             raise ValueError(f"model {model.name} has no complete rows")
         terms = self.terms(model)
         place = {name: i for i, name in enumerate(self.numeric)}
-        pairs = list(combinations_with_replacement(range(len(self.numeric)), 2))
-        used = [place[t.column] for t in terms if t.column and t.level is None]
-        y = place[model.outcome]
-        fixed = [i for i, t in enumerate(terms) if t.column is None or t.level is not None]
-        moving = [i for i, t in enumerate(terms) if t.column and t.level is None]
-        p = len(terms)
-        xx, xy = np.zeros((p, p), np.longdouble), np.zeros(p, np.longdouble)
-        yy = y_sum = np.longdouble(0)
-        n = 0
+        used = [place[c] for c in (*model.numeric, model.outcome)]  # the outcome last
+        p, q = len(terms), len(used)
+        level = {(t.column, t.level): i for i, t in enumerate(terms) if t.level is not None}
+
+        def means_of(cell: Row) -> np.ndarray:
+            return np.array([cell[f"_m{i}"] for i in used], np.longdouble)
+
+        n = sum(cell["_n"] for cell in cells)
+        centre = sum(cell["_n"] * means_of(cell) for cell in cells) / n
+        # One more column than terms: the outcome's.
+        whole = np.zeros((p + 1, p + 1), np.longdouble)
+        moving = [*range(p + 1 - q, p), p]
+        whole[0, 0] = n
         for cell in cells:
-            sums = np.array([cell[f"_s{i}"] or 0.0 for i in range(len(self.numeric))], np.longdouble)
-            products = np.zeros((len(self.numeric),) * 2, np.longdouble)
-            for i, j in pairs:
-                products[i, j] = products[j, i] = cell[f"_p{i}_{j}"] or 0.0
-            on = [i for i in fixed if terms[i].column is None or cell[terms[i].column] == terms[i].level]
-            xx[np.ix_(on, on)] += cell["_n"]
-            xx[np.ix_(on, moving)] += sums[used]
-            xx[np.ix_(moving, on)] += sums[used][:, None]
-            xx[np.ix_(moving, moving)] += products[np.ix_(used, used)]
-            xy[on] += sums[y]
-            xy[moving] += products[used, y]
-            yy += products[y, y]
-            y_sum += sums[y]
-            n += cell["_n"]
-        return Gram(terms, xx, xy, float(yy), float(y_sum), n)
+            gap = means_of(cell) - centre
+            spread = np.array([[cell[f"_c{min(i, j)}_{max(i, j)}"] for j in used] for i in used], np.longdouble)
+            whole[np.ix_(moving, moving)] += cell["_n"] * (spread + np.outer(gap, gap))
+        for column in model.categorical:
+            for cell in self._cells(model, column):
+                i = level.get((column, cell[column]))
+                if i is not None:
+                    whole[i, i] += cell["_n"]
+                    whole[0, i] = whole[i, 0] = whole[i, i]
+                    whole[i, moving] += cell["_n"] * (means_of(cell) - centre)
+                    whole[moving, i] = whole[i, moving]
+        for a, b in combinations(model.categorical, 2):
+            for cell in self._cells(model, a, b):
+                i, j = level.get((a, cell[a])), level.get((b, cell[b]))
+                if i is not None and j is not None:
+                    whole[i, j] += cell["_n"]
+                    whole[j, i] = whole[i, j]
+        means = np.zeros(p, np.longdouble)
+        means[p + 1 - q :] = centre[:-1]
+        return Gram(terms, whole[:p, :p], whole[:p, p], float(whole[p, p]), n, means, float(centre[-1]))
 
 
 def collect_moments(frame: DataFrame, models: Sequence[Model]) -> Moments:
-    """Run the one aggregation. Its result is small whatever the row count, and checked to be."""
+    """Run the one aggregation."""
     numeric = tuple(dict.fromkeys(c for m in models for c in (*m.numeric, m.outcome)))
     categorical = tuple(dict.fromkeys(c for m in models for c in m.categorical))
     samples = tuple(dict.fromkeys(m.required for m in models))
@@ -140,18 +160,15 @@ def collect_moments(frame: DataFrame, models: Sequence[Model]) -> Moments:
         for i, needed in enumerate(samples)
     }
     values = [F.col(c).cast("double") for c in numeric]
-    pairs = combinations_with_replacement(range(len(numeric)), 2)
-    grouped = (
-        frame.withColumns(complete)
-        .groupBy(*[f"`{c}`" for c in categorical], *complete)
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            *[F.sum(v).alias(f"_s{i}") for i, v in enumerate(values)],
-            *[F.sum(values[i] * values[j]).alias(f"_p{i}_{j}") for i, j in pairs],
-        )
+    pairs = list(combinations_with_replacement(range(len(numeric)), 2))
+    flags = [F.col(name) for name in complete]
+    named = {c: F.col(f"`{c}`") for c in categorical}
+    by = [(), *[(c,) for c in categorical], *combinations(categorical, 2)]
+    marked = frame.withColumns(complete).where(reduce(or_, flags))
+    grouped = marked.groupingSets([[*flags, *[named[c] for c in some]] for some in by], *flags, *named.values()).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.grouping(named[c]).alias(f"_out_{c}") for c in categorical],
+        *[F.avg(v).alias(f"_m{i}") for i, v in enumerate(values)],
+        *[F.covar_pop(values[i], values[j]).alias(f"_c{i}_{j}") for i, j in pairs],
     )
-    # A limit below the root is one job; as the root it would be a series of growing ones.
-    cells = grouped.limit(MAX_CELLS + 1).coalesce(1).collect()
-    if len(cells) > MAX_CELLS:
-        raise ValueError(f"{', '.join(categorical)} have more than {MAX_CELLS} level combinations")
-    return Moments(numeric, samples, cells)
+    return Moments(numeric, categorical, samples, grouped.collect())

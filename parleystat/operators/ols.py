@@ -82,20 +82,30 @@ def solve(model: Model, moments: Moments, frame: DataFrame | None = None) -> Fit
     g = moments.gram(model)
     xx, xy = np.asarray(g.xx, float), np.asarray(g.xy, float)
     scale = np.sqrt(np.maximum(np.diag(xx), 0.0))
-    scale[scale == 0] = 1.0
-    scaled = xx / np.outer(scale, scale)
-    rank = int(np.linalg.matrix_rank(scaled, tol=1e-11 * max(1.0, np.abs(scaled).max()) * len(scale), hermitian=True))
+    # A centred column whose spread is rounding error of its mean is constant.
+    constant = scale <= 1e-13 * np.abs(np.asarray(g.means, float)) * math.sqrt(g.n)
+    scale[constant | (scale == 0)] = math.inf
+    scaled = np.where(np.isinf(np.add.outer(scale, scale)), 0.0, xx / np.outer(scale, scale))
+    rank = int(np.linalg.matrix_rank(scaled, tol=1e-11 * len(scale), hermitian=True))
+    back = np.eye(len(scale))  # from the centred columns' coefficients to those of the columns as they are
+    back[0] -= np.asarray(g.means, float)
     if rank == len(scale):
         inverse = np.linalg.inv(scaled) / np.outer(scale, scale)
+        centred = inverse @ xy
+        centred = centred + inverse @ np.asarray(g.xy - g.xx @ centred, float)
+        beta = back @ centred
+        beta[0] += g.y_mean
+        inverse = back @ inverse @ back.T
+        wide = centred.astype(np.longdouble)
     else:
         # Minimum-norm solution in the original units.
-        inverse = np.linalg.pinv(xx, rcond=1e-11, hermitian=True)
-    beta = inverse @ xy
-    if rank == len(scale):
-        beta = beta + inverse @ np.asarray(g.xy - g.xx @ beta, float)
-    wide = beta.astype(np.longdouble)
-    ssr = max(float(g.yy - 2 * wide @ g.xy + wide @ g.xx @ wide), 0.0)
-    sst = g.yy - g.y_sum**2 / g.n
+        raw_xx, raw_xy = (np.asarray(x, float) for x in g.raw())
+        inverse = np.linalg.pinv(raw_xx, rcond=1e-11, hermitian=True)
+        beta = inverse @ raw_xy
+        wide = g.shift() @ beta.astype(np.longdouble)
+        wide[0] -= np.longdouble(g.y_mean)
+    ssr = max(float(np.longdouble(g.yy) - 2 * wide @ g.xy + wide @ g.xx @ wide), 0.0)
+    sst = g.yy
     df = g.n - rank
     fit = _finish(model, g.terms, beta, inverse, ssr, sst, g.n, rank, df)
     if frame is not None and ssr < _CANCELLATION * abs(sst):

@@ -103,7 +103,8 @@ def gram_spec4(spark: SparkSession, folder: str) -> DataFrame:
     model = regression_models(4)[0]
     g = collect_moments(_frame(spark, folder), [model]).gram(model)
     names = [t.name for t in g.terms]
-    rows = [(a, b, float(g.xx[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)]
+    xx, _ = g.raw()
+    rows = [(a, b, float(xx[i, j])) for i, a in enumerate(names) for j, b in enumerate(names)]
     return _six(spark.createDataFrame(rows, "row_term string, col_term string, value double"), "value")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parleystat import schemas as S
 from parleystat.operators import ols, survey
-from parleystat.operators.moments import MAX_TERMS, Model, collect_moments, in_order
+from parleystat.operators.moments import Model, collect_moments, in_order
 from parleystat.plans import proxies
 from parleystat.plans.models import mediation_models, regression_models
 from parleystat.plans.studies import run_models
@@ -143,13 +143,36 @@ def test_numeric_levels_sort_as_numbers():
     assert in_order({"10", "9", "x"}) == ["10", "9", "x"]
 
 
-def test_too_many_levels_and_no_rows(spark):
-    rows = [(float(i), float(i), 0.0, f"g{i}") for i in range(MAX_TERMS + 20)]
+def test_many_levels(spark):
+    rows = [(float(i * i % 17), float(i % 11), 0.0, f"g{i % 260}") for i in range(2600)]
     model = Model("m", "y", ("x",), ("g",), ("y", "x", "g"))
-    with pytest.raises(ValueError, match="terms"):
-        ols.fit_models(small(spark, rows), [model])
+    fit = ols.fit_models(small(spark, rows), [model])[0]
+    assert len(fit.terms) == 261 and fit.rank == 261
+    x = np.array([[1.0, *[float(r[3] == t.level) for t in fit.terms[1:-1]], r[1]] for r in rows])
+    np.testing.assert_allclose(fit.beta, np.linalg.lstsq(x, np.array([r[0] for r in rows]), rcond=None)[0], atol=1e-7)
+
+
+def test_no_rows(spark):
     with pytest.raises(ValueError, match="no complete rows"):
-        ols.fit_models(small(spark, [(None, 1.0, 1.0, "a")]), [model])
+        ols.fit_models(small(spark, [(None, 1.0, 1.0, "a")]), [Model("m", "y", ("x",), ("g",), ("y", "x", "g"))])
+
+
+@pytest.mark.parametrize("x_mean, y_mean", [(1e6, 0.0), (1.7e9, 0.0), (0.0, 1e6), (0.0, 1e8), (0.0, 1e9), (1e6, 1e8)])
+def test_large_means(spark, x_mean, y_mean):
+    """Exact centring in plain numpy against the fit on the shifted columns."""
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=500), 4)
+    y = np.round(2 * x + rng.normal(size=500), 4)
+    x, y = x + x_mean, y + y_mean
+    rows = [(float(b), float(a), 0.0, "c") for a, b in zip(x, y)]
+    fit = ols.fit_models(small(spark, rows), [Model("m", "y", ("x",), (), ("y", "x"))])[0]
+    xc, yc = (x - x_mean) - (x - x_mean).mean(), (y - y_mean) - (y - y_mean).mean()
+    slope = xc @ yc / (xc @ xc)
+    ssr = ((yc - slope * xc) ** 2).sum()
+    assert fit.rank == 2
+    assert fit.beta[1] == pytest.approx(slope, rel=1e-6)
+    assert fit.std[1] == pytest.approx(np.sqrt(ssr / 498 / (xc @ xc)), rel=1e-6)
+    assert fit.r_squared == pytest.approx(1 - ssr / (yc @ yc), rel=1e-6)
 
 
 def test_unknown_spec():
