@@ -6,7 +6,7 @@ for prompt histories, Gauss-Jordan elimination for regression, Simpson's rule fo
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from parleystat import schemas as S
 from parleystat.plans.proxies import REQUESTS, SURVEY, TURNS
@@ -198,13 +198,20 @@ def published_predictions(model: str, outcome: int) -> str:
         f"round_even({c} * 10000, 0) / 10000 + 0.0 as {c}"
         for c in ("actual", "predicted", "residual", "total_tokens", "extraversion_score", "agreeableness_score")
     )
+    label = _outcomes(model)[outcome][1]
     return f"""with recursive {_predicted(model, outcome)}
-select person_id, {even} from scored_rows"""
+select '{model}' as model, '{label}' as outcome, person_id, {even}, condition, condition_avatar, Sex,
+  ethnicity_simplified as "Ethnicity simplified" from scored_rows"""
 
 
 def actual_vs_predicted(model: str, outcome: int) -> str:
+    label = _outcomes(model)[outcome][1]
     return f"""with recursive {_predicted(model, outcome)}
-select person_id, {rounded('actual')}, {rounded('predicted')} from scored_rows"""
+select '{label}' as outcome, person_id, {rounded('actual')}, {rounded('predicted')} from scored_rows"""
+
+
+def both_outcomes(query: Callable[[str, int], str], model: str) -> str:
+    return " union all ".join(f"(select * from ({query(model, o)}))" for o in range(len(_outcomes(model))))
 
 
 def prediction_bounds(model: str) -> str:
@@ -455,6 +462,12 @@ def log_export() -> str:
   strftime(response_time, '%Y-%m-%d %H:%M:%S.%f') as response_time from turn"""
 
 
+def log_csv() -> str:
+    """A CSV cell that is empty is a missing one."""
+    texts = ", ".join(f"nullif({c}, '') as {c}" for c in ("ArticleID", "ResponseID", "user_input", "bot_response"))
+    return f"select _id, session_id, {texts}, response_time from ({log_export()})"
+
+
 def log_preview() -> str:
     return f"with log as ({log_export()}) select * from log order by response_time, _id limit 5"
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parleystat import schemas as S
 from parleystat.functions import chat, urls
@@ -136,22 +138,25 @@ def _predicted(spark: SparkSession, folder: str, models: list[Model]) -> list[Da
 
 def _predictions(models: Callable[[], list[Model]]) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        table = _predicted(spark, folder, models()[:1])[0]
+        table = reduce(DataFrame.unionByName, _predicted(spark, folder, models()))
         numeric = [c for c in ("actual", "predicted", "residual", *_SCORES[1:]) if c in table.columns]
         return _six(table.withColumn("condition_avatar", F.col("condition_avatar").cast("long")), *numeric)
 
     return run
 
 
+_PUBLISHED = ("actual", "predicted", "residual", "total_tokens", "extraversion_score", "agreeableness_score")
+
+
 def predictions_published(spark: SparkSession, folder: str) -> DataFrame:
-    table = ols.published(_predicted(spark, folder, regression_models(4)[:1])[0])
-    numeric = ("actual", "predicted", "residual", "total_tokens", "extraversion_score", "agreeableness_score")
-    return _plain_zero(table.select("person_id", *numeric), *numeric)
+    tables = [ols.published(t) for t in _predicted(spark, folder, regression_models(4))]
+    table = reduce(DataFrame.unionByName, tables)
+    return _plain_zero(table.withColumn("condition_avatar", F.col("condition_avatar").cast("long")), *_PUBLISHED)
 
 
 def actual_vs_predicted(spark: SparkSession, folder: str) -> DataFrame:
-    table = _predicted(spark, folder, regression_models(4)[1:])[0]
-    return _six(table.select("person_id", "actual", "predicted"), "actual", "predicted")
+    table = reduce(DataFrame.unionByName, _predicted(spark, folder, regression_models(4)))
+    return _six(table.select("outcome", "person_id", "actual", "predicted"), "actual", "predicted")
 
 
 def prediction_bounds(spark: SparkSession, folder: str) -> DataFrame:
@@ -199,6 +204,25 @@ def results_written(spark: SparkSession, folder: str) -> DataFrame:
     return _six(back, "r_squared", "adj_r_squared", "aic", "bic")
 
 
+def _read_results(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A results folder in CSV as its table was; the folders' names give the model and the outcome."""
+    return spark.read.schema(schema).options(**writers.CSV_OPTIONS).csv(path)
+
+
+def coeffs_written(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "coeffs")
+    table = ols.published(ols.coefficients(spark, ols.fit_models(_frame(spark, folder), regression_models(4))))
+    writers.write_results(table, path)
+    return _plain_zero(_read_results(spark, path, table.schema).select(table.columns), "coefficients", "std", "t", "p-value")
+
+
+def predictions_written(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "predictions")
+    table = predictions_published(spark, folder)
+    writers.write_results(table, path)
+    return _read_results(spark, path, table.schema).select(table.columns)
+
+
 # Turn logs
 
 
@@ -369,6 +393,13 @@ def log_export(spark: SparkSession, folder: str) -> DataFrame:
     return writers.union_of_documents([with_article, without])
 
 
+def log_csv(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "log-csv")
+    log = log_export(spark, folder)
+    writers.export_csv(log, path)
+    return spark.read.schema(log.schema).options(**writers.CSV_OPTIONS).csv(path)
+
+
 def log_preview(spark: SparkSession, folder: str) -> DataFrame:
     return writers.preview(log_export(spark, folder), ("response_time", "_id"))
 
@@ -442,11 +473,13 @@ def _catalogue() -> dict[str, tuple[Query, str | None]]:
             _fit_statistics(mediation_models), oracle.fit_statistics(["total_effect", "path_a", "full_outcome"])
         ),
         "coeffs_published": (coeffs_published, oracle.published_coefficients("spec4")),
-        "predictions_spec4": (_predictions(lambda: regression_models(4)), oracle.predictions("spec4", 0)),
-        "predictions_path_a": (_predictions(path_a_models), oracle.predictions("path_a", 0)),
-        "predictions_full": (_predictions(full_outcome_models), oracle.predictions("full_outcome", 0)),
-        "predictions_published": (predictions_published, oracle.published_predictions("spec4", 0)),
-        "actual_vs_predicted": (actual_vs_predicted, oracle.actual_vs_predicted("spec4", 1)),
+        "predictions_spec4": (_predictions(lambda: regression_models(4)), oracle.both_outcomes(oracle.predictions, "spec4")),
+        "predictions_path_a": (_predictions(path_a_models), oracle.both_outcomes(oracle.predictions, "path_a")),
+        "predictions_full": (_predictions(full_outcome_models), oracle.both_outcomes(oracle.predictions, "full_outcome")),
+        "predictions_published": (predictions_published, oracle.both_outcomes(oracle.published_predictions, "spec4")),
+        "predictions_written": (predictions_written, oracle.both_outcomes(oracle.published_predictions, "spec4")),
+        "coeffs_written": (coeffs_written, oracle.published_coefficients("spec4")),
+        "actual_vs_predicted": (actual_vs_predicted, oracle.both_outcomes(oracle.actual_vs_predicted, "spec4")),
         "prediction_bounds": (prediction_bounds, oracle.prediction_bounds("spec4")),
         "session_turn_counts": (session_turn_counts, oracle.session_turn_counts()),
         "turn_numbers": (_turn_numbers(), oracle.turn_numbers()),
@@ -468,6 +501,7 @@ def _catalogue() -> dict[str, tuple[Query, str | None]]:
         "log_to_utterances": (log_to_utterances, oracle.log_to_utterances()),
         "log_token_totals": (log_token_totals, oracle.utterance_tokens_from_log()),
         "log_export": (log_export, oracle.log_export()),
+        "log_csv": (log_csv, oracle.log_csv()),
         "log_preview": (log_preview, oracle.log_preview()),
         "survey_csv": (survey_csv, oracle.survey_csv()),
         "utterance_csv": (utterance_csv, oracle.person_tokens()),

@@ -17,27 +17,54 @@ def _no_nan(frame: DataFrame) -> DataFrame:
     return frame.withColumns(cleaned) if cleaned else frame
 
 
-def _conform(raw: DataFrame, schema: T.StructType) -> DataFrame:
-    """Select the declared columns by name; missing-value words become null, bad numbers too."""
+def _conform(raw: DataFrame, schema: T.StructType, bad_numbers: str) -> DataFrame:
+    """Select the declared columns by name; missing-value words become null."""
     absent = [name for name in schema.names if name not in raw.columns]
     if absent:
         raise ValueError(f"input lacks the columns {absent}")
+    if bad_numbers not in ("raise", "missing"):
+        raise ValueError(f"bad_numbers is 'raise' or 'missing', not {bad_numbers!r}")
 
     def read(field: T.StructField) -> Column:
         cell = F.col(f"`{field.name}`")
         present = F.when(~cell.isin(*S.MISSING_TOKENS), cell)
-        return present.try_cast(field.dataType).alias(field.name)
+        value = present.try_cast(field.dataType)
+        if bad_numbers == "raise" and not isinstance(field.dataType, T.StringType):
+            told = F.concat(F.lit(f"column {field.name} holds no number: "), cell)
+            value = F.when(present.isNotNull() & value.isNull(), F.raise_error(told).cast(field.dataType)).otherwise(value)
+        return value.alias(field.name)
 
     return raw.select(*[read(field) for field in schema])
 
 
+def bad_numbers(spark: SparkSession, path: str | list[str], schema: T.StructType, multi_line: bool = True) -> DataFrame:
+    """Per number column, how many of its cells are neither numbers nor missing: `column, n`."""
+    raw = _cells(spark, path, multi_line)
+    counts = []
+    for field in schema:
+        if not isinstance(field.dataType, T.StringType):
+            cell = F.col(f"`{field.name}`")
+            counts.append(F.count_if(~cell.isin(*S.MISSING_TOKENS) & cell.try_cast(field.dataType).isNull()).alias(field.name))
+    totals = raw.agg(*counts)
+    return totals.unpivot([], [F.col(f"`{c}`") for c in totals.columns], "column", "n")
+
+
+def _cells(spark: SparkSession, path: str | list[str], multi_line: bool) -> DataFrame:
+    # Files whose header differs from the first one's raise instead of being read by position.
+    options = {"header": True, "multiLine": multi_line, "escape": '"', "encoding": "UTF-8", "enforceSchema": False}
+    names = spark.read.options(**options).csv(path).columns
+    texts = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    return spark.read.schema(texts).options(**options).csv(path)
+
+
 def read_csv(
-    spark: SparkSession, path: str | list[str], schema: T.StructType, multi_line: bool = True
+    spark: SparkSession, path: str | list[str], schema: T.StructType, multi_line: bool = True, bad_numbers: str = "raise"
 ) -> DataFrame:
-    """CSV with a header and doubled quotes. Quoted line breaks need `multi_line`, which reads each file
-    in one task: give it many files, or turn it off where no cell holds a line break."""
-    raw = spark.read.options(header=True, multiLine=multi_line, escape='"', encoding="UTF-8").csv(path)
-    return _no_nan(_conform(raw, schema))
+    """CSV with a header and doubled quotes; all files need the same header. A cell that should be a number and is
+    not raises, or is missing if `bad_numbers` says so (the function of that name counts them). Quoted line breaks
+    need `multi_line`, which reads each file in one task: give it many files, or turn it off where no cell holds a
+    line break."""
+    return _no_nan(_conform(_cells(spark, path, multi_line), schema, bad_numbers))
 
 
 def _read(

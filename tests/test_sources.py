@@ -20,7 +20,7 @@ def write_survey(path, people=40):
         condition = ("text", "male_avatar", "female_avatar", "other")[i % 4]
         numbers = [str(1 + (i * k + k) % 5) for k in range(2, 2 + len(S.SURVEY) - 4)]
         if i == 4:
-            numbers[0], numbers[1] = "NA", "oops"
+            numbers[0], numbers[1] = "NA", ""
         lines.append(",".join(["e", str(i), condition, "FM"[i % 2], f'"eth, {i % 3}"', *numbers]))
     path.write_text("﻿" + "\n".join(lines) + "\n", encoding="utf-8")
 
@@ -48,6 +48,29 @@ def test_survey_csv(spark, inputs):
     assert gaps[S.ETHNICITY] == "eth, 1"
 
 
+def test_bad_numbers(spark, tmp_path):
+    write_survey(tmp_path / "survey.csv")
+    text = (tmp_path / "survey.csv").read_text(encoding="utf-8").splitlines()
+    cells = text[3].split(",")
+    cells[6] = "seven"
+    (tmp_path / "survey.csv").write_text("\n".join([*text[:3], ",".join(cells), *text[4:]]), encoding="utf-8")
+    path = str(tmp_path / "survey.csv")
+    with pytest.raises(Exception, match="holds no number: seven"):
+        readers.read_survey(spark, path).collect()
+    counted = {r["column"]: r["n"] for r in readers.bad_numbers(spark, path, S.SURVEY).collect()}
+    assert sum(counted.values()) == 1
+    assert readers.read_csv(spark, path, S.SURVEY, bad_numbers="missing").count() == 40
+
+
+def test_headers_that_differ(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("person_id,text\n1,one two\n")
+    (tmp_path / "in" / "b.csv").write_text("text,person_id\nthree word text,2\n")
+    for multi_line in (True, False):
+        with pytest.raises(Exception, match="(?i)header"):
+            readers.read_csv(spark, str(tmp_path / "in"), S.UTTERANCE, multi_line).collect()
+
+
 def test_utterance_csv(spark, inputs):
     rows = readers.read_utterances(spark, inputs[1]).collect()
     assert len(rows) == 43
