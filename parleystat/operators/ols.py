@@ -169,6 +169,30 @@ def fit_statistics(spark: SparkSession, fits: Sequence[Fit]) -> DataFrame:
     )
 
 
+def mediation_effects(spark: SparkSession, fits: Sequence[Fit], treatment: str, mediator: str) -> DataFrame:
+    """Per outcome: the total effect c, the paths a and b, the direct effect c', the indirect effect a*b and its z
+    (Sobel). c = c' + a*b holds only where the three models share one sample."""
+
+    def effect(fit: Fit, column: str) -> tuple[float, float]:
+        place = next(i for i, t in enumerate(fit.terms) if t.column == column and t.level is None)
+        return float(fit.beta[place]), float(fit.std[place])
+
+    def is_full(fit: Fit) -> bool:
+        return mediator in fit.model.numeric
+
+    a, a_std = next(effect(f, treatment) for f in fits if f.model.outcome == mediator)
+    totals = {f.model.published_outcome: effect(f, treatment)[0] for f in fits if f.model.outcome != mediator and not is_full(f)}
+    rows = []
+    for fit in filter(is_full, fits):
+        b, b_std = effect(fit, mediator)
+        spread = math.sqrt(b * b * a_std * a_std + a * a * b_std * b_std)
+        z = a * b / spread if spread > 0 else math.nan
+        outcome = fit.model.published_outcome
+        rows.append((outcome, totals[outcome], a, b, effect(fit, treatment)[0], a * b, z))
+    schema = "outcome string, total double, path_a double, path_b double, direct double, indirect double, sobel_z double"
+    return spark.createDataFrame(rows, schema)
+
+
 def predictions(frame: DataFrame, fit: Fit) -> DataFrame:
     """Actual, fitted and residual value of every row of the model's sample, unrounded. The tokens are
     listed wherever the frame has them, whether or not the model uses them."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from parleystat import schemas as S
 from parleystat.operators.moments import Model
 
@@ -51,5 +53,10 @@ def full_outcome_models() -> list[Model]:
     return [Model("full_outcome", y, numeric, CATEGORIES, required) for y in OUTCOMES]
 
 
-def mediation_models() -> list[Model]:
-    return total_effect_models() + path_a_models() + full_outcome_models()
+def mediation_models(common_sample: bool = False) -> list[Model]:
+    """The three models, each over its own complete cases, or all over the rows that every one of them can use."""
+    models = total_effect_models() + path_a_models() + full_outcome_models()
+    if not common_sample:
+        return models
+    shared = tuple(dict.fromkeys(c for m in models for c in m.required))
+    return [replace(m, required=shared) for m in models]

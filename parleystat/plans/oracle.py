@@ -158,6 +158,20 @@ select model, outcome, term, {rounded('coefficients')}, {rounded('std')}, {round
     return " union all ".join(parts)
 
 
+def mediation_effects() -> str:
+    def effects(name: str, model: str) -> str:
+        return f"{name} as (select * from (with recursive {_solve_ctes(model)} select outcome, term, coefficients, std from coef))"
+
+    parts = ", ".join(effects(n, m) for n, m in (("t", "total_effect"), ("a", "path_a"), ("f", "full_outcome")))
+    named = ("t.coefficients", "total"), ("a.coefficients", "path_a"), ("b.coefficients", "path_b"), ("d.coefficients", "direct")
+    ab = "a.coefficients * b.coefficients"
+    z = f"{ab} / sqrt(power(b.coefficients * a.std, 2) + power(a.coefficients * b.std, 2))"
+    shown = ", ".join(f"round({e}, 6) + 0.0 as {n}" for e, n in (*named, (ab, "indirect"), (z, "sobel_z")))
+    return f"""with {parts} select t.outcome, {shown} from t, a, f b, f d
+where t.term = 'condition_avatar' and a.term = 'condition_avatar' and b.term = 'anthropomorphism_score'
+  and d.term = 'condition_avatar' and b.outcome = t.outcome and d.outcome = t.outcome"""
+
+
 def published_coefficients(model: str) -> str:
     even = ", ".join(
         f'round_even({name} * 10000, 0) / 10000 + 0.0 as "{alias}"'

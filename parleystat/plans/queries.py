@@ -19,6 +19,7 @@ from parleystat.operators.moments import Model, collect_moments
 from parleystat.operators.skew import HeavyKeys, heavy_keys
 from parleystat.plans import oracle, proxies
 from parleystat.plans.models import (
+    MEDIATOR,
     full_outcome_models,
     mediation_models,
     path_a_models,
@@ -126,6 +127,12 @@ def _fit_statistics(models: Callable[[], list[Model]]) -> Query:
     return run
 
 
+def mediation_effects(spark: SparkSession, folder: str) -> DataFrame:
+    fits = ols.fit_models(_frame(spark, folder), mediation_models())
+    table = ols.mediation_effects(spark, fits, "condition_avatar", MEDIATOR)
+    return _six(table, *table.columns[1:])
+
+
 def coeffs_published(spark: SparkSession, folder: str) -> DataFrame:
     fits = ols.fit_models(_frame(spark, folder), regression_models(4))
     return _plain_zero(ols.published(ols.coefficients(spark, fits)), "coefficients", "std", "t", "p-value")
@@ -466,6 +473,7 @@ def _catalogue() -> dict[str, tuple[Query, str | None]]:
         "mediation_total": (_coefficients(total_effect_models), oracle.coefficients(["total_effect"])),
         "mediation_path_a": (_coefficients(path_a_models), oracle.coefficients(["path_a"])),
         "mediation_full": (_coefficients(full_outcome_models), oracle.coefficients(["full_outcome"])),
+        "mediation_effects": (mediation_effects, oracle.mediation_effects()),
         "mediation_study": (
             _coefficients(mediation_models), oracle.coefficients(["total_effect", "path_a", "full_outcome"])
         ),

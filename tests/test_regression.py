@@ -240,3 +240,11 @@ def test_written_study(spark, tmp_path):
     assert read("predictions/path_a/anthropomorphism").count() == 597
     assert read("predictions/full_outcome/EMP_1").count() == 581
     assert read("by_condition/path_a").count() == 3
+
+
+def test_mediation_effects_add_up_on_a_common_sample(spark, frame):
+    fits = ols.fit_models(frame, mediation_models(common_sample=True))
+    assert len({f.n for f in fits}) == 1
+    for row in ols.mediation_effects(spark, fits, "condition_avatar", "anthropomorphism_score").collect():
+        assert row["total"] == pytest.approx(row["direct"] + row["indirect"], abs=1e-9)
+        assert row["indirect"] == pytest.approx(row["path_a"] * row["path_b"])
