@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,13 +56,12 @@ def followed_columns(followed: DataFrame, variant: str, order: Sequence[str]) ->
 
 
 def _follow(order: list[str]):
-    def before(values: list, held: str | None) -> tuple[list, str | None]:
+    def before(values: pd.Series, held: str | None) -> tuple[np.ndarray, str | None]:
         """What was held before each value, where a missing value changes nothing; and what is held last."""
-        held_before = []
-        for value in values:
-            held_before.append(held)
-            held = value if isinstance(value, str) else held
-        return held_before, held
+        places = np.where(values.notna(), np.arange(len(values)), -1)
+        last = np.concatenate([[-1], np.maximum.accumulate(places)]).astype(int)
+        taken = np.append(values.to_numpy(dtype=object), held)  # place -1 is what was held at first
+        return taken[last[:-1]], taken[last[-1]]
 
     def follow(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         turns, article, response = state.get if state.exists else (0, None, None)
@@ -70,8 +70,8 @@ def _follow(order: list[str]):
         if len(rows) > 1:
             rows = rows.sort_values(order, kind="stable", na_position="first", ignore_index=True)
         counted = rows["counted"].to_numpy(dtype="int64")
-        articles, article = before(rows.pop("stored_article").tolist(), article)
-        responses, response = before(rows.pop("stored_response").tolist(), response)
+        articles, article = before(rows.pop("stored_article"), article)
+        responses, response = before(rows.pop("stored_response"), response)
         rows["prior_turns"] = turns + counted.cumsum() - counted
         rows["prior_stored_article"] = articles
         rows["prior_stored_response"] = responses
