@@ -69,7 +69,7 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-def portions(texts: list, most: int = 4 << 20):
+def portions(texts: list, most: int = 1 << 20):
     """Ranges of texts that together hold about `most` characters, so work arrays stay small."""
     first, size = 0, 0
     for i, t in enumerate(texts):
