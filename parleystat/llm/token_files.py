@@ -17,6 +17,7 @@ from parleystat.llm.common import Remembered, batches, stored
 
 #: Ids after which a frame is closed.
 FRAME_IDS = 1 << 18
+_SIGNS = frozenset(".,;:!?")
 
 
 class ByteLevelEncoder:
@@ -38,23 +39,35 @@ class ByteLevelEncoder:
         self.chunks = regex.compile(pattern).findall
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd = re.compile(r"\s (?:\s|$)").search
-        self.letters = {b: c for b, c in zip(range(256), byte_letters())}
-        self.of_chunk = Remembered(self._chunk).__getitem__
-        self.of_piece = Remembered(self._piece).__getitem__
+        self.letters = byte_letters()
+        self.packed = [n.to_bytes(4, "little") for n in range(self.tokenizer.get_vocab_size())]
+        self.of_chunk = Remembered(self._chunk, 400_000).__getitem__
+        self.of_word = Remembered(self._word, 600_000).__getitem__
 
     def _chunk(self, chunk: str) -> bytes:
-        spelled = chunk.encode("utf-8").decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
+        if chunk.isascii() and chunk.isprintable():  # only the space is spelled otherwise
+            spelled = chunk.replace(" ", self.letters[0x20])
+        else:
+            spelled = "".join(map(self.letters.__getitem__, chunk.encode("utf-8")))
+        return b"".join([self.packed[t.id] for t in self.model.tokenize(spelled)])
 
     def _piece(self, piece: str) -> bytes:
         return b"".join(map(self.of_chunk, self.chunks(piece)))
 
+    def _word(self, word: str) -> bytes:
+        """A word with the space before it. Letters are one chunk, and a sign after them is another."""
+        if word.isalpha():
+            return self.of_chunk(" " + word)
+        if word[-1:] in _SIGNS and word[:-1].isalpha():
+            return self.of_chunk(" " + word[:-1]) + self.of_chunk(word[-1])
+        return self._piece(" " + word)
+
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if self.odd(text) or any(t in text for t in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        first, *rest = text.split(" ")
-        return self.of_piece(first) + b"".join(map(self.of_piece, [f" {x}" for x in rest]))
+        first, space, rest = text.partition(" ")
+        return self._piece(first) + (b"".join(map(self.of_word, rest.split(" "))) if space else b"")
 
 
 def byte_letters() -> list[str]:
