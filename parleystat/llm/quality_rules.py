@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parleystat.llm.common import stored
+
 WORD_BREAK = r"[\x20\x09-\x0D]+"
 BREAKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -236,7 +238,10 @@ def judged(measured: DataFrame, model: LabelModel) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with their own columns. Fits on all of `docs` first."""
-    model = fit(measures(docs, keep=()))
+    """The documents that pass, with their own columns.
+
+    Rows are written with their measures, so that fitting and filtering read these and neither computes them again.
+    """
     whole = docs.select("text", F.struct("*").alias("_row"))
-    return judged(measures(whole, keep=("_row",)), model).where("kept").select("_row.*")
+    measured = stored(measures(whole, keep=("_row",)), "measured")
+    return judged(measured, fit(measured)).where("kept").select("_row.*")
