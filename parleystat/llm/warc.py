@@ -143,7 +143,11 @@ class Gap(NamedTuple):
 
 
 class Damaged(Exception):
-    pass
+    """Why there is no valid record; none starts before `past` either, as the same header would fail again."""
+
+    def __init__(self, reason: str, past: int = 0):
+        super().__init__(reason)
+        self.past = past
 
 
 def _inflate(data: bytes, start: int, step: int = 1 << 15) -> tuple[bytes, int]:
@@ -160,30 +164,36 @@ def _inflate(data: bytes, start: int, step: int = 1 << 15) -> tuple[bytes, int]:
     return b"".join(out), min(at, len(data)) - len(unpacker.unused_data)
 
 
-def _parse(data: bytes, start: int) -> Record:
-    """The plain record at `start`, checked against its lengths and digests."""
-    if not _VERSION_LINE.match(data, start):
-        raise Damaged("no version line")
-    split = data.find(END, start, start + (1 << 20))
-    if split < 0:
-        raise Damaged("unclosed header")
+def _headers(data: bytes, at: int) -> tuple[dict[str, str], int]:
+    """The header lines from `at` to the empty line, however long, and where the block begins. The walk ends at the
+    first line that is none, so damage does not make it read on through what follows."""
     headers: dict[str, str] = {}
-    for line in data[start:split].split(CRLF)[1:]:
-        name, colon, value = line.partition(b":")
+    while (stop := data.find(CRLF, at)) != at:
+        if stop < 0:
+            raise Damaged("unclosed header", at)
+        name, colon, value = data[at:stop].partition(b":")
         try:
             said = value.decode("utf-8").strip()
         except UnicodeDecodeError:
-            raise Damaged("broken header line") from None
+            raise Damaged("broken header line", at) from None
         if not colon or not _NAME.fullmatch(name) or _CONTROL.search(value):
-            raise Damaged("broken header line")
+            raise Damaged("broken header line", at)
         headers[name.decode().lower()] = said
+        at = stop + len(CRLF)
+    return headers, at + len(CRLF)
+
+
+def _parse(data: bytes, start: int) -> Record:
+    """The plain record at `start`, checked against its lengths and digests."""
+    if not _VERSION_LINE.match(data, start):
+        raise Damaged("no version line")
+    headers, begin = _headers(data, start + len(b"WARC/1.1\r\n"))
     length = headers.get("content-length", "")
     if not (length.isascii() and length.isdigit()):
-        raise Damaged("no content length")
-    begin = split + len(END)
+        raise Damaged("no content length", begin)
     end = begin + int(length)
     if data[end : end + len(END)] != END:
-        raise Damaged("content length does not meet the record's end")
+        raise Damaged("content length does not meet the record's end", begin)
     block = data[begin:end]
     named = headers.get("warc-block-digest", "")
     if named.startswith("sha1:") and named[5:] != sha1_base32(block):
@@ -208,7 +218,10 @@ def _unit(data: bytes, start: int) -> tuple[list[Record], int]:
         plain, end = _inflate(data, start)
         records, at = [], 0
         while at < len(plain):
-            record = _parse(plain, at)
+            try:
+                record = _parse(plain, at)
+            except Damaged as damage:
+                raise Damaged(str(damage)) from None
             records.append(Record(start, end, record.headers, record.block))
             at = record.end
         return records, end
@@ -225,8 +238,8 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
             yield from records
             continue
         except Damaged as damage:
-            reason, found = str(damage), None
-        gap, search = at, at + 1
+            reason, found, search = str(damage), None, max(at + 1, damage.past)
+        gap = at
         places = {MAGIC: data.find(MAGIC, search), VERSION: data.find(VERSION, search)}
         while found is None:
             for mark, place in places.items():
@@ -239,8 +252,8 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
             try:
                 records, at = _unit(data, place)
                 found = place
-            except Damaged:
-                search = place + 1
+            except Damaged as damage:
+                search = max(place + 1, damage.past)
         yield Gap(gap, found, reason)
         yield from records
 
@@ -269,7 +282,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                             h.get("warc-target-uri"), list(h.items()), payload, digest,
                         )
 
-        yield from batches(events(), EVENTS, weigh=lambda r: len(r[9] or b""))
+        yield from batches(events(), EVENTS, weigh=lambda r: len(r[9] or b"") + 2 * len(r[7] or ""))
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(read, EVENTS_DDL)

@@ -110,3 +110,23 @@ def test_gaps_are_rows(spark, tmp_path):
     gap = [r for r in events if r.kind == "gap"]
     assert len(gap) == 1 and gap[0].offset == 0 and gap[0].reason and gap[0].path.endswith("a.warc.gz")
     assert [bytes(r.payload) for r in events if r.kind == "record"] == payloads[1:]
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_a_very_long_url_is_read_back(spark, compress):
+    url = "http://h/" + "é /" * (2 << 18) + "x" * (2 << 20)
+    rows = [(1, url, "long", "", 1, ""), (2, "u", "short", "", 1, "")]
+    assert [r[:2] for r in results(spark, rows, compress=compress)] == [(1, 4), (2, 5)]
+
+
+def test_damage_in_a_very_long_header_costs_its_record_only():
+    records = [warc._record(i, f"http://h/{'x' * (2 << 20)}", b"%d" % i, None, False) + warc.END for i in range(3)]
+    broken = records[0] + records[1].replace(b"xxx", b"x\0x", 1) + records[2]
+    assert bodies(warc.salvage(broken)) == [b"0", b"2"]
+
+
+def test_header_of_version_lines_is_walked_once():
+    lines = b"WARC/1.1\r\n" + b"a: WARC/1.1\r\n" * 100_000
+    whole = warc._record(1, "u", b"after", None, False) + warc.END
+    assert bodies(warc.salvage(lines + b"\0\r\n" + whole)) == [b"after"]
+    assert bodies(warc.salvage(lines)) == []
