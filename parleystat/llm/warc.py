@@ -6,9 +6,12 @@ record's own closing blank lines as that separator; compressed ones write each r
 and an empty member as the separator, which readers of concatenated gzip skip.
 
 Reading. One task reads one file (the writer keeps files small; size foreign archives the same way) and walks it
-member by member. A member or record counts only if everything checks: compression, version line, lengths and
-digests. Where a check fails the reader opens a gap, searches for the next gzip magic or version line that starts a
-valid record, and goes on there; the skipped bytes come out as a row with their offsets and the reason.
+member by member. A record counts only if everything checks: version line, lengths and digests. Where a check fails
+the reader opens a gap, searches for the next gzip magic or version line that starts a valid record, and goes on
+there; the skipped bytes come out as a row with their offsets and the reason. Inside a member the same search goes
+over its inflated bytes, as far as they can be had: a member that is cut or broken gives the records before the
+damage (where compression or its checksum failed, only those with a digest of their block), whichever way an archive is
+compressed. As in plain archives, no digest covers a record's header lines.
 """
 
 from __future__ import annotations
@@ -17,7 +20,8 @@ import base64
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -35,6 +39,7 @@ IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _VERSION_LINE = re.compile(rb"WARC/1\.\d\r\n")
 _NAME = re.compile(rb"[A-Za-z0-9_-]+")
 _CONTROL = re.compile(rb"[\x00-\x08\x0a-\x1f\x7f]")
+CUT, BROKEN = "truncated member", "broken compression"
 WRITTEN = "2000-01-01T00:00:00Z"
 
 EVENTS = pa.schema(
@@ -50,11 +55,14 @@ EVENTS = pa.schema(
         ("headers", pa.map_(pa.string(), pa.string())),
         ("payload", pa.binary()),
         ("payload_digest", pa.string()),
+        ("inner_offset", pa.int64()),  # in the inflated bytes of the member at `offset`
+        ("inner_length", pa.int64()),
     ]
 )
 EVENTS_DDL = (
     "kind string, path string, offset long, length long, reason string, record_type string, record_id string, "
-    "target_uri string, headers map<string,string>, payload binary, payload_digest string"
+    "target_uri string, headers map<string,string>, payload binary, payload_digest string, "
+    "inner_offset long, inner_length long"
 )
 
 
@@ -134,34 +142,59 @@ class Record(NamedTuple):
     end: int
     headers: dict[str, str]
     block: bytes
+    inner: tuple[int, int] | None = None  # where it is in the inflated bytes of its member
 
 
 class Gap(NamedTuple):
     start: int
     end: int
     reason: str
+    inner: tuple[int, int] | None = None
 
 
 class Damaged(Exception):
-    """Why there is no valid record; none starts before `past` either, as the same header would fail again."""
+    """Why there is no valid record. None starts before `past` either, as the same header would fail again. `frame`
+    is where the record ends by its length, if that is met and only a digest differs."""
 
-    def __init__(self, reason: str, past: int = 0):
+    def __init__(self, reason: str, past: int = 0, frame: int = 0):
         super().__init__(reason)
-        self.past = past
+        self.past, self.frame = past, frame
 
 
-def _inflate(data: bytes, start: int, step: int = 1 << 15) -> tuple[bytes, int]:
-    """The gzip member at `start` and where it ends. It is fed in steps, so what follows it is never copied."""
+def _inflate(data: bytes, start: int, step: int = 1 << 15) -> tuple[bytes, int, str | None]:
+    """The gzip member at `start`, where it ends, and why it is not whole: then it is what comes before the damage.
+    It is fed in steps, so what follows it is never copied; a step that fails is fed again byte by byte."""
     unpacker, out, at = zlib.decompressobj(31), [], start
-    try:
-        while not unpacker.eof:
-            if at >= len(data):
-                raise Damaged("truncated member")
+    while not unpacker.eof:
+        if at >= len(data):
+            return b"".join(out), at, CUT
+        before = unpacker.copy() if out else None
+        try:
             out.append(unpacker.decompress(data[at : at + step]))
-            at += step
-    except zlib.error:
-        raise Damaged("broken compression") from None
-    return b"".join(out), min(at, len(data)) - len(unpacker.unused_data)
+        except zlib.error:
+            before = before or zlib.decompressobj(31)
+            try:
+                while True:
+                    out.append(before.decompress(data[at : at + 1]))
+                    at += 1
+            except zlib.error:
+                return b"".join(out), at, BROKEN
+        at += step
+    return b"".join(out), min(at, len(data)) - len(unpacker.unused_data), None
+
+
+def _reached(data: bytes, start: int, length: int, step: int = 1 << 15) -> int:
+    """Where the first `length` inflated bytes of the member at `start` have been read."""
+    unpacker, at = zlib.decompressobj(31), start
+    while length:
+        part, before = data[at : at + step], unpacker.copy()
+        try:
+            length -= len(unpacker.decompress(part, length))
+        except zlib.error:  # what follows them in the same step is broken
+            unpacker, step = before, 1
+            continue
+        at += len(part) - len(unpacker.unconsumed_tail)
+    return at
 
 
 def _headers(data: bytes, at: int) -> tuple[dict[str, str], int]:
@@ -183,8 +216,8 @@ def _headers(data: bytes, at: int) -> tuple[dict[str, str], int]:
     return headers, at + len(CRLF)
 
 
-def _parse(data: bytes, start: int) -> Record:
-    """The plain record at `start`, checked against its lengths and digests."""
+def _parse(data: bytes, start: int, by_digest: bool = False) -> Record:
+    """The plain record at `start`, checked against its lengths and digests; `by_digest` asks for the block's."""
     if not _VERSION_LINE.match(data, start):
         raise Damaged("no version line")
     headers, begin = _headers(data, start + len(b"WARC/1.1\r\n"))
@@ -195,12 +228,15 @@ def _parse(data: bytes, start: int) -> Record:
     if data[end : end + len(END)] != END:
         raise Damaged("content length does not meet the record's end", begin)
     block = data[begin:end]
-    named = headers.get("warc-block-digest", "")
-    if named.startswith("sha1:") and named[5:] != sha1_base32(block):
-        raise Damaged("block digest differs")
-    named = headers.get("warc-payload-digest", "")
-    if named.startswith("sha1:") and headers.get("warc-type") == "response" and named[5:] != sha1_base32(payload_of(headers, block)):
-        raise Damaged("payload digest differs")
+    digests = {"block": headers.get("warc-block-digest", "")}
+    if headers.get("warc-type") == "response":
+        digests["payload"] = headers.get("warc-payload-digest", "")
+    known = {of: named[5:] for of, named in digests.items() if named.startswith("sha1:")}
+    for of, named in known.items():
+        if named != sha1_base32(block if of == "block" else payload_of(headers, block)):
+            raise Damaged(f"{of} digest differs", frame=end + len(END))
+    if by_digest and "block" not in known:
+        raise Damaged("no block digest to tell by")
     return Record(start, end + len(END), headers, block)
 
 
@@ -212,50 +248,82 @@ def payload_of(headers: dict[str, str], block: bytes) -> bytes:
     return block[split + len(END) :] if split >= 0 else b""
 
 
-def _unit(data: bytes, start: int) -> tuple[list[Record], int]:
-    """All records of the member or plain record at `start`, and where it ends."""
-    if data.startswith(MAGIC, start):
-        plain, end = _inflate(data, start)
-        records, at = [], 0
-        while at < len(plain):
-            try:
-                record = _parse(plain, at)
-            except Damaged as damage:
-                raise Damaged(str(damage)) from None
-            records.append(Record(start, end, record.headers, record.block))
-            at = record.end
-        return records, end
-    record = _parse(data, start)
-    return [record], record.end
+Unit = tuple[list[Record | Gap], int, Damaged | None]
 
 
-def salvage(data: bytes) -> Iterator[Record | Gap]:
-    """Every valid record of an archive, and every gap between them, in order. An empty archive has neither."""
-    at = 0
+def _plain(data: bytes, start: int, by_digest: bool = False) -> Unit:
+    record = _parse(data, start, by_digest)
+    return [record], record.end, None
+
+
+def _unit(data: bytes, start: int) -> Unit:
+    """The records and inner gaps of the member or plain record at `start`, where it ends, and what is wrong with the
+    rest. A member that is not whole ends behind its last valid record."""
+    if not data.startswith(MAGIC, start):
+        return _plain(data, start)
+    plain, end, broken = _inflate(data, start)
+    found = list(_walk(plain, partial(_plain, by_digest=broken == BROKEN), (VERSION,)))
+    if broken:
+        while found and isinstance(found[-1], Gap):
+            found.pop()
+        if not found:
+            raise Damaged(broken)
+        end = _reached(data, start, found[-1].end)
+    placed = [x._replace(start=start, end=end, inner=(x.start, x.end)) for x in found]
+    return placed, end, Damaged(broken) if broken else None
+
+
+def _meets(data: bytes, unit: Callable[..., Unit], at: int, frame: int) -> bool:
+    """Whether whole units follow each other from `at` up to `frame`."""
+    try:
+        while at < frame:
+            _, at, rest = unit(data, at)
+            if rest:
+                return False
+    except Damaged:
+        return False
+    return at == frame
+
+
+def _walk(data: bytes, unit: Callable[..., Unit], marks: tuple[bytes, ...]) -> Iterator[Record | Gap]:
+    """Units from the start on; after damage, from the next of `marks` that starts one with a valid record.
+
+    In a record of which only a digest differs, records count only if they fill it to its end (a wrong length had
+    taken them in); else its payload quotes them.
+    """
+    at, search, damage, places = 0, 0, None, dict.fromkeys(marks, 0)
     while at < len(data):
+        place = at
+        if damage:
+            for mark in marks:
+                if 0 <= places[mark] < search:
+                    places[mark] = data.find(mark, search)
+            place = min((p for p in places.values() if p >= 0), default=len(data))
+            if place == len(data):
+                yield Gap(at, place, str(damage))
+                return
         try:
-            records, at = _unit(data, at)
-            yield from records
+            found, end, rest = unit(data, place)
+            if damage and found and not any(isinstance(x, Record) for x in found):
+                raise Damaged("no valid record")
+            if damage and place < damage.frame and not _meets(data, unit, end, damage.frame):
+                raise Damaged("quoted")
+        except Damaged as failed:
+            damage = damage or failed
+            search = max(place + 1, failed.past)
             continue
-        except Damaged as damage:
-            reason, found, search = str(damage), None, max(at + 1, damage.past)
-        gap = at
-        places = {MAGIC: data.find(MAGIC, search), VERSION: data.find(VERSION, search)}
-        while found is None:
-            for mark, place in places.items():
-                if 0 <= place < search:
-                    places[mark] = data.find(mark, search)
-            place = min((p for p in places.values() if p >= 0), default=-1)
-            if place < 0:
-                found, records, at = len(data), [], len(data)
-                break
-            try:
-                records, at = _unit(data, place)
-                found = place
-            except Damaged as damage:
-                search = max(place + 1, damage.past)
-        yield Gap(gap, found, reason)
-        yield from records
+        if at < place:
+            yield Gap(at, place, str(damage))
+        yield from found
+        at, search, damage = end, end, rest
+
+
+def salvage(data: bytes) -> Iterator[Record | Gap]:
+    """Every valid record of an archive, and every gap between them, in order. An empty archive has neither.
+
+    Records and gaps inside a gzip member have its offsets and their own in its inflated bytes (`inner`).
+    """
+    return _walk(data, _unit, (MAGIC, VERSION))
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -269,8 +337,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             for part in parts:
                 for name, data in zip(part.column(0).to_pylist(), part.column(1)):
                     for x in salvage(data.as_py()):
+                        inner = (x.inner[0], x.inner[1] - x.inner[0]) if x.inner else (None, None)
                         if isinstance(x, Gap):
-                            yield ("gap", name, x.start, x.end - x.start, x.reason, *[None] * 6)
+                            yield ("gap", name, x.start, x.end - x.start, x.reason, *[None] * 6, *inner)
                             continue
                         h = x.headers
                         kind = h.get("warc-type")
@@ -279,7 +348,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         digest = named or (None if payload is None else sha1_base32(payload))
                         yield (
                             "record", name, x.start, x.end - x.start, None, kind, h.get("warc-record-id"),
-                            h.get("warc-target-uri"), list(h.items()), payload, digest,
+                            h.get("warc-target-uri"), list(h.items()), payload, digest, *inner,
                         )
 
         yield from batches(events(), EVENTS, weigh=lambda r: len(r[9] or b"") + 2 * len(r[7] or ""))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import gzip
 import os
+import zlib
 
 import pytest
 
@@ -130,3 +131,79 @@ def test_header_of_version_lines_is_walked_once():
     whole = warc._record(1, "u", b"after", None, False) + warc.END
     assert bodies(warc.salvage(lines + b"\0\r\n" + whole)) == [b"after"]
     assert bodies(warc.salvage(lines)) == []
+
+
+def records(n: int) -> list[bytes]:
+    return [warc._record(i, f"http://h/{i}", b"%d " % i * (i * 37 % 500), None, False) + warc.END for i in range(n)]
+
+
+def all_but(found, *lost, of=40):
+    assert [int(x.headers["warc-record-id"][10:-1]) for x in found if isinstance(x, warc.Record)] == [
+        i for i in range(of) if i not in lost
+    ]
+    return [x for x in found if isinstance(x, warc.Gap)]
+
+
+@pytest.mark.parametrize("per_member", [40, 7])
+@pytest.mark.parametrize("level", [0, 6])
+@pytest.mark.parametrize("field", [b"WARC-Block-Digest: sha1:", b"\r\nContent-Length: ", b"WARC/1."])
+def test_a_wrong_field_inside_a_member_costs_one_record(per_member, level, field):
+    parts = records(40)
+    at = parts[20].index(field) + len(field)
+    wrong = bytes([parts[20][at] ^ 1])
+    parts[20] = parts[20][:at] + wrong + parts[20][at + 1 :] if field != b"WARC/1." else b"?" + parts[20][1:]
+    members = [b"".join(parts[i : i + per_member]) for i in range(0, 40, per_member)]
+    packed = [gzip.compress(m, level, mtime=0) for m in members]
+    gaps = all_but(list(warc.salvage(b"".join(packed))), 20)
+    mine = 20 // per_member
+    start, inner = len(b"".join(packed[:mine])), len(b"".join(parts[mine * per_member : 20]))
+    assert [(g.start, g.end, g.inner) for g in gaps] == [(start, start + len(packed[mine]), (inner, inner + len(parts[20])))]
+
+
+@pytest.mark.parametrize("level", [0, 6])
+@pytest.mark.parametrize("seed", range(8))
+def test_a_cut_or_broken_stream_gives_what_comes_before(level, seed):
+    import random
+
+    parts = records(40)
+    data = gzip.compress(b"".join(parts), level, mtime=0)
+    at = random.Random(seed).randrange(20, len(data) - 8)
+    before, ends = zlib.decompressobj(31).decompress(data[:at]), [len(b"".join(parts[: i + 1])) for i in range(40)]
+    whole = [i for i in range(40) if ends[i] <= len(before)]
+    after = gzip.compress(warc._record(99, "u", b"next", None, False) + warc.END)
+    cut = list(warc.salvage(data[:at]))
+    assert [x.block for x in cut if isinstance(x, warc.Record)] == [warc._parse(parts[i], 0).block for i in whole]
+    assert cut[-1].reason == "truncated member" and cut[-1].end == at
+    for broken in (data[:at] + after, data[:at] + bytes([data[at] ^ 0x55]) + data[at + 1 :] + after):
+        found = [x.headers["warc-record-id"] for x in warc.salvage(broken) if isinstance(x, warc.Record)]
+        assert found[: len(whole)] == [f"<urn:page:{i}>" for i in whole] and found[-1] == "<urn:page:99>"
+        assert len(set(found)) == len(found)
+
+
+def test_a_wrong_checksum_costs_only_records_without_a_block_digest():
+    bare = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 2\r\n\r\nab" + warc.END
+    data = gzip.compress(b"".join([*records(3), bare, *records(1)]), mtime=0)
+    assert len(bodies(warc.salvage(data))) == 5
+    found = list(warc.salvage(data[:-8] + b"\0" * 8 + data))
+    assert [x.reason for x in found if isinstance(x, warc.Gap)] == ["no block digest to tell by", "broken compression"]
+    assert len(bodies(found)) == 9
+
+
+@pytest.mark.parametrize("compress", [True, False])
+def test_records_quoted_in_a_record_with_a_wrong_digest(compress):
+    inner = b"<pre>" + b"".join(records(2)) + b"</pre>"
+    wrong = warc._record(7, "u", inner, None, False).replace(b"</pre>", b"</prE>") + warc.END
+    data = b"".join([*records(2), wrong, *records(2)])
+    found = list(warc.salvage(gzip.compress(data) if compress else data))
+    assert len(bodies(found)) == 4 and [x.reason for x in found if isinstance(x, warc.Gap)] == ["block digest differs"]
+
+
+def test_gaps_inside_members_are_rows(spark, tmp_path):
+    parts = records(5)
+    with open(os.path.join(tmp_path, "a.warc.gz"), "wb") as file:
+        file.write(gzip.compress(b"".join([*parts[:2], b"?" + parts[2][1:], *parts[3:]])))
+    events = warc.read_warc(spark, str(tmp_path)).collect()
+    inner = [len(b"".join(parts[:i])) for i in range(5)]
+    assert [(r.kind, r.offset, r.inner_offset, r.inner_length) for r in events] == [
+        ("gap" if i == 2 else "record", 0, inner[i], len(parts[i])) for i in range(5)
+    ]
