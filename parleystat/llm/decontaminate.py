@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from itertools import accumulate
@@ -19,7 +20,10 @@ _FOLD = bytes(
     b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 0x20 for b in range(256)
 )
 
+_WORD = re.compile(rb"[^ ]+")
+
 STATE = "array<struct<first:long,last:long>>"
+SPANS = "array<struct<start:long,end:long>>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -28,6 +32,22 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8").translate(_FOLD).split()
 
 
+def passages(text: str, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Where word spans (in order, both ends included) are in the original text: start and end in code points, the
+    end not included."""
+    if not hits:
+        return []
+    raw = text.encode("utf-8")
+    at = [m.span() for m in _WORD.finditer(raw.translate(_FOLD))]  # folding keeps every byte's place
+    out, place, points = [], 0, 0
+    for first, last in hits:
+        start, end = at[first][0], at[last][1]
+        begin = points + len(raw[place:start].decode("utf-8"))
+        points, place = begin + len(raw[start:end].decode("utf-8")), end
+        out.append((begin, points))
+    return out
+
+
 def windows_of(words: list[bytes], window: int = WINDOW) -> set[tuple[bytes, ...]]:
     """Runs of `window` words; a shorter item is one run, an item without words has none."""
     if not words:
@@ -99,12 +119,13 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[str,
 def with_hits(
     docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS
 ) -> DataFrame:
-    """Per row of `docs`: `doc_id, n_words, hits` (merged word spans, both ends included), `items` (sorted names).
+    """Per row of `docs`: `doc_id, n_words, hits` (merged word spans, both ends included), `items` (sorted names) and
+    `spans` (where each of `hits` is in the text: code points, the end not included).
 
     The benchmark meets the texts in blocks of bounded size; each block is one more narrow pass over the rows in
     the same tasks, without a shuffle. A null text has no words. Rows that repeat stay.
     """
-    empty = {"n_words": F.lit(0).cast("long"), "hits": F.array().cast(STATE), "items": F.array().cast("array<string>")}
+    empty = {"n_words": F.lit(0).cast("long"), "hits": F.array().cast(STATE), "items": F.array().cast("array<string>"), "spans": F.array().cast(SPANS)}
     out = docs.select("doc_id", "text").withColumns(empty)
     for block in _blocks(benchmark, block_chars):
         out = _pass(out, block, window)
@@ -117,15 +138,17 @@ def _pass(rows: DataFrame, items: list[tuple[str, str | None]], window: int) ->
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = scanner()
         for part in parts:
-            doc_ids, texts, _, old_hits, old_items = part.columns
-            counts, hits, names = [], [], []
+            doc_ids, texts, _, old_hits, old_items, _ = part.columns
+            counts, hits, names, places = [], [], [], []
             for text, old, older in zip(texts, old_hits.to_pylist(), old_items.to_pylist()):
                 words = words_of(text.as_py())
                 spans, found = finder.scan(words)
                 counts.append(len(words))
-                hits.append([{"first": a, "last": b} for a, b in merged(spans + [(x["first"], x["last"]) for x in old])])
+                spans = merged(spans + [(x["first"], x["last"]) for x in old])
+                hits.append([{"first": a, "last": b} for a, b in spans])
+                places.append([{"start": a, "end": b} for a, b in passages(text.as_py(), spans)])
                 names.append(sorted(found.union(older)))
-            new = [pa.array(v, part.schema.field(i).type) for i, v in ((2, counts), (3, hits), (4, names))]
+            new = [pa.array(v, part.schema.field(i).type) for i, v in ((2, counts), (3, hits), (4, names), (5, places))]
             yield pa.RecordBatch.from_arrays([doc_ids, texts, *new], schema=part.schema)
 
     # Arrays that come back from Python may hold nulls as far as Spark knows.

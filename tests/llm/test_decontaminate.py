@@ -62,3 +62,15 @@ def test_edge_cases(spark):
     assert found(cases.no_docs(spark), items) == []
     two = decontaminate.clean_documents(docs, items.unionByName(items.select((F.col("item_id") + 5).alias("item_id"), "text")), block_chars=20)
     assert two.count() == kept.count()
+
+
+@pytest.mark.parametrize("block_chars", [1 << 20, 20])
+def test_spans_cut_the_passages_out_of_the_original(spark, block_chars):
+    texts = ["é🎉 -- One, TWO é日! x 日本 (three) four…", "one two é日", "none", "", None, "\n🎉one\ttwo é日three FOUR; one\x00Two é日"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, "one two é日"), (2, "Three four…")], "item_id long, text string")
+    rows = {r.doc_id: r for r in decontaminate.with_hits(docs, items, block_chars=block_chars).collect()}
+    cut = {i: [texts[i][s.start : s.end] for s in r.spans] for i, r in rows.items()}
+    assert cut == {0: ["One, TWO é日", "three) four…"], 1: ["one two é日"], 2: [], 3: [], 4: [], 5: ["one\x00Two é日"]}
+    for i, r in rows.items():
+        assert [words(c) for c in cut[i]] == [words(texts[i])[h.first : h.last + 1] for h in r.hits]
