@@ -19,6 +19,8 @@ WORD_BREAK = r"[\x20\x09-\x0D]+"
 BREAKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+#: Words of a window in which distinct words are counted.
+SPREAD = 400
 
 GOOD, ABSTAIN, BAD = 1, 0, -1
 ROUNDS = 100
@@ -81,6 +83,19 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     return F.when(enough, let(let(F.transform(words, lambda w: F.xxhash64(w)), windows), count)).otherwise(F.lit(0).cast("long"))
 
 
+def distinct_share(words: Column, window: int = SPREAD) -> Column:
+    """The mean share of distinct words in windows of `window` words over the whole array, so that its length does
+    not matter; the last window ends where the array does. A shorter array is one window, an empty one has none."""
+    n = F.size(words)
+    windows = F.greatest(F.ceil(n / window).cast("int"), F.lit(1))
+    first = lambda i: F.least(i * window, F.greatest(n - window, F.lit(0))) + 1
+    counts = F.transform(
+        F.sequence(F.lit(0), windows - 1), lambda i: F.size(F.array_distinct(F.slice(words, first(i), F.lit(window))))
+    )
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda t, c: t + c)
+    return F.try_divide(total.cast("double"), (windows.cast("long") * F.least(n, F.lit(window))).cast("double"))
+
+
 def measures(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The columns of `keep` and one struct `m` of what the rules look at, from each whole text.
 
@@ -93,7 +108,7 @@ def measures(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     def of_words(w: Column) -> Column:
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
-            F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
+            distinct_share(w).alias("distinct_share"),
             repeated_words(w).alias("n_repeat_words"),
         )
 
@@ -117,7 +132,7 @@ def measures(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     )
     return parts.select(
         *keep,
-        F.struct("_w.n_words", "_t.word_chars", "_t.n_symbols", "_l.n_dup_lines", "_w.n_repeat_words", "_w.n_distinct",
+        F.struct("_w.n_words", "_t.word_chars", "_t.n_symbols", "_l.n_dup_lines", "_w.n_repeat_words", "_w.distinct_share",
                  "_l.n_lines", "_t.n_exclaims", "_t.n_upper").alias("m"),
     )
 
@@ -135,7 +150,7 @@ def _vote(value: Column, good_to: float, bad_from: float, applies: Column | None
 def votes() -> dict[str, Column]:
     """The rules, each a column of GOOD, ABSTAIN or BAD over `measures`."""
     m = {n: F.col(f"m.{n}").cast("double") for n in (
-        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct", "n_lines", "n_exclaims", "n_upper"
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "distinct_share", "n_lines", "n_exclaims", "n_upper"
     )}
     per_word = lambda name: F.try_divide(m[name], m["n_words"])
     some = m["n_words"] >= 10
@@ -146,7 +161,7 @@ def votes() -> dict[str, Column]:
         "same_lines": _vote(F.try_divide(m["n_dup_lines"], m["n_lines"]), 0.1, 0.3, m["n_lines"] >= 4),
         "capitals": _vote(F.try_divide(m["n_upper"], m["word_chars"]), 0.2, 0.45, some),
         "exclaims": _vote(per_word("n_exclaims"), 0.05, 0.3, some),
-        "one_word": _vote(-F.try_divide(m["n_distinct"], m["n_words"]), -0.35, -0.2, (m["n_words"] >= 30) & (m["n_words"] <= 400)),
+        "one_word": _vote(-m["distinct_share"], -0.35, -0.2, m["n_words"] >= 30),
         "word_size": F.when(~some | length.isNull(), ABSTAIN)
         .when((length < 2.2) | (length > 14), BAD)
         .when((length >= 3) & (length <= 10), GOOD)

@@ -95,3 +95,22 @@ def test_edge_cases(spark):
     assert {r.doc_id for r in kept.collect()} == {1, 2, None, 7, 6}
     assert kept.where("doc_id = 2").count() == 2
     assert qr.filter_documents(cases.no_docs(spark)).collect() == []
+
+
+def test_few_words_are_told_at_any_length(spark):
+    rng = random.Random(8)
+    few, many = [f"w{i}" for i in range(60)], [f"w{i}" for i in range(700)]
+    texts = [[rng.choice(v) for _ in range(n)] for v in (few, many) for n in (0, 29, 30, 399, 400, 401, 800, 1234, 9000)]
+
+    def share(words, window=400):
+        n = len(words)
+        starts = range(0, n, window) if n > window else [0]
+        runs = [words[min(i, max(n - window, 0)) :][:window] for i in starts]
+        return sum(len(set(r)) for r in runs) / sum(map(len, runs)) if n else None
+
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = qr.measures(frame).select("doc_id", "m.distinct_share", qr.votes()["one_word"]).collect()
+    assert {r[0]: r[1] for r in rows} == pytest.approx({i: share(t) for i, t in enumerate(texts)})
+    voted = {r[0]: r[2] for r in rows}
+    assert [voted[i] for i in range(4, 9)] == [qr.BAD] * 5 and voted[0] == voted[1] == qr.ABSTAIN
+    assert [voted[i] for i in range(13, 18)] == [qr.GOOD] * 5
