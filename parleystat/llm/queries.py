@@ -18,8 +18,11 @@ from parleystat.llm import (
     quality_rules,
     secrets,
     sentencepiece_fst,
+    token_alignment,
     token_files,
+    toxic_spans,
     warc,
+    whitening,
 )
 from parleystat.llm.common import scratch, stored, table
 
@@ -120,6 +123,30 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(spark.read.parquet(path))
 
 
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    names = (public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+    return token_alignment.link_strengths(token_alignment.aligned(table(spark, folder, "documents"), *names))
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    model = whitening.fit(vectors, "embedding", components=8)
+    error = whitening.identity_error(vectors, "embedding", model)
+    return whitening.whiten(vectors, "vec_id", "embedding", model).withColumn("identity_error", F.lit(error))
+
+
+def op13_toxic_spans(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    tagger = toxic_spans.fit(docs, labels.where(_remainder(5) != 0))
+    return toxic_spans.predict(docs, tagger).select(
+        "doc_id",
+        (_remainder(5) == 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+        F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",").alias("spans"),
+    )
+
+
 def queries() -> dict:
     found = (
         op1_warc,
@@ -132,6 +159,9 @@ def queries() -> dict:
         op8_language_id,
         op9_line_quality,
         op10_chat,
+        op11_token_alignment,
+        op12_whitening,
+        op13_toxic_spans,
     )
     return {f.__name__: f for f in found}
 

@@ -21,7 +21,7 @@ FOLDER = "/root/testdata/sf0.001"
 def test_registered():
     names = set(contract.queries())
     assert set(queries.queries()) | {"pipeline"} <= names
-    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
