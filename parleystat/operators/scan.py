@@ -58,10 +58,11 @@ def running(
     sums: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
     totals: Mapping[str, Column] | None = None,
+    firsts: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Add, per row: `sums` over the earlier rows of its session, the last non-null of `lasts` among
-    them, and `totals` over the whole session."""
-    sums, lasts, totals = dict(sums or {}), dict(lasts or {}), dict(totals or {})
+    """Add, per row: `sums` over the earlier rows of its session, the last non-null of `lasts` and the
+    first non-null of `firsts` among them, and `totals` over the whole session."""
+    sums, lasts, totals, firsts = dict(sums or {}), dict(lasts or {}), dict(totals or {}), dict(firsts or {})
     key = heavy.key
     keys = [key]
     if heavy:
@@ -76,20 +77,23 @@ def running(
         "*",
         *[F.coalesce(F.sum(e.cast("long")).over(earlier), zero).alias(n) for n, e in sums.items()],
         *[F.last(e, ignorenulls=True).over(earlier).alias(n) for n, e in lasts.items()],
+        *[F.first(e, ignorenulls=True).over(earlier).alias(n) for n, e in firsts.items()],
         *[F.coalesce(F.sum(e.cast("long")).over(whole), zero).alias(n) for n, e in totals.items()],
     )
     if not heavy:
         return scanned
-    carry = _carried(rows, heavy, order, sums, lasts, totals)
+    carry = _carried(rows, heavy, order, sums, lasts, totals, firsts)
+    added = {_SEGMENT, *sums, *lasts, *totals, *firsts}
     joined = scanned.join(
         F.broadcast(carry),
         scanned[key].eqNullSafe(carry["_carry_key"]) & (scanned[_SEGMENT] == carry["_carry_segment"]),
         "left",
     )
     return joined.select(
-        *[c for c in scanned.columns if c != _SEGMENT and c not in sums and c not in lasts and c not in totals],
+        *[c for c in scanned.columns if c not in added],
         *[(F.col(n) + F.coalesce(f"_before_{n}", zero)).alias(n) for n in sums],
         *[F.coalesce(n, f"_before_{n}").alias(n) for n in lasts],
+        *[F.coalesce(f"_before_{n}", n).alias(n) for n in firsts],
         *[F.coalesce(f"_all_{n}", n).alias(n) for n in totals],
     )
 
@@ -101,6 +105,7 @@ def _carried(
     sums: Mapping[str, Column],
     lasts: Mapping[str, Column],
     totals: Mapping[str, Column],
+    firsts: Mapping[str, Column],
 ) -> DataFrame:
     """Per segment of a heavy session: what the earlier segments hold, and the session totals."""
     at = order_struct(order)
@@ -111,6 +116,7 @@ def _carried(
             F.count(F.lit(1)).alias("_rows"),
             *[F.sum(e.cast("long")).alias(f"_sum_{n}") for n, e in sums.items()],
             *[F.max_by(e, F.when(e.isNotNull(), at)).alias(f"_last_{n}") for n, e in lasts.items()],
+            *[F.min_by(e, F.when(e.isNotNull(), at)).alias(f"_first_{n}") for n, e in firsts.items()],
             *[F.sum(e.cast("long")).alias(f"_total_{n}") for n, e in totals.items()],
         )
     )
@@ -121,5 +127,6 @@ def _carried(
         F.col(_SEGMENT).alias("_carry_segment"),
         *[F.sum(f"_sum_{n}").over(earlier).alias(f"_before_{n}") for n in sums],
         *[F.last(f"_last_{n}", ignorenulls=True).over(earlier).alias(f"_before_{n}") for n in lasts],
+        *[F.first(f"_first_{n}", ignorenulls=True).over(earlier).alias(f"_before_{n}") for n in firsts],
         *[F.sum(f"_total_{n}").over(session).alias(f"_all_{n}") for n in totals],
     )

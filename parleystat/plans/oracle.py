@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from parleystat import schemas as S
-from parleystat.plans.proxies import REQUESTS, SURVEY, TURNS
+from parleystat.plans.proxies import AVATAR_REQUESTS, REQUESTS, SURVEY, TEXT_REQUESTS, TURNS
 
 _SPACES = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
@@ -401,6 +401,92 @@ def id_precedence() -> str:
 from request"""
 
 
+def _in_url(url: str, name: str) -> str:
+    """The first value of a query parameter that is not blank, decoded."""
+    found = f"regexp_extract({url}, '^[^?#]*\\?(?:[^#]*&)?{name}=([^&#]+)', 1)"
+    return f"url_decode(replace(nullif({found}, ''), '+', ' '))"
+
+
+def _said(variant: str) -> str:
+    """The reply as it is stored, of a request with `message`, `answer`, `number` and `before`."""
+    extra = "" if variant == "text" else " and not contains(lower(answer), 'end') and not contains(lower(answer), 'finish')"
+    code = "(('0x' || substr(md5(coalesce(session_id, '') || '#' || number::varchar), 1, 8))::bigint % 10001)::varchar"
+    return f"""case when before < 10 then answer
+    when contains(lower(message), 'code') then 'Here''s your completion code: ' || {code} || '. Thank you for participating in this experiment!'
+    when not contains(lower(answer), 'completion code'){extra}
+      then answer || ' (You can ask for your completion code if you''d like to end the conversation.)'
+    else answer end"""
+
+
+def requests_to_log(variant: str) -> str:
+    """The text chat's memory is replayed request by request in a recursive query; the avatar chat's is a window."""
+    failed = "'I''m sorry, I''m having trouble processing your request right now.'"
+    edge = f"[{_SPACES}]+"
+    earlier = "over (partition by session_id order by request_time, event_id rows between unbounded preceding and 1 preceding)"
+    if variant == "text":
+        welcome = (
+            "'This news describes the tragic death of young Marlins pitcher José Fernández—"
+            "what are your thoughts on his life story and the impact he had on others?'"
+        )
+        own_response = f"case when contains(referer, 'response_id=') then {_in_url('referer', 'response_id')} else '' end"
+        own_article = (
+            "case when query_article is not null then query_article "
+            f"when contains(referer, 'article_id=') then {_in_url('referer', 'article_id')} else '5' end"
+        )
+        return f"""with recursive request as ({_select(TEXT_REQUESTS, 'events')}),
+asked as (
+  select event_id, session_id, reply, reply_time, nullif(article_id, '') as body_article, nullif(response_id, '') as body_response,
+    {own_article} as own_article, {own_response} as own_response,
+    coalesce(regexp_replace(user_message, '^{edge}|{edge}$', '', 'g'), '') as message,
+    row_number() over (partition by session_id order by request_time, event_id) as k
+  from request),
+memory as (
+  select session_id, 1::bigint as k, null::varchar as article, null::varchar as response, 0::bigint as before from asked where k = 1
+  union all
+  select m.session_id, m.k + 1,
+    case when coalesce(a.body_article, m.article, a.own_article, '5') <> '5' and coalesce(a.body_article, m.article, a.own_article) <> ''
+      then coalesce(a.body_article, m.article, a.own_article) else m.article end,
+    case when coalesce(a.body_response, m.response, a.own_response, '') <> '' then coalesce(a.body_response, m.response, a.own_response)
+      else m.response end,
+    m.before + case when a.message = '' or lower(a.message) = 'page_metadata' or a.message = '[initial prompt trigger]' then 0 else 1 end
+  from memory m join asked a on a.session_id = m.session_id and a.k = m.k),
+known as (
+  select a.*, m.before, m.article, m.response, a.message = '' or lower(a.message) = 'page_metadata' as opens
+  from asked a join memory m on a.session_id = m.session_id and a.k = m.k),
+answered as (
+  select *, case when opens then 0 else before + 1 end as number, coalesce(reply, case when opens then {welcome} else {failed} end) as answer from known)
+select event_id, session_id, coalesce(body_article, article, own_article) as "ArticleID",
+  coalesce(body_response, response, own_response) as "ResponseID", number::bigint as turn_number,
+  case when opens then '[initial prompt trigger]' else message end as user_input, reply_time as user_input_time,
+  case when opens then answer else {_said(variant)} end as bot_response, reply_time as response_time
+from answered"""
+
+    def found(name: str) -> str:
+        params = [f"nullif(json_extract_string(context, '$.{at}queryParams.{name}'), '')" for at in ("", "client.")]
+        pages = [
+            f"coalesce(nullif(json_extract_string(context, '$.{f}'), ''), json_extract_string(context, '$.client.{f}'))"
+            for f in ("pageUrl", "url", "referer")
+        ]
+        return f"coalesce({', '.join(params + [_in_url(p, name) for p in pages])}, {_in_url('header_referer', name)})"
+
+    return f"""with request as ({_select(AVATAR_REQUESTS, 'events')}),
+heard as (
+  select *, case when kind = 'session' then nullif({found('article_id')}, '5') end as article,
+    case when kind = 'session' then {found('response_id')} end as response
+  from request
+  where kind = 'session' or (coalesce(regexp_replace(text, '{edge}', '', 'g'), '') <> '' and lower(text) not in ('welcome', 'page_metadata'))),
+known as (
+  select *, text as message, coalesce(reply, {failed}) as answer,
+    coalesce(count(*) filter (where kind = 'execute' and text <> '[initial prompt trigger]') {earlier}, 0) as before,
+    coalesce(last_value(article ignore nulls) {earlier}, '5') as known_article,
+    coalesce(last_value(response ignore nulls) {earlier}, '') as known_response
+  from heard),
+numbered as (select *, before + 1 as number from known where kind = 'execute')
+select event_id, session_id, known_article as "ArticleID", known_response as "ResponseID", number::bigint as turn_number,
+  text as user_input, reply_time as user_input_time, {_said(variant)} as bot_response, reply_time as response_time
+from numbered"""
+
+
 def url_params() -> str:
     def value(name: str) -> str:
         return f"url_decode(replace(nullif(regexp_extract(url, '^[^?#]*\\?(?:[^#]*&)?{name}=([^&#]+)', 1), ''), '+', ' '))"

@@ -71,6 +71,46 @@ REQUESTS = [
     "when event_id % 7 = 2 then concat('https://host/#article_id=', cast(user_id as varchar(20))) end as page_url",
 ]
 
+# Requests of the text chat: bodies, query parameters and referers that carry identifiers or don't.
+TEXT_REQUESTS = [
+    "event_id",
+    "cast(user_id as varchar(20)) as session_id",
+    "ts as request_time",
+    "case when event_id % 31 = 0 then concat(' ', event_type, ' code ') when event_id % 17 = 0 then '   ' "
+    "when event_id % 19 = 0 then 'Page_Metadata' when event_id % 29 = 0 then null "
+    "when event_id % 37 = 0 then '[initial prompt trigger]' else event_type end as user_message",
+    "case when event_id % 23 = 0 then cast(event_id % 9 as varchar(20)) when event_id % 3 = 1 then '' end as article_id",
+    "case when event_id % 41 = 0 then concat('B', cast(event_id % 13 as varchar(20))) when event_id % 5 = 1 then '' end as response_id",
+    "case when event_id % 11 = 0 then concat('q', cast(event_id % 7 as varchar(20))) when event_id % 13 = 0 then '' end as query_article",
+    "case when event_id % 7 = 0 then concat('https://host/p?x=1&article_id=', cast(event_id % 8 as varchar(20)), '&response_id=R', "
+    "cast(event_id % 10 as varchar(20)), '%20b+c#f') when event_id % 7 = 1 then 'https://host/p?article_id=&response_id=' "
+    "when event_id % 7 = 2 then 'https://host/#article_id=4' end as referer",
+    "case when event_id % 43 = 0 then null when event_id % 19 = 0 then 'Shall we end here, friend?' "
+    "else concat('reply ', cast(event_id as varchar(20))) end as reply",
+    "ts as reply_time",
+]
+
+# Requests of the avatar chat: some open a session and carry a context, the others are inputs.
+AVATAR_REQUESTS = [
+    "event_id",
+    "cast(user_id as varchar(20)) as session_id",
+    "ts as request_time",
+    "case when event_id % 9 = 0 then 'session' else 'execute' end as kind",
+    "case when event_id % 9 <> 0 or event_id % 10 = 0 then null "
+    "when event_id % 4 = 0 then concat('{\"queryParams\": {\"article_id\": \"', cast(event_id % 7 as varchar(20)), '\"}}') "
+    "when event_id % 4 = 1 then concat('{\"pageUrl\": \"\", \"client\": {\"pageUrl\": \"https://host/p?article_id=', "
+    "cast(event_id % 8 as varchar(20)), '&response_id=R', cast(event_id % 12 as varchar(20)), '\"}}') "
+    "when event_id % 4 = 2 then '{\"queryParams\": {\"article_id\": \"\"}, \"url\": \"https://host/#article_id=1\"}' "
+    "else concat('{\"client\": {\"queryParams\": {\"response_id\": \"C', cast(event_id % 5 as varchar(20)), '\"}}}') end as context",
+    "case when event_id % 6 = 0 then concat('https://host/h?article_id=', cast(event_id % 11 as varchar(20))) end as header_referer",
+    "case when event_id % 31 = 0 then 'My CODE please' when event_id % 17 = 0 then '   ' when event_id % 19 = 0 then 'Page_Metadata' "
+    "when event_id % 23 = 0 then 'Welcome' when event_id % 29 = 0 then null when event_id % 37 = 0 then '[initial prompt trigger]' "
+    "else concat(' ', event_type) end as text",
+    "case when event_id % 43 = 0 then null when event_id % 13 = 0 then 'Shall we end here, friend?' "
+    "else concat('reply ', cast(event_id as varchar(20))) end as reply",
+    "ts as reply_time",
+]
+
 ORDER = ("response_time", "event_id")
 
 # Declared, so that reading a table starts no job to look at its footers.
@@ -105,6 +145,16 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").selectExpr(*REQUESTS)
 
 
+def text_requests(spark: SparkSession, folder: str) -> DataFrame:
+    asked = table(spark, folder, "events").selectExpr(*TEXT_REQUESTS)
+    query = F.when(F.col("query_article").isNotNull(), F.create_map(F.lit("article_id"), "query_article"))
+    return asked.withColumn("query", query).withColumnRenamed("event_id", "_id")
+
+
+def avatar_requests(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "events").selectExpr(*AVATAR_REQUESTS).withColumnRenamed("event_id", "_id")
+
+
 def articles(spark: SparkSession, folder: str) -> DataFrame:
     """Every document is an article; ids are unique."""
     return table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("article_id"), "text")

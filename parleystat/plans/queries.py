@@ -13,7 +13,7 @@ from parleystat import schemas as S
 from parleystat.functions import chat, urls
 from parleystat.functions.text import strip
 from parleystat.operators import articles as art
-from parleystat.operators import ols, survey, turns
+from parleystat.operators import ols, requests, survey, turns
 from parleystat.operators.messages import prompt_messages
 from parleystat.operators.moments import Model, collect_moments
 from parleystat.operators.skew import HeavyKeys, heavy_keys
@@ -332,6 +332,18 @@ def id_precedence(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _requests_to_log(variant: str, **skew: int) -> Query:
+    """Requests in, rows of the turn log out; `event_id` stands for the record's id."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        asked = proxies.text_requests(spark, folder) if variant == "text" else proxies.avatar_requests(spark, folder)
+        to_log = requests.log_rows_text if variant == "text" else requests.log_rows_avatar
+        rows = to_log(asked, heavy_keys(asked, "session_id", **skew)).withColumnRenamed("_id", "event_id")
+        return rows.withColumn("turn_number", F.col("turn_number").cast("long"))
+
+    return run
+
+
 def url_params(spark: SparkSession, folder: str) -> DataFrame:
     pages = proxies.table(spark, folder, "pages")
     names = ("page", "ref", "utm_source")
@@ -524,6 +536,8 @@ def _catalogue() -> dict[str, tuple[Query, str | None]]:
             f"history_{variant}_split": (_history(variant, **FORCED_SKEW), oracle.history(variant)),
             f"sticky_ids_{variant}": (_sticky(variant), oracle.sticky_ids(variant)),
             f"sticky_ids_{variant}_split": (_sticky(variant, **FORCED_SKEW), oracle.sticky_ids(variant)),
+            f"requests_to_log_{variant}": (_requests_to_log(variant), oracle.requests_to_log(variant)),
+            f"requests_to_log_{variant}_split": (_requests_to_log(variant, **FORCED_SKEW), oracle.requests_to_log(variant)),
             f"message_rows_{variant}": (_messages(variant), oracle.messages(variant, PROMPT)),
             f"message_rows_{variant}_split": (_messages(variant, **FORCED_SKEW), oracle.messages(variant, PROMPT)),
         }

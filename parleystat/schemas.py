@@ -34,6 +34,11 @@ HISTORY_LIMIT = 50
 HISTORY_HEAD = 5
 HISTORY_TAIL = 45
 CODE_SENTENCE = ("Here's your completion code: ", ". Thank you for participating in this experiment!")
+FAILED_REPLY = "I'm sorry, I'm having trouble processing your request right now."
+FAILED_WELCOME = (
+    "This news describes the tragic death of young Marlins pitcher José Fernández—"
+    "what are your thoughts on his life story and the impact he had on others?"
+)
 CODE_HINT = " (You can ask for your completion code if you'd like to end the conversation.)"
 ARTICLE_PREFACE = {
     "text": "Background context for this conversation. "
