@@ -98,12 +98,23 @@ def solve(model: Model, moments: Moments, frame: DataFrame | None = None) -> Fit
         inverse = back @ inverse @ back.T
         wide = centred.astype(np.longdouble)
     else:
-        # Minimum-norm solution in the original units.
-        raw_xx, raw_xy = (np.asarray(x, float) for x in g.raw())
-        inverse = np.linalg.pinv(raw_xx, rcond=1e-11, hermitian=True)
-        beta = inverse @ raw_xy
-        wide = g.shift() @ beta.astype(np.longdouble)
-        wide[0] -= np.longdouble(g.y_mean)
+        # Solve where the columns are centred and scaled, and find there which combinations of columns vanish. Of all
+        # solutions the shortest in the columns' own units is the one without a part along those combinations.
+        unit = np.where(np.isinf(scale), 1.0, scale)
+        size, axes = np.linalg.eigh(scaled)
+        held, lost = axes[:, len(scale) - rank :], axes[:, : len(scale) - rank]
+        # Columns that take no part but for rounding: times a large mean that would not stay small.
+        lost = np.where(np.linalg.norm(lost, axis=1, keepdims=True) < 1e-7, 0.0, lost)
+        inverse = (held / size[len(scale) - rank :]) @ held.T / np.outer(unit, unit)
+        centred = inverse @ xy
+        centred = centred + inverse @ np.asarray(g.xy - g.xx @ centred, float)
+        vanishing, _ = np.linalg.qr(back @ (lost / unit[:, None]))
+        shortest = np.eye(len(scale)) - vanishing @ vanishing.T
+        beta = back @ centred
+        beta[0] += g.y_mean
+        beta = shortest @ beta
+        inverse = shortest @ back @ inverse @ back.T @ shortest
+        wide = centred.astype(np.longdouble)
     ssr = max(float(np.longdouble(g.yy) - 2 * wide @ g.xy + wide @ g.xx @ wide), 0.0)
     sst = g.yy
     df = g.n - rank

@@ -55,6 +55,7 @@ SAMPLES = {
     "total_effect": f"{_EMP} and {_DEMO} and {_PERS} and {_TOK}",
     "path_a": f"{_ANTH} and {_DEMO} and {_PERS} and {_TOK}",
     "full_outcome": f"{_EMP} and {_ANTH} and {_DEMO} and {_PERS} and {_TOK}",
+    "spec4_avatars": f"{_EMP} and {_DEMO} and {_PERS} and {_TOK} and condition <> 'text'",
 }
 _PERS_TERMS = ["extraversion_score", "agreeableness_score"]
 NUMERIC = {
@@ -65,6 +66,8 @@ NUMERIC = {
     "total_effect": ["condition_avatar", *_PERS_TERMS, "total_tokens"],
     "path_a": ["condition_avatar", *_PERS_TERMS, "total_tokens"],
     "full_outcome": ["condition_avatar", "anthropomorphism_score", *_PERS_TERMS, "total_tokens"],
+    # Every row is an avatar's here, so the indicator equals the intercept and is left out of this design.
+    "spec4_avatars": [*_PERS_TERMS, "total_tokens"],
 }
 
 
@@ -158,6 +161,21 @@ select model, outcome, term, {rounded('coefficients')}, {rounded('std')}, {round
     return " union all ".join(parts)
 
 
+def coefficients_avatars() -> str:
+    """Intercept and indicator are one column twice, so the shortest solution halves what the intercept has alone."""
+    share = "case when term in ('Intercept', 'condition_avatar') then 0.5 else 1 end"
+    return f"""with recursive {_solve_ctes('spec4_avatars')},
+doubled as (select coef.* from coef union all select coef.model, coef.outcome, 'condition_avatar', coef.coefficients, coef.std, coef.t, coef.p
+  from coef where coef.term = 'Intercept')
+select 'spec4' as model, outcome, term, {rounded(f'coefficients * {share}', 'coefficients')}, {rounded(f'std * {share}', 'std')},
+  {rounded('t')}, {rounded('p', 'p-value')}, case when p < 0.05 then '*' when p < 0.1 then '**' else 'ns' end as "Significance" from doubled"""
+
+
+def fit_statistics_avatars() -> str:
+    names = ", ".join(rounded(c) for c in ("r_squared", "adj_r_squared", "aic", "bic"))
+    return f"with recursive {_solve_ctes('spec4_avatars')} select 'spec4' as model, outcome, n, {names} from fits"
+
+
 def mediation_effects() -> str:
     def effects(name: str, model: str) -> str:
         return f"{name} as (select * from (with recursive {_solve_ctes(model)} select outcome, term, coefficients, std from coef))"

@@ -127,6 +127,20 @@ def _fit_statistics(models: Callable[[], list[Model]]) -> Query:
     return run
 
 
+def _avatar_fits(spark: SparkSession, folder: str) -> list[ols.Fit]:
+    """Model 4 where only avatar chats took part: `condition_avatar` is constant, beside columns of a large mean."""
+    frame = _frame(spark, folder, regression_models(4)).where(F.col("condition").isin(*S.AVATAR_CONDITIONS))
+    return ols.fit_models(frame, regression_models(4))
+
+
+def coeffs_avatars_only(spark: SparkSession, folder: str) -> DataFrame:
+    return _six(ols.coefficients(spark, _avatar_fits(spark, folder)), "coefficients", "std", "t", "p-value")
+
+
+def fit_avatars_only(spark: SparkSession, folder: str) -> DataFrame:
+    return _six(ols.fit_statistics(spark, _avatar_fits(spark, folder)), "r_squared", "adj_r_squared", "aic", "bic")
+
+
 def mediation_effects(spark: SparkSession, folder: str) -> DataFrame:
     fits = ols.fit_models(_frame(spark, folder), mediation_models())
     table = ols.mediation_effects(spark, fits, "condition_avatar", MEDIATOR)
@@ -485,6 +499,8 @@ def _catalogue() -> dict[str, tuple[Query, str | None]]:
         "mediation_total": (_coefficients(total_effect_models), oracle.coefficients(["total_effect"])),
         "mediation_path_a": (_coefficients(path_a_models), oracle.coefficients(["path_a"])),
         "mediation_full": (_coefficients(full_outcome_models), oracle.coefficients(["full_outcome"])),
+        "coeffs_avatars_only": (coeffs_avatars_only, oracle.coefficients_avatars()),
+        "fit_avatars_only": (fit_avatars_only, oracle.fit_statistics_avatars()),
         "mediation_effects": (mediation_effects, oracle.mediation_effects()),
         "mediation_study": (
             _coefficients(mediation_models), oracle.coefficients(["total_effect", "path_a", "full_outcome"])

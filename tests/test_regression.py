@@ -132,6 +132,38 @@ def test_rank_deficient_design_gives_the_shortest_solution(spark):
     assert fit.rank == 2
 
 
+@pytest.mark.parametrize("mean", [0.0, 1e3, 1e6])
+@pytest.mark.parametrize("kind", ["indicator again", "ones", "large constant", "line through x"])
+def test_collinear_columns_of_any_mean(spark, mean, kind):
+    """The shortest solution of the design as it is, its errors and its fit, from extended-precision residuals."""
+    rng = np.random.default_rng(3)
+    n = 500
+    g = rng.integers(0, 2, n)
+    x = np.round(rng.normal(size=n), 3) + mean
+    y = np.round(2 * (x - mean) + g + rng.normal(size=n), 3)
+    z = {"indicator again": g * 1.0, "ones": np.ones(n), "large constant": np.full(n, 1e6), "line through x": 3 * x + 7}[kind]
+    rows = [(float(c), float(a), float(b), "ab"[k]) for a, b, c, k in zip(x, z, y, g)]
+    fit = ols.fit_models(small(spark, rows), [Model("m", "y", ("x", "z"), ("g",), ("y", "x", "z", "g"))])[0]
+    assert [t.name for t in fit.terms] == ["Intercept", "C(g)[T.b]", "x", "z"] and fit.rank == 3
+    # Without z the design is regular, and z is a known combination of its columns.
+    part = {"indicator again": [0, 1, 0], "ones": [1, 0, 0], "large constant": [1e6, 0, 0], "line through x": [7, 0, 3]}[kind]
+    xc, gc, yc = (x - mean) - (x - mean).mean(), g - g.mean(), y - y.mean()
+    two = np.stack([gc, xc], axis=1)
+    slopes = np.linalg.solve(two.T @ two, two.T @ yc)
+    ssr = ((yc - two @ slopes) ** 2).sum()
+    regular = np.array([y.mean() - slopes @ [g.mean(), x.mean()], *slopes, 0.0])
+    inverse = np.zeros((4, 4))
+    inverse[1:3, 1:3] = np.linalg.inv(two.T @ two)
+    inverse[0, 1:3] = inverse[1:3, 0] = -inverse[1:3, 1:3] @ [g.mean(), x.mean()]
+    inverse[0, 0] = 1 / n - inverse[0, 1:3] @ [g.mean(), x.mean()]
+    away = np.array([*part, -1.0])
+    keep = np.eye(4) - np.outer(away, away) / (away @ away)
+    np.testing.assert_allclose(fit.beta, keep @ regular, rtol=1e-5, atol=1e-8 * max(1, mean))
+    std = np.sqrt(np.diag(keep @ inverse @ keep) * ssr / (n - 3))
+    np.testing.assert_allclose(fit.std, std, rtol=1e-5, atol=1e-12 * max(1, mean))
+    assert fit.r_squared == pytest.approx(1 - ssr / (yc @ yc), rel=1e-8)
+
+
 def test_reference_level_comes_from_the_sample(spark):
     rows = [(None, 1.0, 0.0, "a")] + [(float(i % 5), float(i), 0.0, "bc"[i % 2]) for i in range(20)]
     fit = ols.fit_models(small(spark, rows), [Model("m", "y", ("x",), ("g",), ("y", "x", "g"))])[0]
