@@ -11,7 +11,8 @@ the reader opens a gap, searches for the next gzip magic or version line that st
 there; the skipped bytes come out as a row with their offsets and the reason. Inside a member the same search goes
 over its inflated bytes, as far as they can be had: a member that is cut or broken gives the records before the
 damage (where compression or its checksum failed, only those with a digest of their block), whichever way an archive is
-compressed. As in plain archives, no digest covers a record's header lines.
+compressed. As in plain archives, no digest covers a record's header lines, so records of a member that is not whole
+are marked as not verified.
 """
 
 from __future__ import annotations
@@ -57,12 +58,13 @@ EVENTS = pa.schema(
         ("payload_digest", pa.string()),
         ("inner_offset", pa.int64()),  # in the inflated bytes of the member at `offset`
         ("inner_length", pa.int64()),
+        ("verified", pa.bool_()),  # of a record: false where its member's own checksum is not met
     ]
 )
 EVENTS_DDL = (
     "kind string, path string, offset long, length long, reason string, record_type string, record_id string, "
     "target_uri string, headers map<string,string>, payload binary, payload_digest string, "
-    "inner_offset long, inner_length long"
+    "inner_offset long, inner_length long, verified boolean"
 )
 
 
@@ -143,6 +145,7 @@ class Record(NamedTuple):
     headers: dict[str, str]
     block: bytes
     inner: tuple[int, int] | None = None  # where it is in the inflated bytes of its member
+    verified: bool = True  # False in a member that is not whole: no checksum covers the header lines
 
 
 class Gap(NamedTuple):
@@ -161,26 +164,46 @@ class Damaged(Exception):
         self.past, self.frame = past, frame
 
 
-def _inflate(data: bytes, start: int, step: int = 1 << 15) -> tuple[bytes, int, str | None]:
-    """The gzip member at `start`, where it ends, and why it is not whole: then it is what comes before the damage.
-    It is fed in steps, so what follows it is never copied; a step that fails is fed again byte by byte."""
+def _inflate(data: bytes, start: int, until: int | None = None, step: int = 1 << 15) -> tuple[bytes, int, str | None, bool]:
+    """The gzip member at `start`, where it ends, and why it is not whole: then it is what comes before the damage, or
+    before `until`. Last, whether the decoder lost its place, and did not come to a checksum that differs. It is fed in
+    steps, so what follows it is never copied; a step that fails is fed again byte by byte."""
     unpacker, out, at = zlib.decompressobj(31), [], start
+    until = len(data) if until is None else until
     while not unpacker.eof:
-        if at >= len(data):
-            return b"".join(out), at, CUT
+        if at >= until:
+            return b"".join(out), until, CUT, False
         before = unpacker.copy() if out else None
+        part = data[at : min(at + step, until)]
         try:
-            out.append(unpacker.decompress(data[at : at + step]))
+            out.append(unpacker.decompress(part))
         except zlib.error:
             before = before or zlib.decompressobj(31)
             try:
                 while True:
                     out.append(before.decompress(data[at : at + 1]))
                     at += 1
-            except zlib.error:
-                return b"".join(out), at, BROKEN
-        at += step
-    return b"".join(out), min(at, len(data)) - len(unpacker.unused_data), None
+            except zlib.error as failed:
+                return b"".join(out), at, BROKEN, "incorrect" not in str(failed)
+        at += len(part)
+    return b"".join(out), at - len(unpacker.unused_data), None, False
+
+
+def _broken_member(data: bytes, start: int, plain: bytes, end: int, why: str) -> tuple[bytes, int, str]:
+    """What a member that failed at `end` holds for sure, where that is at an end, and why no more comes.
+
+    A decoder that has lost its place, or whose member was cut off, reads on through what follows and writes old bytes
+    once more. So the member ends where a whole one starts inside the bytes it took in, if one does, and nothing that was
+    decoded from behind that place counts.
+    """
+    next_one = data.find(MAGIC, start + 1, end)
+    while next_one >= 0:
+        if data[next_one : next_one + len(EMPTY_MEMBER)] == EMPTY_MEMBER or _VERSION_LINE.match(_inflate(data, next_one)[0]):
+            if _inflate(data, next_one)[2] is None:
+                plain, _, cut, _ = _inflate(data, start, next_one)
+                return plain, next_one, why if cut == CUT and why == BROKEN else cut or why
+        next_one = data.find(MAGIC, next_one + 1, end)
+    return plain, end, why
 
 
 def _reached(data: bytes, start: int, length: int, step: int = 1 << 15) -> int:
@@ -256,19 +279,35 @@ def _plain(data: bytes, start: int, by_digest: bool = False) -> Unit:
     return [record], record.end, None
 
 
+def _once(found: list[Record | Gap]) -> list[Record | Gap]:
+    """The finds of a member whose decoder lost its place. Such a one copies what it wrote before, so a record that
+    equals an earlier one of the member is a gap."""
+    seen, out = set(), []
+    for x in found:
+        if isinstance(x, Record):
+            what = sha1_base32(x.block), *x.headers.items()
+            x = Gap(x.start, x.end, "written again") if what in seen else x
+            seen.add(what)
+        out.append(x)
+    return out
+
+
 def _unit(data: bytes, start: int) -> Unit:
     """The records and inner gaps of the member or plain record at `start`, where it ends, and what is wrong with the
     rest. A member that is not whole ends behind its last valid record."""
     if not data.startswith(MAGIC, start):
         return _plain(data, start)
-    plain, end, broken = _inflate(data, start)
+    plain, end, broken, lost = _inflate(data, start)
+    if broken:
+        plain, end, broken = _broken_member(data, start, plain, end, broken)
     found = list(_walk(plain, partial(_plain, by_digest=broken == BROKEN), (VERSION,)))
     if broken:
+        found = [x._replace(verified=False) if isinstance(x, Record) else x for x in (_once(found) if lost else found)]
         while found and isinstance(found[-1], Gap):
             found.pop()
         if not found:
             raise Damaged(broken)
-        end = _reached(data, start, found[-1].end)
+        end = min(_reached(data, start, found[-1].end), end)
     placed = [x._replace(start=start, end=end, inner=(x.start, x.end)) for x in found]
     return placed, end, Damaged(broken) if broken else None
 
@@ -339,7 +378,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     for x in salvage(data.as_py()):
                         inner = (x.inner[0], x.inner[1] - x.inner[0]) if x.inner else (None, None)
                         if isinstance(x, Gap):
-                            yield ("gap", name, x.start, x.end - x.start, x.reason, *[None] * 6, *inner)
+                            yield ("gap", name, x.start, x.end - x.start, x.reason, *[None] * 6, *inner, None)
                             continue
                         h = x.headers
                         kind = h.get("warc-type")
@@ -348,7 +387,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         digest = named or (None if payload is None else sha1_base32(payload))
                         yield (
                             "record", name, x.start, x.end - x.start, None, kind, h.get("warc-record-id"),
-                            h.get("warc-target-uri"), list(h.items()), payload, digest, *inner,
+                            h.get("warc-target-uri"), list(h.items()), payload, digest, *inner, x.verified,
                         )
 
         yield from batches(events(), EVENTS, weigh=lambda r: len(r[9] or b"") + 2 * len(r[7] or ""))
