@@ -23,14 +23,21 @@ WINDOW = 5
 SPREAD = 400
 
 GOOD, ABSTAIN, BAD = 1, 0, -1
-ROUNDS = 100
-#: What is believed before any document is seen: the share of bad documents, and how many of the documents a rule
-#: calls bad among good ones, among those bad for its own reason, and among those bad for another. A rule that calls
-#: more good documents bad than the bound is no rule.
-PRIOR_BAD, BAD_IF_GOOD, BAD_BY_REASON, BAD_OTHERWISE = 0.15, 0.002, 0.95, 0.1
-MOST_BAD_IF_GOOD = 0.02
+ROUNDS = 200
+#: What is believed before any document is seen: the share of bad documents; how many of the documents a rule votes on
+#: it calls bad, among good ones, among those bad for its own reason, and among those bad for another; and how often it
+#: abstains in each of these cases.
+PRIOR_BAD = 0.15
+BAD_IF_GOOD, BAD_BY_REASON, BAD_OTHERWISE = 0.002, 0.95, 0.1
+ABSTAINS_IF_GOOD, ABSTAINS_BY_REASON, ABSTAINS_OTHERWISE = 0.15, 0.2, 0.25
 #: How much the beliefs count, as a share of the documents.
 BELIEF = 0.01
+#: Why a document is bad, and the rules that see it. Rules of one reason back each other or stand alone.
+REASONS = {
+    "noise": ("symbols", "letters", "word_size"),
+    "repetition": ("repeats", "same_lines", "one_word"),
+    "shouting": ("capitals", "exclaims"),
+}
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -125,6 +132,7 @@ def measures(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
             (n - _kept_only(t, SYMBOLS)).cast("long").alias("n_symbols"),
             (n - _kept_only(t, "!")).cast("long").alias("n_exclaims"),
             (n - F.length(F.regexp_replace(t, r"\p{Lu}", ""))).cast("long").alias("n_upper"),
+            (n - F.length(F.regexp_replace(t, r"\p{L}+", ""))).cast("long").alias("n_letters"),
         )
 
     parts = docs.select(
@@ -133,7 +141,7 @@ def measures(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     return parts.select(
         *keep,
         F.struct("_w.n_words", "_t.word_chars", "_t.n_symbols", "_l.n_dup_lines", "_w.n_repeat_words", "_w.distinct_share",
-                 "_l.n_lines", "_t.n_exclaims", "_t.n_upper").alias("m"),
+                 "_l.n_lines", "_t.n_exclaims", "_t.n_upper", "_t.n_letters").alias("m"),
     )
 
 
@@ -150,7 +158,7 @@ def _vote(value: Column, good_to: float, bad_from: float, applies: Column | None
 def votes() -> dict[str, Column]:
     """The rules, each a column of GOOD, ABSTAIN or BAD over `measures`."""
     m = {n: F.col(f"m.{n}").cast("double") for n in (
-        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "distinct_share", "n_lines", "n_exclaims", "n_upper"
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "distinct_share", "n_lines", "n_exclaims", "n_upper", "n_letters"
     )}
     per_word = lambda name: F.try_divide(m[name], m["n_words"])
     some = m["n_words"] >= 10
@@ -166,64 +174,83 @@ def votes() -> dict[str, Column]:
         .when((length < 2.2) | (length > 14), BAD)
         .when((length >= 3) & (length <= 10), GOOD)
         .otherwise(ABSTAIN),
+        "letters": _vote(1 - F.try_divide(m["n_letters"], m["word_chars"]), 0.1, 0.25, some),
     }
 
 
 @dataclass(frozen=True)
 class LabelModel:
-    """A latent class of good documents and one of bad documents for each rule: those that are bad for its reason.
+    """A latent class of good documents and one of bad documents for each reason.
 
-    `shares` are the classes' shares, good first; `bad_rates[c][j]` is how often rule `j`, where it votes, calls a
-    document of class `c` bad.
+    `shares` are the classes' shares, good first; `abstains[c][j]` is how often rule `j` abstains in class `c`, and
+    `bad_rates[c][j]` how often it calls a document of the class bad where it votes.
     """
 
     rules: tuple[str, ...]
+    reasons: tuple[tuple[str, ...], ...]
     shares: tuple[float, ...]
+    abstains: tuple[tuple[float, ...], ...]
     bad_rates: tuple[tuple[float, ...], ...]
 
     def accuracies(self) -> dict[str, float]:
-        """How often a rule that votes is right."""
-        right = lambda c, j: 1 - self.bad_rates[0][j] if c == 0 else self.bad_rates[c][j]
-        return {r: sum(s * right(c, j) for c, s in enumerate(self.shares)) for j, r in enumerate(self.rules)}
+        """How often a rule that votes is right: it calls good documents good, and those bad for its reason bad."""
+        out = {}
+        for j, rule in enumerate(self.rules):
+            right = [(self.shares[0] * (1 - self.abstains[0][j]), 1 - self.bad_rates[0][j])]
+            for c, seen_by in enumerate(self.reasons, 1):
+                if rule in seen_by:
+                    right.append((self.shares[c] * (1 - self.abstains[c][j]), self.bad_rates[c][j]))
+            out[rule] = sum(w * r for w, r in right) / sum(w for w, _ in right)
+        return out
+
+    def chances(self, c: int) -> list[dict[int, float]]:
+        """Per rule the log of the chance of each vote in class `c`."""
+        return [
+            {BAD: math.log((1 - a) * b), GOOD: math.log((1 - a) * (1 - b)), ABSTAIN: math.log(a)}
+            for a, b in zip(self.abstains[c], self.bad_rates[c])
+        ]
 
     def good_probability(self) -> Column:
         """The posterior that a document is good, over its votes."""
-        against = F.lit(0.0)
-        good = self.bad_rates[0]
-        for share, rates in zip(self.shares[1:], self.bad_rates[1:]):
-            odds = F.lit(math.log(share / self.shares[0]))
-            for vote, mine, theirs in zip(votes().values(), rates, good):
-                bad, fine = math.log(mine / theirs), math.log((1 - mine) / (1 - theirs))
-                odds = odds + F.when(vote == BAD, bad).when(vote == GOOD, fine).otherwise(0.0)
+        against, good = F.lit(0.0), self.chances(0)
+        for c in range(1, len(self.shares)):
+            odds = F.lit(math.log(self.shares[c] / self.shares[0]))
+            for vote, mine, theirs in zip(votes().values(), self.chances(c), good):
+                weight = {v: mine[v] - theirs[v] for v in mine}
+                odds = odds + F.when(vote == BAD, weight[BAD]).when(vote == GOOD, weight[GOOD]).otherwise(weight[ABSTAIN])
             against = against + F.exp(odds)
         return 1 / (1 + against)
 
 
-def expectation_maximisation(rules: Sequence[str], counts: dict[tuple[int, ...], int], rounds: int = ROUNDS) -> LabelModel:
+def expectation_maximisation(
+    rules: Sequence[str], counts: dict[tuple[int, ...], int], rounds: int = ROUNDS, reasons: Sequence[Sequence[str]] | None = None
+) -> LabelModel:
     """Fit the label model to how often each combination of votes occurs.
 
-    Rules are taken as independent given the class, and an abstention as no evidence. What is believed beforehand
-    counts like `BELIEF` of the documents, which keeps every rate inside (0, 1) and each class at its reason. With
-    no documents the beliefs stay.
+    Rules are taken as independent given the class; to abstain is one of three things a rule can do, with a rate of its
+    own in each class. Nothing bounds what is learned: a rule that is often wrong about good documents comes out so, and
+    the others outweigh it. What is believed beforehand counts like `BELIEF` of the documents, which keeps every rate
+    inside (0, 1) and each class at its reason. With no documents the beliefs stay. Without `reasons` each rule is one.
     """
     k = len(rules)
-    shares = [1 - PRIOR_BAD] + [PRIOR_BAD / k] * k
-    believed = [[BAD_IF_GOOD] * k] + [[BAD_BY_REASON if j == c else BAD_OTHERWISE for j in range(k)] for c in range(k)]
-    rates, first = [list(r) for r in believed], list(shares)
-    patterns = sorted(counts.items())
-    total = sum(counts.values())
+    reasons = tuple(map(tuple, reasons or [(r,) for r in rules]))
+    classes = range(len(reasons) + 1)
+    by_class = [[None if c == 0 else rules[j] in reasons[c - 1] for j in range(k)] for c in classes]
+    believed = [[{None: BAD_IF_GOOD, True: BAD_BY_REASON, False: BAD_OTHERWISE}[x] for x in row] for row in by_class]
+    silent = [[{None: ABSTAINS_IF_GOOD, True: ABSTAINS_BY_REASON, False: ABSTAINS_OTHERWISE}[x] for x in row] for row in by_class]
+    shares = [1 - PRIOR_BAD] + [PRIOR_BAD / len(reasons)] * len(reasons)
+    rates, abstains, first = [list(r) for r in believed], [list(r) for r in silent], list(shares)
+    patterns, total = sorted(counts.items()), sum(counts.values())
     weight = max(1.0, BELIEF * total)
+    inside = lambda p: min(max(p, 1e-6), 1 - 1e-6)
     for _ in range(rounds if total else 0):
+        model = LabelModel(tuple(rules), reasons, tuple(shares), tuple(map(tuple, abstains)), tuple(map(tuple, rates)))
+        chances = [model.chances(c) for c in classes]
         mass = [weight * s for s in first]
-        voted = [[weight * first[c]] * k for c in range(k + 1)]
-        called = [[weight * first[c] * believed[c][j] for j in range(k)] for c in range(k + 1)]
+        voted = [[weight * first[c] * (1 - silent[c][j]) for j in range(k)] for c in classes]
+        called = [[voted[c][j] * believed[c][j] for j in range(k)] for c in classes]
         for pattern, n in patterns:
-            logs = []
-            for c in range(k + 1):
-                chance = math.log(shares[c])
-                for v, p in zip(pattern, rates[c]):
-                    chance += math.log(p) if v == BAD else math.log(1 - p) if v == GOOD else 0.0
-                logs.append(chance)
+            logs = [math.log(shares[c]) + sum(chances[c][j][v] for j, v in enumerate(pattern)) for c in classes]
             top = max(logs)
             found = [math.exp(x - top) for x in logs]
             for c, part in enumerate(found):
@@ -233,16 +260,17 @@ def expectation_maximisation(rules: Sequence[str], counts: dict[tuple[int, ...],
                     voted[c][j] += part * (v != ABSTAIN)
                     called[c][j] += part * (v == BAD)
         shares = [m / sum(mass) for m in mass]
-        rates = [[min(max(called[c][j] / voted[c][j], 1e-4), 1 - 1e-4) for j in range(k)] for c in range(k + 1)]
-        rates[0] = [min(p, MOST_BAD_IF_GOOD) for p in rates[0]]
-    return LabelModel(tuple(rules), tuple(shares), tuple(map(tuple, rates)))
+        abstains = [[inside(1 - voted[c][j] / mass[c]) for j in range(k)] for c in classes]
+        rates = [[inside(called[c][j] / voted[c][j]) for j in range(k)] for c in classes]
+    return LabelModel(tuple(rules), reasons, tuple(shares), tuple(map(tuple, abstains)), tuple(map(tuple, rates)))
 
 
 def fit(measured: DataFrame, rounds: int = ROUNDS) -> LabelModel:
     """Fit the label model to the votes on all documents of `measures`."""
     rules = votes()
     seen = measured.select(*[v.alias(n) for n, v in rules.items()]).groupBy(*rules).count().collect()
-    return expectation_maximisation(list(rules), {tuple(r[n] for n in rules): r["count"] for r in seen}, rounds)
+    counts = {tuple(r[n] for n in rules): r["count"] for r in seen}
+    return expectation_maximisation(list(rules), counts, rounds, list(REASONS.values()))
 
 
 def judged(measured: DataFrame, model: LabelModel) -> DataFrame:

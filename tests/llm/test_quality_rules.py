@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import math
 import random
 import re
+import unicodedata
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +67,106 @@ def test_accuracies_are_recovered():
     assert all(0.8 < a < 1 for a in model.accuracies().values())
 
 
+RULES = ["symbols", "letters", "word_size", "repeats", "same_lines", "one_word", "capitals", "exclaims"]
+REASONS = list(qr.REASONS.values())
+
+
+def drawn(noisy, n=40_000, seed=2):
+    """Votes and truth: a tenth of the documents is bad for a reason and its rules mostly say so; rule `noisy` is wrong
+    about a tenth of the good documents, the others about one in 300."""
+    rng, counts, truth = random.Random(seed), {}, {}
+    for _ in range(n):
+        reason = rng.choice(REASONS) if rng.random() < 0.1 else ()
+        wrong = lambda r: 0.1 if r == noisy else 0.003
+        votes = tuple(
+            0 if rng.random() < 0.15 else -1 if rng.random() < (0.9 if r in reason else 0.05 if reason else wrong(r)) else 1 for r in RULES
+        )
+        counts[votes] = counts.get(votes, 0) + 1
+        good, bad = truth.get(votes, (0, 0))
+        truth[votes] = good + (not reason), bad + bool(reason)
+    return counts, truth
+
+
+def posterior(model, pattern):
+    chance = [s * math.exp(sum(x[v] for x, v in zip(model.chances(c), pattern))) for c, s in enumerate(model.shares)]
+    return chance[0] / sum(chance)
+
+
+@pytest.mark.parametrize("noisy", ["symbols", "same_lines", "exclaims", "word_size"])
+def test_a_rule_that_is_often_wrong_is_outweighed(noisy):
+    counts, truth = drawn(noisy)
+    model = qr.expectation_maximisation(RULES, counts, reasons=REASONS)
+    assert model.bad_rates[0][RULES.index(noisy)] == pytest.approx(0.1, abs=0.01)
+    assert all(model.bad_rates[0][j] < 0.01 for j, r in enumerate(RULES) if r != noisy)
+    alone = tuple(-1 if r == noisy else 1 for r in RULES)
+    assert truth[alone][0] > 500 and posterior(model, alone) > 0.9
+    partner = next(r for reason in REASONS if noisy in reason for r in reason if r != noisy)
+    both = tuple(-1 if r in (noisy, partner) else 1 for r in RULES)
+    assert posterior(model, both) < 0.5 < posterior(model, (1,) * len(RULES))
+    right = sum(n if (posterior(model, p) >= 0.5) == (k == 0) else 0 for p, pair in truth.items() for k, n in enumerate(pair))
+    assert right / 40_000 > 0.985
+
+
+def test_silence_can_speak_against_a_document():
+    """Where both rules of a reason abstain only on documents that a third calls bad, silence of the two is enough."""
+    counts = {(1,) * 8: 9000, (0, 0, -1, 1, 1, 1, 1, 1): 600, (0, 0, 0, 1, 1, 1, 1, 1): 150, (1, 1, 0, 1, 1, 1, 1, 1): 250}
+    model = qr.expectation_maximisation(RULES, counts, reasons=REASONS)
+    assert posterior(model, (0, 0, 0, 1, 1, 1, 1, 1)) < 0.5 < posterior(model, (1, 1, 0, 1, 1, 1, 1, 1))
+
+
+def python_votes(text):
+    """The rules in plain Python."""
+    n, chars, symbols, dup, repeated, _ = brute(text)
+    text, words = text or "", re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    starts = range(0, n, 400) if n > 400 else [0]
+    runs = [words[min(i, max(n - 400, 0)) :][:400] for i in starts]
+
+    def vote(x, good, bad, applies):
+        return 0 if not applies else -1 if x >= bad else 1 if x <= good else 0
+
+    some = n >= 10
+    length = chars / n if some else 0
+    return (
+        vote(symbols / max(n, 1), 0.03, 0.2, some),
+        vote(repeated / max(n, 1), 0.05, 0.25, some),
+        vote(dup / max(len(lines), 1), 0.1, 0.3, len(lines) >= 4),
+        vote(sum(unicodedata.category(c) == "Lu" for c in text) / max(chars, 1), 0.2, 0.45, some),
+        vote(text.count("!") / max(n, 1), 0.05, 0.3, some),
+        vote(-sum(len(set(r)) for r in runs) / max(sum(map(len, runs)), 1), -0.35, -0.2, n >= 30),
+        0 if not some else -1 if length < 2.2 or length > 14 else 1 if 3 <= length <= 10 else 0,
+        vote(1 - sum(unicodedata.category(c)[0] == "L" for c in text) / max(chars, 1), 0.1, 0.25, some),
+    )
+
+
+def test_verdicts_against_brute_force(spark):
+    """Votes in plain Python, and expectation-maximisation over documents in numpy."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    measured = qr.measures(docs)
+    found = {r.doc_id: r for r in qr.judged(measured, qr.fit(measured)).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    names, ids = list(qr.votes()), sorted(texts)
+    seen = np.array([python_votes(texts[i]) for i in ids])
+    onehot = np.stack([seen == v for v in (-1, 0, 1)], axis=2).astype(float)  # documents, rules, votes
+    kind = np.array([[0] * len(names)] + [[1 if r in reason else 2 for r in names] for reason in REASONS])
+    bad, silent = np.array([0.002, 0.95, 0.1])[kind], np.array([0.15, 0.2, 0.25])[kind]
+    first = np.array([0.85] + [0.15 / 3] * 3)
+    weight = 0.01 * len(ids)
+    prior = np.stack([(1 - silent) * bad, silent, (1 - silent) * (1 - bad)], axis=2) * first[:, None, None] * weight
+    shares, chance = first, prior / prior.sum(axis=2, keepdims=True)
+    for _ in range(qr.ROUNDS + 1):
+        logs = np.log(shares) + np.einsum("djv,cjv->dc", onehot, np.log(chance))
+        part = np.exp(logs - logs.max(axis=1, keepdims=True))
+        part /= part.sum(axis=1, keepdims=True)
+        total = part.sum(axis=0) + first * weight
+        shares = total / total.sum()
+        chance = np.clip((np.einsum("dc,djv->cjv", part, onehot) + prior) / total[:, None, None], 1e-9, 1)
+    for k, i in enumerate(ids):
+        assert found[i].quality == pytest.approx(part[k, 0], abs=1e-3)
+        if abs(part[k, 0] - 0.5) > 1e-3:
+            assert found[i].kept == (part[k, 0] >= 0.5 and not brute(texts[i])[-1])
+
+
 def test_nothing_to_learn_from():
     model = qr.expectation_maximisation(["a"], {})
     assert model.shares == (0.85, 0.15) and model.bad_rates == ((qr.BAD_IF_GOOD,), (qr.BAD_BY_REASON,))
