@@ -286,6 +286,10 @@ def log_append() -> str:
   turn_number::bigint as turn_number from numbers"""
 
 
+def log_stream_append() -> str:
+    return f"with {TURN_CTE} select event_id, session_id, ArticleID, ResponseID, user_input, bot_response, response_time from turn"
+
+
 def person_tokens() -> str:
     return f"with {TOKENS_CTE} select person_id, total_tokens from tokens"
 

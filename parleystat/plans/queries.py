@@ -30,7 +30,7 @@ from parleystat.plans.studies import needs_tokens, sample_sizes
 from parleystat.session import cut_lineage, scratch_path
 from parleystat.sources import readers, writers
 from parleystat.streaming.replay import replay_turns
-from parleystat.streaming.sinks import drain, stream_token_totals
+from parleystat.streaming.sinks import append_turns_stream, drain, stream_token_totals
 from parleystat.streaming.turns import follow_turns
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -474,6 +474,52 @@ def stream_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return stream_token_totals(said("documents", "doc_id").unionByName(said("conversations", "conv_id")))
 
 
+def _resumed(spark: SparkSession, folder: str, name: str, run: Callable[[DataFrame, str, str], DataFrame]) -> DataFrame:
+    """The events arrive in four stretches of time, a file each; the stream is stopped after two and started again."""
+    events = proxies.table(spark, folder, "events")
+    bounds = events.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [0.25, 0.5, 0.75])).first()[0]
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    stretch = F.size(F.filter(F.array(*map(F.lit, bounds or [])), lambda b: b < at)) if bounds else F.lit(0)
+    place, out = scratch_path(spark, f"{name}-in"), scratch_path(spark, name)
+    for k in range(4):
+        events.where(stretch == k).coalesce(1).write.mode("append").parquet(place)
+        if k in (1, 3):
+            arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(place)
+            found = run(arriving.selectExpr(*proxies.TURNS), out, f"{out}-progress")
+    return found
+
+
+def _resumed_turns(variant: str, how: str) -> Query:
+    def numbered(log: DataFrame, out: str, checkpoint: str) -> DataFrame:
+        if how == "replay":
+            return replay_turns(log, variant, ORDER, out=out, checkpoint=checkpoint)
+        return drain(follow_turns(log, variant, ORDER), "turns", out, checkpoint)
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        found = _resumed(spark, folder, f"resumed-{how}", numbered)
+        ids = "event_id", "session_id"
+        return found.select(*ids, "turn_number", _long(F.col("eligible"), "eligible"), "article_id", "response_id")
+
+    return run
+
+
+def stream_tokens_resumed(spark: SparkSession, folder: str) -> DataFrame:
+    def totals(log: DataFrame, out: str, checkpoint: str) -> DataFrame:
+        return stream_token_totals(turns.utterances(log), out=out, checkpoint=checkpoint, every=2)
+
+    return _resumed(spark, folder, "resumed-tokens", totals)
+
+
+def log_stream_append(spark: SparkSession, folder: str) -> DataFrame:
+    def appended(log: DataFrame, out: str, checkpoint: str) -> DataFrame:
+        named = log.withColumn("_id", F.col("event_id")).withColumn("user_input_time", F.col("response_time"))
+        return append_turns_stream(named.withColumn("turn_number", F.lit(None)), out, checkpoint)
+
+    back = _resumed(spark, folder, "appended", appended)
+    shown = ("session_id", "ArticleID", "ResponseID", "user_input", "bot_response", "response_time")
+    return back.select(F.col("_id").cast("long").alias("event_id"), *shown)
+
+
 def _catalogue() -> dict[str, tuple[Query, str | None]]:
     found: dict[str, tuple[Query, str | None]] = {
         "survey_scores": (survey_scores, oracle.survey_scores()),
@@ -544,6 +590,8 @@ def _catalogue() -> dict[str, tuple[Query, str | None]]:
         "log_append": (log_append, oracle.log_append()),
         "results_written": (results_written, oracle.fit_statistics(["spec4"])),
         "stream_tokens": (stream_tokens, oracle.person_tokens()),
+        "stream_tokens_resumed": (stream_tokens_resumed, oracle.utterance_tokens_from_log()),
+        "log_stream_append": (log_stream_append, oracle.log_stream_append()),
     }
     for variant in S.VARIANTS:
         found |= {
@@ -559,6 +607,8 @@ def _catalogue() -> dict[str, tuple[Query, str | None]]:
         }
         every = ("turn_number", "eligible", "article_id", "response_id")
         found[f"stream_turns_{variant}"] = (_stream_turns(variant, *every), oracle.stream_follow(variant))
+        found[f"stream_turns_resumed_{variant}"] = (_resumed_turns(variant, "state"), oracle.stream_follow(variant))
+        found[f"stream_replay_resumed_{variant}"] = (_resumed_turns(variant, "replay"), oracle.stream_follow(variant))
         found[f"stream_replay_{variant}"] = (_replayed_turns(variant), oracle.stream_follow(variant))
     return found
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from parleystat.operators.scan import running
 from parleystat.operators.skew import heavy_keys, order_struct
 from parleystat.operators.turns import ORDER
-from parleystat.session import scratch_path
+from parleystat.streaming.sinks import places
 from parleystat.streaming.turns import followed_columns, narrow_turns
 
 _MERGE_EVERY = 32
@@ -57,14 +57,21 @@ def _state_before(spark: SparkSession, folder: str, number: int, schema: T.Struc
 
 
 def replay_turns(
-    turns: DataFrame, variant: str = "text", order: Sequence[str] = ORDER, name: str = "replay", **skew: int
+    turns: DataFrame,
+    variant: str = "text",
+    order: Sequence[str] = ORDER,
+    name: str = "replay",
+    out: str | None = None,
+    checkpoint: str | None = None,
+    **skew: int,
 ) -> DataFrame:
-    """Run the stream over what is available now; returns the numbered turns.
+    """Run the stream over what is available now; returns all numbered turns so far.
 
-    Turns of a session are taken in `order` within a micro-batch and in arrival order across them.
+    Turns of a session are taken in `order` within a micro-batch and in arrival order across them. With `out` and
+    `checkpoint` named, a later call goes on where this one ended.
     """
     spark = turns.sparkSession
-    out = scratch_path(spark, name)
+    out, checkpoint = places(spark, name, out, checkpoint)
     state_schema = T.StructType(
         [T.StructField("session_id", T.StringType()), T.StructField("weight", T.LongType())]
         + [T.StructField(field, T.StringType()) for field in _STORED]
@@ -97,7 +104,7 @@ def replay_turns(
 
     query = (
         turns.writeStream.foreachBatch(step)
-        .option("checkpointLocation", f"{out}-progress")
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import glob
+import os
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +14,7 @@ from parleystat.operators.skew import heavy_keys
 from parleystat.operators.survey import token_totals
 from parleystat.streaming import replay
 from parleystat.streaming.replay import replay_turns
-from parleystat.streaming.sinks import drain, stream_token_totals
+from parleystat.streaming.sinks import append_turns_stream, drain, read_changes, save_changes, stream_token_totals
 from parleystat.streaming.turns import follow_turns
 from tests.test_turns import LOG, SCHEMA, START
 
@@ -57,3 +61,69 @@ def test_token_totals(spark, folder):
 
     expected = sorted(map(tuple, token_totals(spoken(spark.read.schema(SCHEMA).parquet(folder))).collect()))
     assert sorted(map(tuple, stream_token_totals(spoken(stream(spark, folder))).collect())) == expected
+
+
+@pytest.mark.parametrize("how", ["state", "replay"])
+def test_a_stopped_stream_goes_on(spark, folder, tmp_path, how, monkeypatch):
+    """Some files, a stop, the others, a stop, and once more with nothing new: equal to one run."""
+    monkeypatch.setattr(replay, "_MERGE_EVERY", 2)
+    place, out = tmp_path / "in", str(tmp_path / "out")
+    place.mkdir()
+
+    def run():
+        log = stream(spark, str(place))
+        if how == "replay":
+            return replay_turns(log, "avatar", out=out, checkpoint=f"{out}-progress")
+        return drain(follow_turns(log, "avatar"), "turns", out, f"{out}-progress")
+
+    files = sorted(glob.glob(f"{folder}/part-*.parquet"), key=os.path.getmtime)
+    for k, name in enumerate(files):
+        shutil.copy(name, place / f"{k}.parquet")
+        os.utime(place / f"{k}.parquet", (1e9 + k, 1e9 + k))
+        if k in (2, len(files) - 1):
+            run()
+    rows = sorted(tuple(r) for r in run().select(*COLUMNS).collect())
+    whole = follow_turns(stream(spark, folder), "avatar")
+    assert rows == sorted(tuple(r) for r in drain(whole, "turns").select(*COLUMNS).collect())
+
+
+def test_a_log_is_appended_once_and_read_while_it_grows(spark, folder, tmp_path):
+    path, progress, place = str(tmp_path / "log"), str(tmp_path / "progress"), tmp_path / "in"
+    place.mkdir()
+    files, seen = sorted(glob.glob(f"{folder}/part-*.parquet")), 0
+    for k, name in enumerate(files[:3]):
+        shutil.copy(name, place / f"{k}.parquet")
+        turns = stream(spark, str(place)).withColumn("turn_number", F.lit(1)).withColumn("user_input_time", F.col("response_time"))
+        log = append_turns_stream(turns, path, progress)
+        seen += spark.read.parquet(name).count()
+        assert log.count() == log.select("_id").distinct().count() == seen
+    # A progress that lost its last commit: the micro-batch is run again, and the log stays as it is.
+    commits = sorted((tmp_path / "progress" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for name in (commits[-1], commits[-1].with_name(f".{commits[-1].name}.crc")):
+        name.rename(tmp_path / name.name.replace(".", "gone"))
+    assert append_turns_stream(turns, path, progress).count() == seen
+
+
+@pytest.mark.parametrize("every", [2, 16])
+def test_changes_are_merged_by_levels(spark, tmp_path, every):
+    """Totals of 200 micro-batches, some repeated, from few tables."""
+    out, best = str(tmp_path / "changes"), {}
+
+    def latest(changes):
+        return changes.groupBy("person_id").agg(F.max("total_tokens").alias("total_tokens"))
+
+    for n in range(200 if every == 16 else 24):
+        rows = [(f"p{(n * k) % 11}", 1000 * n + k) for k in (1, 3)]
+        best.update(dict(sorted(rows)) if rows[0][0] != rows[1][0] else {rows[0][0]: max(r[1] for r in rows)})
+        batch = spark.createDataFrame(rows, "person_id string, total_tokens long").groupBy("person_id").agg(F.max("total_tokens").alias("total_tokens"))
+        for _ in range(2 if n % 8 in (3, 7) else 1):
+            save_changes(batch.coalesce(1), n, out, latest, every)
+    tables = [p for p in (tmp_path / "changes").glob("level=*/upto=*")]
+    assert len(tables) <= (every - 1) * 8
+    found = read_changes(spark, out, "person_id string, total_tokens long", latest)
+    assert {r.person_id: r.total_tokens for r in found.collect()} == best
+
+
+def test_names_come_in_pairs(spark, folder):
+    with pytest.raises(ValueError, match="both"):
+        drain(stream(spark, folder), "turns", out="somewhere")
