@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parleystat import schemas as S
 from parleystat.functions import chat
-from parleystat.operators.articles import with_context
+from parleystat.operators.articles import BROADCAST_ARTICLES, contexts_of, may_be_sent, with_context, with_session_context
 from parleystat.operators.scan import running
 from parleystat.operators.skew import HeavyKeys
 from parleystat.operators.turns import ORDER, resolved_ids, stored_ids
@@ -99,6 +99,7 @@ def prompt_messages(
     system_prompt: str,
     variant: str = "text",
     order: Sequence[str] = ORDER,
+    broadcast_rows: int = BROADCAST_ARTICLES,
     **skew: int,
 ) -> DataFrame:
     """Add `messages`, an array of (role, content): the system prompt, the turn number (avatar only),
@@ -131,8 +132,14 @@ def prompt_messages(
     # An unusable record of the text chat takes up a place in the history but says nothing there.
     pair = F.array(_message("user", user), _message("assistant", bot))
     entry = F.when(usable, pair).otherwise(F.array().cast(S.MESSAGES))
-    rows = _with_history(scanned.drop("stored_article", "stored_response"), heavy, contributes, entry).where(asked)
-    rows = with_context(rows, articles, ("session_id", *order), counted=scanned, **skew)
+    rows = scanned.drop("stored_article", "stored_response")
+    # A history is fifty turns wide. A text that can't be sent to all tasks joins its turn before that.
+    sent = may_be_sent(contexts_of(articles), broadcast_rows)
+    if not sent:
+        rows = with_session_context(rows, articles, heavy, ("session_id", *order), **skew)
+    rows = _with_history(rows, heavy, contributes, entry).where(asked)
+    if sent:
+        rows = with_context(rows, articles, ("session_id", *order), broadcast_rows=broadcast_rows)
 
     opening = [F.array(_message("system", F.lit(system_prompt)))]
     if variant == "avatar":

@@ -82,7 +82,7 @@ def salted_lookup_join(rows: DataFrame, table: DataFrame, heavy: HeavyKeys, spre
     every = F.sequence(F.lit(0).cast("long"), F.coalesce("_lanes", F.lit(1)).cast("long") - 1)
     salted = with_lanes(rows).withColumn("_lane", lane).drop("_heavy", "_lanes")
     copies = with_lanes(table).withColumn("_lane", F.explode(every)).drop("_heavy", "_lanes")
-    return salted.join(copies, [key, "_lane"], "left").drop("_lane")
+    return salted.join(copies.hint("merge"), [key, "_lane"], "left").drop("_lane")
 
 
 def has_at_most(table: DataFrame, rows: int) -> bool:

@@ -525,9 +525,9 @@ from last join documents on documents.doc_id = last.doc_id"""
 
 
 def article_lookup() -> str:
-    return f"""with {ARTICLE_CTE} select event_id, cast(event_id % 1999 as varchar) as article_id,
+    return f"""with {ARTICLE_CTE} select event_id, cast(event_id % ((select count(*) from documents) + 3) as varchar) as article_id,
   length(substring(coalesce(text, ''), 1, 10000))::bigint as chars, md5(substring(coalesce(text, ''), 1, 10000)) as text_digest
-from events left join article on article.article_id = cast(event_id % 1999 as varchar)"""
+from events left join article on article.article_id = cast(event_id % ((select count(*) from documents) + 3) as varchar)"""
 
 
 def article_context() -> str:

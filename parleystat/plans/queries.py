@@ -382,10 +382,13 @@ def article_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def article_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every article is asked for in turn, and so are three ids that none has."""
+    articles = proxies.articles(spark, folder)
+    known = articles.count()
     asked = proxies.table(spark, folder, "events").select(
-        "event_id", (F.col("event_id") % 1999).cast("string").alias("article_id")
+        "event_id", (F.col("event_id") % (known + 3)).cast("string").alias("article_id")
     )
-    return _digest(art.with_context(asked, proxies.articles(spark, folder), ("event_id",)), "article_text", "event_id", "article_id")
+    return _digest(art.with_context(asked, articles, ("event_id",)), "article_text", "event_id", "article_id")
 
 
 def _article_context(**skew: int) -> Query:
@@ -397,10 +400,10 @@ def _article_context(**skew: int) -> Query:
     return run
 
 
-def _messages(variant: str, **skew: int) -> Query:
+def _messages(variant: str, broadcast_rows: int = art.BROADCAST_ARTICLES, **skew: int) -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         log, heavy = _turns(spark, folder, **skew)
-        built = prompt_messages(log, proxies.articles(spark, folder), heavy, PROMPT, variant, ORDER)
+        built = prompt_messages(log, proxies.articles(spark, folder), heavy, PROMPT, variant, ORDER, broadcast_rows, **skew)
         lines = F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"]))
         return built.select(
             "event_id", _long(F.size("messages"), "messages"), F.md5(F.array_join(lines, "\n")).alias("digest")
@@ -604,6 +607,7 @@ def _catalogue() -> dict[str, tuple[Query, str | None]]:
             f"requests_to_log_{variant}_split": (_requests_to_log(variant, **FORCED_SKEW), oracle.requests_to_log(variant)),
             f"message_rows_{variant}": (_messages(variant), oracle.messages(variant, PROMPT)),
             f"message_rows_{variant}_split": (_messages(variant, **FORCED_SKEW), oracle.messages(variant, PROMPT)),
+            f"message_rows_{variant}_shuffled": (_messages(variant, 0), oracle.messages(variant, PROMPT)),
         }
         every = ("turn_number", "eligible", "article_id", "response_id")
         found[f"stream_turns_{variant}"] = (_stream_turns(variant, *every), oracle.stream_follow(variant))

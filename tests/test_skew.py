@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parleystat.operators.scan import running
+from parleystat.operators.articles import contexts_of, may_be_sent, with_context
 from parleystat.operators.skew import has_at_most, heavy_keys, lookup_join, salted_lookup_join
 
 SKEW = {"floor": 20, "max_heavy": 1000}
@@ -84,3 +85,17 @@ def test_many_cuts_use_both_lookup_levels(spark):
     rows = spark.range(4000).select(F.col("id"), F.lit("hot").alias("key"))
     scanned = running(rows, heavy_keys(rows, "key", floor=10, max_heavy=1000), ("id",), sums={"seen": F.lit(1)})
     assert scanned.where("seen <> id").count() == 0
+
+
+def plan_of(frame) -> str:
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("count, chars, sent", [(1999, 40_000, False), (2001, 5, True), (2001, 40_000, False), (20, 40_000, True)])
+def test_contexts_are_sent_by_their_measured_bytes(spark, count, chars, sent):
+    articles = spark.range(count).select(F.col("id").cast("string").alias("article_id"), F.repeat(F.lit("é"), chars).alias("text"))
+    turns = spark.range(50).select(F.col("id"), F.col("id").cast("string").alias("article_id"))
+    assert may_be_sent(contexts_of(articles, 40_000)) == sent
+    joined = with_context(turns, articles, ("id",), 40_000)
+    assert ("BroadcastHashJoin" in plan_of(joined)) == sent and ("SortMergeJoin" in plan_of(joined)) != sent
+    assert joined.where(F.length("article_text") == chars).count() == min(count, 50)

@@ -182,3 +182,36 @@ def test_replies_without_a_session_id(log, variant):
     assert done.where("final_reply is null or code is null or code not between 0 and 10000").count() == 0
     asked = done.where("contains(lower(user_input), 'code')")
     assert asked.count() == asked.where("final_reply like 'Here\\'s your completion code: %'").count() > 0
+
+
+def exchanges_above_the_history(frame) -> int:
+    """Shuffles between the window that gathers histories and the result, by the indents of the plan."""
+    lines = frame._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(lines) if "Window" in line and "collect_list" in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    above, low = 0, depth(lines[at])
+    for line in reversed(lines[:at]):
+        if depth(line) < low:
+            low = depth(line)
+            above += "Exchange" in line
+    return above
+
+
+@pytest.mark.parametrize("variant", ["text", "avatar"])
+def test_contexts_join_before_histories(spark, log, variant):
+    articles = spark.createDataFrame(list(ARTICLES.items()), "article_id string, text string")
+    heavy = heavy_keys(log, "session_id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = prompt_messages(log, articles, heavy, "Be kind.", variant, broadcast_rows=0)
+        assert exchanges_above_the_history(shuffled) == 0
+        rows = {r._id: r.messages for r in shuffled.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    sent = prompt_messages(log, articles, heavy, "Be kind.", variant)
+    assert exchanges_above_the_history(sent) == 0
+    assert rows == {r._id: r.messages for r in sent.collect()}
+    # Popular articles and heavy sessions, without a broadcast of texts.
+    split = prompt_messages(log, articles, heavy_keys(log, "session_id", floor=30, max_heavy=1000), "Be kind.", variant, broadcast_rows=0, floor=20)
+    assert rows == {r._id: r.messages for r in split.collect()}
