@@ -7,6 +7,7 @@ import binascii
 import json
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -73,6 +74,35 @@ RULES: dict[str, tuple[tuple[str, ...], re.Pattern, Callable[[re.Match], bool]]]
 HEX = re.compile(r"[0-9a-f]{16,}")
 
 
+_RUN = re.compile(r"[A-Za-z0-9_-]+")
+_HEAD = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----")
+_BODY = re.compile(r"[A-Za-z0-9+/=\s:,-]*")
+_FOOT = re.compile(r"-----END ([A-Z ]*PRIVATE KEY)-----")
+
+
+class _Keys:
+    """Where keys in their armour end, in time linear in the text: feet are listed once, and the run of letters that a
+    body may have is walked once for all heads in it."""
+
+    def __init__(self, seen: str):
+        self.seen, self.run = seen, (0, -1)
+        self.feet: dict[str, list[tuple[int, int]]] = {}
+        for m in _FOOT.finditer(seen):
+            self.feet.setdefault(m[1], []).append(m.span())
+
+    def end(self, start: int) -> int | None:
+        """The end of the key whose head is at `start`: behind the next foot of its name, if only a body is between."""
+        head = _HEAD.match(self.seen, start)
+        feet = self.feet.get(head[1]) if head else None
+        if not feet:
+            return None
+        begin = head.end()
+        if not self.run[0] <= begin <= self.run[1]:
+            self.run = begin, _BODY.match(self.seen, begin).end()
+        k = bisect_left(feet, (begin, 0))
+        return feet[k][1] if k < len(feet) and feet[k][0] <= self.run[1] else None
+
+
 @lru_cache(maxsize=1)
 def _automaton():
     import ahocorasick
@@ -88,19 +118,28 @@ def _automaton():
 def find(text: str) -> list[tuple[str, int, int]]:
     """All spans (kind, start, end in code points) of a text, by start and then kind.
 
-    Per kind, matches are leftmost and do not overlap; a match that fails its check still uses up its text.
+    Per kind, matches are leftmost and do not overlap; a match that fails its check still uses up its text. The time
+    is linear in the text also where many hits fail.
     Spans of different kinds may overlap.
     """
     raw = text.encode("utf-8")
     seen = raw.decode("latin-1")
     found = [("hex", m.start(), m.end()) for m in HEX.finditer(seen)]
-    used = dict.fromkeys(RULES, 0)
+    used, keys = dict.fromkeys(RULES, 0), None
     hits = sorted((end - size + 1, kind) for end, (kind, size) in _automaton().iter(raw.lower().decode("latin-1")))
     for start, kind in hits:
         if start < used[kind]:
             continue
+        if kind == "pem":
+            keys = keys or _Keys(seen)
+            if (end := keys.end(start)) is not None:
+                used[kind] = end
+                found.append((kind, start, end))
+            continue
         m = RULES[kind][1].match(seen, start)
         if m is None:
+            if kind == "jwt" and (run := _RUN.match(seen, start)):  # what fails for one hit of a run fails for all
+                used[kind] = run.end()
             continue
         used[kind] = m.end()
         if RULES[kind][2](m):
