@@ -76,14 +76,19 @@ ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assist
 ASSISTANT = "assistant"
 
 
-def paths_of(value: Any, prefix: str = "") -> set[str]:
+def paths_of(value: Any) -> set[str]:
     """Nested field paths of a JSON value: `a.b` into objects, `a[]` into lists. A null field is absent."""
-    if isinstance(value, dict):
-        inner = [paths_of(v, f"{prefix}.{k}" if prefix else k) for k, v in value.items() if v is not None]
-        return set().union(*inner)
-    if isinstance(value, list):
-        return {f"{prefix}[]"}.union(*[paths_of(v, f"{prefix}[]") for v in value if isinstance(v, (dict, list))])
-    return {prefix} if prefix else set()
+    found, left = set(), [("", value)]
+    while left:
+        prefix, value = left.pop()
+        if isinstance(value, dict):
+            left += [(f"{prefix}.{k}" if prefix else k, v) for k, v in value.items() if v is not None]
+        elif isinstance(value, list):
+            found.add(f"{prefix}[]")
+            left += [(f"{prefix}[]", v) for v in value if isinstance(v, (dict, list))]
+        elif prefix:
+            found.add(prefix)
+    return found
 
 
 def fingerprint_of(paths: set[str]) -> str:
@@ -101,11 +106,17 @@ class Mapper:
                 self.by_print.setdefault(mark, layout)
 
     def __call__(self, record: str | None) -> tuple[str | None, str, int | None, list[tuple[str, str]]]:
-        """Layout name (null where none fits), fingerprint, place among records, and turns as (role, text)."""
+        """Layout name (null where none fits), fingerprint, place among records, and turns as (role, text).
+
+        What is no JSON, or nested too deeply to be read, fits none. A place is a whole number that a long holds, else
+        null; a half of a surrogate pair counts as a replacement character.
+        """
         try:
-            value = json.loads(record or "")
-        except ValueError:
+            return self._mapped(json.loads(record or ""))
+        except (ValueError, RecursionError):
             return None, "", None, []
+
+    def _mapped(self, value: Any) -> tuple[str | None, str, int | None, list[tuple[str, str]]]:
         mark = fingerprint_of(paths_of(value) & self.known)
         layout = self.by_print.get(mark)
         if layout is None or not isinstance(value, dict):
@@ -128,11 +139,17 @@ class Mapper:
                     turns.append((part.role, _text(text)))
                 joins = True
         place = value.get(layout.order) if layout.order else None
-        return layout.name, mark, place if isinstance(place, int) else None, turns
+        whole = isinstance(place, int) and not isinstance(place, bool) and -(1 << 63) <= place < 1 << 63
+        return layout.name, mark, place if whole else None, turns
 
 
 def _text(value: Any) -> str:
-    return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+    text = value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        return text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+    return text
 
 
 def _role(value: Any, keep: bool) -> str:

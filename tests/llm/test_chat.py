@@ -97,3 +97,19 @@ def test_edge_cases(spark):
         assert sorted((tuple(r)[:5] for r in found), key=str) == brute([r for r in rows if r[0] != 2])
     empty = chat.canonical_turns(spark.createDataFrame([], "conv_id long, record string"))
     assert chat.read_back(chat.format_conversations(empty)).collect() == []
+
+
+def test_odd_json_fits_no_layout_or_a_defined_one(spark):
+    """Records that once ended the job: nested too deeply, half a surrogate pair, places that are no longs."""
+    deep, objects = "[" * 100_000 + "]" * 100_000, '{"a":' * 3000 + "1" + "}" * 3000
+    turn = '{"turn": %s, "role": "user", "text": "x \\ud800 y"}'
+    records = [deep, objects, '{"prompt": ' + objects + ', "response": "r"}', turn % "1", turn % 10**23, turn % "true", turn % ("9" * 5000), "\ud83d"[:0]]
+    frame = spark.createDataFrame(list(enumerate(records)), "conv_id long, record string")
+    rows = {}
+    for r in chat.canonical_turns(frame).collect():
+        rows.setdefault(r.conv_id, []).append(r)
+    assert set(rows) == set(range(len(records)))
+    assert all(rows[k][0].layout is None for k in (0, 1, 6, 7))
+    assert [(rows[k][0].place, rows[k][0].role, rows[k][0].text) for k in (3, 4, 5)] == [(1, "user", "x \ufffd y")] + [(None, "user", "x \ufffd y")] * 2
+    formatted = chat.format_conversations(chat.canonical_turns(frame))
+    assert formatted.count() >= 1
