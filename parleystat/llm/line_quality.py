@@ -225,7 +225,7 @@ def fit(
 
     Labels are counted whole; a share that leaves about `sample_docs` documents of each label is drawn by a hash
     of doc_id, and of a longer document `sample_lines` lines in a row at a place set by the hash (of those, `SAMPLE_CHARS` characters). Only that
-    sample reaches the driver. Rows without an id or label are passed over; of several labels the higher counts.
+    sample reaches the driver. Rows without an id or label are passed over; of several labels the higher counts, of rows that share an id the least sample.
     """
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
     marked = marked.groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -240,13 +240,15 @@ def fit(
     drawn = marked.where(draw < bound).select("doc_id", "quality")
     lines = F.split("text", "\n", -1)
     place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.size(lines) - sample_lines, F.lit(0)) + 1).cast("int") + 1
+    piece = F.substring(F.array_join(F.slice(lines, place, F.lit(sample_lines)), "\n"), 1, SAMPLE_CHARS)
     sample = (
         docs.where(F.col("text").isNotNull())
         .join(F.broadcast(drawn), "doc_id")
-        .select("doc_id", "quality", F.array_join(F.slice(lines, place, F.lit(sample_lines)), "\n").alias("text"))
+        .groupBy("doc_id", "quality")
+        .agg(F.min(piece).alias("text"))
     )
     rows = sorted((r["doc_id"], r["quality"], r["text"]) for r in sample.collect())
-    parts = [r[2][:SAMPLE_CHARS] for r in rows]
+    parts = [r[2] for r in rows]
     return train(lines_of(parts), np.array([r[1] for r in rows], np.float64), rounds)
 
 
