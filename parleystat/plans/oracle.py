@@ -290,6 +290,10 @@ def log_stream_append() -> str:
     return f"with {TURN_CTE} select event_id, session_id, ArticleID, ResponseID, user_input, bot_response, response_time from turn"
 
 
+def log_one_session() -> str:
+    return f"{log_stream_append()} where session_id = (select session_id from turn order by event_id desc limit 1)"
+
+
 def person_tokens() -> str:
     return f"with {TOKENS_CTE} select person_id, total_tokens from tokens"
 

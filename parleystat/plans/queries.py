@@ -216,6 +216,17 @@ def log_append(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def log_one_session(spark: SparkSession, folder: str) -> DataFrame:
+    """The session of the last event, out of a clustered log that took all turns in two appends."""
+    path, log = scratch_path(spark, "clustered"), proxies.turns(spark, folder)
+    named = log.withColumns({"_id": F.col("event_id"), "user_input_time": F.col("response_time"), "turn_number": F.lit(None)})
+    for part in (F.col("event_id") % 2 == 0, F.col("event_id") % 2 != 0):
+        writers.append_clustered(named.where(part), path)
+    last = log.agg(F.max_by("session_id", "event_id")).first()[0]
+    shown = ("session_id", "ArticleID", "ResponseID", "user_input", "bot_response", "response_time")
+    return readers.read_session(spark, path, last).select(F.col("_id").cast("long").alias("event_id"), *shown)
+
+
 def results_written(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "results")
     fits = ols.fit_models(_frame(spark, folder), regression_models(4))
@@ -594,6 +605,7 @@ def _catalogue() -> dict[str, tuple[Query, str | None]]:
         "results_written": (results_written, oracle.fit_statistics(["spec4"])),
         "stream_tokens": (stream_tokens, oracle.person_tokens()),
         "stream_tokens_resumed": (stream_tokens_resumed, oracle.utterance_tokens_from_log()),
+        "log_one_session": (log_one_session, oracle.log_one_session()),
         "log_stream_append": (log_stream_append, oracle.log_stream_append()),
     }
     for variant in S.VARIANTS:

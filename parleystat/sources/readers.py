@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from parleystat import schemas as S
 from parleystat.operators.articles import last_of_each
+from parleystat.sources.writers import BUCKET, CLUSTERED_LOG, LOG_BUCKETS, session_bucket
 
 
 def _no_nan(frame: DataFrame) -> DataFrame:
@@ -94,10 +95,25 @@ def read_turn_log(spark: SparkSession, path: str, fmt: str = "parquet", session_
     return log if session_id is None else log.where(F.col("session_id") == session_id)
 
 
+def read_session(spark: SparkSession, path: str, session_id: str | None, buckets: int = LOG_BUCKETS) -> DataFrame:
+    """One session of a clustered log in chronological order. Of the log's folders one is read, and of its files only
+    the row groups whose range holds the session."""
+    bucket = session_bucket(F.lit(session_id).cast("string"), buckets)
+    log = spark.read.schema(CLUSTERED_LOG).parquet(path)
+    found = log.where((F.col(BUCKET) == bucket) & F.col("session_id").eqNullSafe(F.lit(session_id).cast("string")))
+    return found.drop(BUCKET).orderBy("response_time", "_id")
+
+
+def read_clustered_log(spark: SparkSession, path: str) -> DataFrame:
+    """The whole of a clustered log."""
+    return spark.read.schema(CLUSTERED_LOG).parquet(path).drop(BUCKET)
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """A dump of log documents, one JSON object per line, whose keys may differ: the union of the keys.
 
-    Dumps wrap identifiers and times as `{"$oid": ...}` and `{"$date": ...}`; these are unwrapped.
+    Dumps wrap identifiers and times as `{"$oid": ...}` and `{"$date": ...}`; these are unwrapped, also where only some
+    documents wrap them.
     """
     raw = spark.read.option("primitivesAsString", True).json(path)
 
@@ -105,6 +121,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         column = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.StructType) and field.dataType.names in (["$oid"], ["$date"]):
             column = column[field.dataType.names[0]]
+        elif isinstance(field.dataType, T.StringType):  # a wrapped value beside plain ones comes as its JSON text
+            inner = F.from_json(column, "`$oid` string, `$date` string")
+            wrapped = F.regexp_like(column, F.lit(r'^\{\s*"\$(oid|date)"\s*:\s*"[^"]*"\s*\}$'))
+            column = F.when(wrapped, F.coalesce(inner["$oid"], inner["$date"])).otherwise(column)
         return column.alias(field.name)
 
     return raw.select(*[plain(field) for field in raw.schema])

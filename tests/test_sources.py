@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import glob
 import json
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from parleystat import schemas as S
 from parleystat.__main__ import main
@@ -182,3 +185,43 @@ def test_command_line(spark, inputs, capsys):
     main(["mediation", survey_path, talk_path, str(folder / "b")])
     printed = capsys.readouterr().out
     assert "spec2 EMP_1: 29 rows" in printed and "path_a anthropomorphism: 30 rows" in printed
+
+
+def test_one_session_reads_one_folder_and_few_row_groups(spark, tmp_path):
+    """A third of all turns in one session; the others in 2000 sessions."""
+    path, again = str(tmp_path / "log"), str(tmp_path / "again")
+    rows = spark.range(60_000).select(
+        F.col("id").cast("string").alias("_id"),
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 1000 != 1, F.concat(F.lit("s"), F.col("id") % 2000)).alias("session_id"),
+        F.lit("5").alias("ArticleID"), F.lit("").alias("ResponseID"), F.lit(1).alias("turn_number"),
+        F.sha2(F.col("id").cast("string"), 512).alias("user_input"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("user_input_time"),
+        F.sha2((-F.col("id")).cast("string"), 512).alias("bot_response"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("response_time"),
+    )
+    for k in (0, 1):
+        writers.append_clustered(rows.where(F.col("id") % 2 == k), path, buckets=8, row_group=1 << 18)
+    for session in ("hot", "s7", None, "absent"):
+        mine = rows.where(F.col("session_id").eqNullSafe(F.lit(session))).orderBy("response_time", "_id").collect()
+        found = readers.read_session(spark, path, session, buckets=8)
+        assert [tuple(r) for r in found.collect()] == [tuple(r) for r in mine]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan
+    hot = spark.read.parquet(path).where("session_id = 'hot'").select(F.input_file_name().alias("f")).groupBy("f").count().collect()
+    assert len(hot) > 2 and max(r["count"] for r in hot) < 15_000  # written by several tasks
+    writers.recluster(spark, path, again, buckets=8, row_group=1 << 18)
+    assert readers.read_clustered_log(spark, again).count() == 60_000
+    groups = holding = 0
+    for name in glob.glob(f"{again}/bucket=*/*.parquet"):
+        meta = pq.ParquetFile(name).metadata
+        column = meta.schema.names.index("session_id")
+        for g in range(meta.num_row_groups):
+            stats = meta.row_group(g).column(column).statistics
+            groups += 1
+            holding += stats.has_min_max and stats.min <= "s7" <= stats.max
+    assert groups > 30 and 0 < holding <= groups / 4
+
+
+def test_documents_of_which_some_wrap_their_ids(spark, tmp_path):
+    lines = ['{"_id": {"$oid": "a1"}, "t": {"$date": "2024-01-01"}, "x": 1}', '{"_id": "a2", "t": "2024-01-02", "x": "{}"}', '{"_id": 7}']
+    (tmp_path / "d.json").write_text("\n".join(lines))
+    rows = {r._id: (r.t, r.x) for r in readers.read_documents(spark, str(tmp_path / "d.json")).collect()}
+    assert rows == {"a1": ("2024-01-01", "1"), "a2": ("2024-01-02", "{}"), "7": (None, None)}
