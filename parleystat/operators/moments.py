@@ -1,8 +1,8 @@
 """Sufficient statistics for linear models, from one pass over the analysis frame.
 
-Rows are grouped by which models' samples they belong to, alone, with each category and with each pair of
-categories; each group keeps its row count and the means and covariances of the numeric columns, which Spark
-merges without loss of digits. Every design matrix that mixes those columns has its centred X'X and X'y as
+Rows are grouped by which models' samples they belong to and by all categories, once; each group keeps its row count
+and the means and covariances of the numeric columns, which merge without loss of digits. From these finest groups come
+those by sample alone, with each category and with each pair of categories, so no row is read or copied for more than one. Every design matrix that mixes those columns has its centred X'X and X'y as
 sums over these groups, so one aggregation with map-side combining serves all models at once, and the
 category levels come with it. The result is no larger than the squared width of the design.
 """
@@ -16,9 +16,11 @@ from itertools import combinations, combinations_with_replacement
 from operator import and_, or_
 
 import numpy as np
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parleystat.session import cut_lineage
+
 
 @dataclass(frozen=True)
 class Model:
@@ -88,9 +90,9 @@ class Moments:
     numeric: tuple[str, ...]
     categorical: tuple[str, ...]
     samples: tuple[tuple[str, ...], ...]
-    cells: list[Row]
+    cells: list[dict]
 
-    def _cells(self, model: Model, *columns: str) -> list[Row]:
+    def _cells(self, model: Model, *columns: str) -> list[dict]:
         """The groups of the model's sample by these categories."""
         flag = f"_in{self.samples.index(model.required)}"
         kept = {c: c in columns for c in self.categorical}
@@ -118,7 +120,7 @@ class Moments:
         p, q = len(terms), len(used)
         level = {(t.column, t.level): i for i, t in enumerate(terms) if t.level is not None}
 
-        def means_of(cell: Row) -> np.ndarray:
+        def means_of(cell: dict) -> np.ndarray:
             return np.array([cell[f"_m{i}"] for i in used], np.longdouble)
 
         n = sum(cell["_n"] for cell in cells)
@@ -164,11 +166,62 @@ def collect_moments(frame: DataFrame, models: Sequence[Model]) -> Moments:
     flags = [F.col(name) for name in complete]
     named = {c: F.col(f"`{c}`") for c in categorical}
     by = [(), *[(c,) for c in categorical], *combinations(categorical, 2)]
-    marked = frame.withColumns(complete).where(reduce(or_, flags))
-    grouped = marked.groupingSets([[*flags, *[named[c] for c in some]] for some in by], *flags, *named.values()).agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.grouping(named[c]).alias(f"_out_{c}") for c in categorical],
-        *[F.avg(v).alias(f"_m{i}") for i, v in enumerate(values)],
-        *[F.covar_pop(values[i], values[j]).alias(f"_c{i}_{j}") for i, j in pairs],
+    cells = (
+        frame.withColumns(complete)
+        .where(reduce(or_, flags))
+        .groupBy(*flags, *named.values())
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            *[F.avg(v).alias(f"_m{i}") for i, v in enumerate(values)],
+            *[F.covar_pop(values[i], values[j]).alias(f"_c{i}_{j}") for i, j in pairs],
+        )
+    )
+    merged = _merged_here if len(categorical) <= 2 else _merged_there
+    return Moments(numeric, categorical, samples, merged(cells, by, list(complete), categorical, len(numeric), pairs))
+
+
+def _merged_here(
+    cells: DataFrame, by: list[tuple], flags: list[str], categorical: tuple[str, ...], count: int, pairs: list[tuple[int, int]]
+) -> list[dict]:
+    """The groups of every set, put together from the finest ones, which with up to two categories are themselves a
+    set and no more than the result."""
+    finest = [r.asDict() for r in cells.collect()]
+    number = lambda x: np.longdouble(np.nan if x is None else x)
+    out = []
+    for some in by:
+        groups: dict[tuple, list[dict]] = {}
+        for cell in finest:
+            groups.setdefault(tuple(cell[n] for n in (*flags, *some)), []).append(cell)
+        for key, held in groups.items():
+            weights = np.array([c["_n"] for c in held], np.longdouble)
+            total = weights.sum()
+            means = np.array([[number(c[f"_m{i}"]) for i in range(count)] for c in held], np.longdouble).reshape(len(held), count)
+            centre = weights @ means / total
+            gaps = means - centre
+            group = dict(zip((*flags, *some), key)) | {"_n": int(total)} | {f"_out_{c}": int(c not in some) for c in categorical}
+            group |= {f"_m{i}": centre[i] for i in range(count)}
+            for i, j in pairs:
+                spread = np.array([number(c[f"_c{i}_{j}"]) for c in held], np.longdouble)
+                group[f"_c{i}_{j}"] = weights @ (spread + gaps[:, i] * gaps[:, j]) / total
+            out.append(group)
+    return out
+
+
+def _merged_there(
+    cells: DataFrame, by: list[tuple], flags: list[str], categorical: tuple[str, ...], count: int, pairs: list[tuple[int, int]]
+) -> list[dict]:
+    """The groups of every set, put together by Spark: with more categories the finest groups may be many. Means are
+    taken from a common place, so that large ones cost no digits."""
+    cells = cut_lineage(cells, "cells")
+    middle = cells.agg(*[F.coalesce(F.avg(f"_m{i}"), F.lit(0.0)) for i in range(count)]).first() if count else ()
+    n, total = F.col("_n"), F.sum("_n")
+    gap = [F.col(f"_m{i}") - m for i, m in enumerate(middle)]
+    shift = [F.sum(n * g) / total for g in gap]
+    grouped = cells.groupingSets([[F.col(f"`{c}`") for c in (*flags, *some)] for some in by], *[F.col(f"`{c}`") for c in (*flags, *categorical)]).agg(
+        total.alias("_total"),
+        *[F.grouping(F.col(f"`{c}`")).alias(f"_out_{c}") for c in categorical],
+        *[(shift[i] + m).alias(f"_mean{i}") for i, m in enumerate(middle)],
+        *[(F.sum(n * (F.col(f"_c{i}_{j}") + gap[i] * gap[j])) / total - shift[i] * shift[j]).alias(f"_c{i}_{j}") for i, j in pairs],
     )
-    return Moments(numeric, categorical, samples, grouped.collect())
+    names = {"_total": "_n"} | {f"_mean{i}": f"_m{i}" for i in range(count)}
+    return [{names.get(k, k): v for k, v in r.asDict().items()} for r in grouped.collect()]

@@ -55,8 +55,9 @@ SAMPLES = {
     "total_effect": f"{_EMP} and {_DEMO} and {_PERS} and {_TOK}",
     "path_a": f"{_ANTH} and {_DEMO} and {_PERS} and {_TOK}",
     "full_outcome": f"{_EMP} and {_ANTH} and {_DEMO} and {_PERS} and {_TOK}",
-    "spec4_avatars": f"{_EMP} and {_DEMO} and {_PERS} and {_TOK} and condition <> 'text'",
 }
+#: Model 4 over the avatar chats alone: a sample of its own, beside the study's.
+AVATAR_SAMPLES = {"spec4_avatars": f"{SAMPLES['spec4']} and condition <> 'text'"}
 _PERS_TERMS = ["extraversion_score", "agreeableness_score"]
 NUMERIC = {
     "spec1": ["condition_avatar"],
@@ -91,7 +92,7 @@ def _design_ctes(model: str) -> str:
         long.append(f"select i, '{name}', {place}, {name}::double from samp")
     y = [f"select i, {o} as o, {column}::double as v from samp" for o, (column, _) in enumerate(_outcomes(model))]
     return f"""{FRAME_CTE},
-samp as materialized (select row_number() over (order by person_id) as i, * from frame where {SAMPLES[model]}),
+samp as materialized (select row_number() over (order by person_id) as i, * from frame where {(SAMPLES | AVATAR_SAMPLES)[model]}),
 long as ({' union all '.join(long)}),
 terms as materialized (select term, row_number() over (order by blk, term) - 1 as k from (select distinct term, blk from long)),
 x as materialized (select i, k, v from long join terms using (term)),

@@ -280,3 +280,32 @@ def test_mediation_effects_add_up_on_a_common_sample(spark, frame):
     for row in ols.mediation_effects(spark, fits, "condition_avatar", "anthropomorphism_score").collect():
         assert row["total"] == pytest.approx(row["direct"] + row["indirect"], abs=1e-9)
         assert row["indirect"] == pytest.approx(row["path_a"] * row["path_b"])
+
+
+def test_rows_are_not_expanded_and_three_categories_agree(spark):
+    rng = np.random.default_rng(5)
+    rows = [(float(rng.normal() + 1e6 + k % 3), float(rng.normal() + 1e5), float(k % 7), "abc"[k % 3], "xy"[k % 2], "pqrs"[(k // 5) % 4]) for k in range(900)]
+    frame = spark.createDataFrame(rows, "y double, x double, z double, g string, h string, `i j` string")
+    seen = []
+    collect = type(frame).collect
+    try:
+        type(frame).collect = lambda self: seen.append(self._jdf.queryExecution().executedPlan().toString()) or collect(self)
+        fits = {}
+        for names in ((), ("g",), ("g", "h"), ("g", "h", "i j")):
+            model = Model("m", "y", ("x", "z"), names, ("y", "x", "z", *names))
+            fits[names] = ols.fit_models(frame, [model])[0]
+    finally:
+        type(frame).collect = collect
+    assert len(seen) == 5 and not any("Expand" in plan for plan in seen[:4])
+    assert "Expand" in seen[4] and "_n:bigint" in seen[4]  # over the finest groups, which are a table by then
+    data = [dict(zip(frame.columns, r)) for r in rows]
+    for names, fit in fits.items():
+        columns = [np.ones(len(data))]
+        for c in names:
+            columns += [np.array([float(r[c] == level) for r in data]) for level in sorted({r[c] for r in data})[1:]]
+        columns += [np.array([r[c] for r in data]) for c in ("x", "z")]
+        x, y = np.array(columns).T, np.array([r["y"] for r in data])
+        centred = x.copy()
+        centred[:, -2:] -= x[:, -2:].mean(axis=0)
+        beta = np.linalg.lstsq(centred, y - y.mean(), rcond=None)[0]
+        np.testing.assert_allclose(fit.beta[1:], beta[1:], rtol=1e-6, atol=1e-8)
