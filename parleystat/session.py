@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -34,7 +36,9 @@ def shared_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="parleystat-"))
+        own = tempfile.mkdtemp(prefix="parleystat-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)  # a local session's tables go with its process
+        context.setCheckpointDir(own)
     return context.getCheckpointDir()
 
 
