@@ -6,7 +6,7 @@ A window's alignment follows from its ids alone, so it is remembered by them. Ho
 over all texts; pairs met in many texts are looked up in a table whose size has a bound, the others are joined.
 
 A null or empty text, and one whose tokens do not spell a space and the text (a tokenizer normalises it), has no tokens.
-Rows with equal ids or texts count each for themselves. Work arrays hold one text at a time.
+Rows with equal ids or texts count each for themselves. Work arrays hold some 64 KB of texts, or one longer text.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parleystat.llm.common import Remembered, batches, stored
+from parleystat.llm.common import batches, stored
 from parleystat.llm.token_files import byte_letters
 
 #: A pair that more than one in so many of all pairs in texts is looked up; so fewer than this many pairs can be.
@@ -36,10 +36,22 @@ _SPACE = "▁"
 _BETWEEN = pack("<i", -1)
 
 
+def align(a: np.ndarray, b: np.ndarray, a_size: np.ndarray, b_size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Two runs of ids over the same bytes, and each id's length: the ends of either's tokens, the places of the A and
+    B token that end there or reach beyond, and whether both end there. Each row is one pair of overlapping tokens."""
+    a_ends, b_ends = np.cumsum(a_size[a]), np.cumsum(b_size[b])
+    ends = np.unique(np.concatenate([a_ends, b_ends]))
+    at_a, at_b = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+    return ends, at_a, at_b, (a_ends[at_a] == ends) & (b_ends[at_b] == ends)
+
+
 class Aligner:
-    """Both tokenizers and what they say of a text. One per Python worker."""
+    """Both tokenizers and what they say of texts. One per Python worker.
+
+    It remembers at most twice `remembered` windows: when there are as many, only those used since the last time stay.
+    """
 
-    def __init__(self, byte_bpe: str, pattern: str, pieces: str, remembered: int = 200_000):
+    def __init__(self, byte_bpe: str, pattern: str, pieces: str, remembered: int = 300_000):
         import sentencepiece
         import tiktoken
 
@@ -51,80 +63,100 @@ class Aligner:
         ranks = {bytes(letters[c] for c in t): n for t, n in described["model"]["vocab"].items() if t not in special}
         self.a = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
-        n = self.b.vocab_size()
+        n, most = self.b.vocab_size(), max(ranks.values(), default=-1) + 1
         spelled = [self.b.id_to_piece(k) for k in range(n)]
         self.b_bytes = [
             bytes([int(s[3:5], 16)]) if self.b.is_byte(k) else b"" if self.b.is_control(k) else s.replace(_SPACE, " ").encode("utf-8")
             for k, s in enumerate(spelled)
         ]
-        most = max(ranks.values(), default=-1) + 1
-        self.a_bytes = [b""] * most
+        self.a_size, self.a_spaced = np.zeros(most, np.int64), np.zeros(most, bool)
         for spelling, k in ranks.items():
-            self.a_bytes[k] = spelling
-        self.a_lengths, self.b_lengths = [len(x) for x in self.a_bytes], [len(x) for x in self.b_bytes]
-        self.a_size, self.b_size = np.array(self.a_lengths), np.array(self.b_lengths)
-        self.names = list(map(str, range(max(most, n))))
-        self.a_spaced = np.array([x[:1] == b" " for x in self.a_bytes], bool)
+            self.a_size[k], self.a_spaced[k] = len(spelling), spelling[:1] == b" "
+        self.b_size = np.array([len(x) for x in self.b_bytes])
         self.b_spaced = np.array([s[:1] == _SPACE for s in spelled], bool)
-        self.window = Remembered(self._window, remembered)
-
-    def _window(self, ids: bytes) -> tuple[str, bytes, int]:
-        """Of A's and B's ids: the groups as text, the linked id pairs as 64-bit integers, and the number of groups.
-
-        Both cover the same bytes without gaps, so a walk along their ends meets each overlapping pair once.
-        """
-        ids = memoryview(ids).cast("i").tolist()
-        split = ids.index(-1)
-        a, b = ids[:split], ids[split + 1 :]
-        a_lengths, b_lengths, names = self.a_lengths, self.b_lengths, self.names
-        a_left, b_left = iter(a), iter(b)
-        x, y = next(a_left), next(b_left)
-        pairs, done, a_text, b_text = [x << _SHIFT | y], [], names[x], names[y]
-        ahead = a_lengths[x] - b_lengths[y]  # how much farther A's token reaches than B's
-        while True:
-            if ahead > 0:
-                y = next(b_left)
-                ahead -= b_lengths[y]
-                b_text += "," + names[y]
-            elif ahead < 0:
-                x = next(a_left)
-                ahead += a_lengths[x]
-                a_text += "," + names[x]
-            else:
-                done.append(a_text + "|" + b_text)
-                x = next(a_left, None)
-                if x is None:
-                    break
-                y = next(b_left)
-                ahead = a_lengths[x] - b_lengths[y]
-                a_text, b_text = names[x], names[y]
-            pairs.append(x << _SHIFT | y)
-        return ";".join(done), pack(f"<{len(pairs)}q", *pairs), len(done)
-
-    def __call__(self, text: str | None) -> tuple[int, int, int, str, np.ndarray]:
-        """Number of A tokens, of B tokens and of groups; the groups' digest; the linked pairs, one for each link."""
-        nothing = 0, 0, 0, "", np.empty(0, np.int64)
+        # An id in a group's text, with what follows it: another id, B's ids, or the next group.
+        self.width = max(most, n)
+        self.named = [f"{k}{after}" for after in ",|;" for k in range(self.width)]
+        self.recent: dict[bytes, tuple[str, bytes, int]] = {}
+        self.older: dict[bytes, tuple[str, bytes, int]] = {}
+        self.remembered = remembered
+
+    def _windows(self, text: str | None, b_ids: list[int]) -> tuple[int, int, list[bytes]]:
+        """Numbers of tokens, and the windows' ids: A's, a -1 and B's."""
         if not text:
-            return nothing
+            return 0, 0, []
         whole = (" " + text).encode("utf-8")
-        a, b = self.a.encode_ordinary(" " + text), self.b.encode(text)
-        if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
-            return nothing
-        a_ids, b_ids = np.array(a, np.int32), np.array(b, np.int32)
-        if not self.a_size[a_ids].all() or not self.b_size[b_ids].all():
-            raise ValueError("a token without bytes")
+        a, b = np.array(self.a.encode_ordinary(" " + text), np.int32), np.array(b_ids, np.int32)
+        a_ends, b_ends = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        # Byte-level tokens are cut from the bytes themselves, so theirs differ from the text's only by their number.
+        if a_ends[-1] != len(whole) or b"".join(map(self.b_bytes.__getitem__, b_ids)) != whole or not self.b_size[b].all():
+            return 0, 0, []
         # Ends before a space-marked token of A, kept where B has such an end at the same place.
-        a_cut, b_cut = np.flatnonzero(self.a_spaced[a_ids[1:]]), np.flatnonzero(self.b_spaced[b_ids[1:]])
-        a_ends, b_ends = np.cumsum(self.a_size[a_ids])[a_cut], np.cumsum(self.b_size[b_ids])[b_cut]
-        _, at_a, at_b = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
-        window, found, i, j = self.window, [], 0, 0
-        a_raw, b_raw = a_ids.tobytes(), b_ids.tobytes()
-        for x, y in zip([*(a_cut[at_a] * 4 + 4).tolist(), len(a_raw)], [*(b_cut[at_b] * 4 + 4).tolist(), len(b_raw)]):
-            found.append(window[a_raw[i:x] + _BETWEEN + b_raw[j:y]])
-            i, j = x, y
-        texts, pairs, groups = zip(*found)
-        digest = hashlib.sha256(";".join(texts).encode()).hexdigest()
-        return len(a), len(b), sum(groups), digest, np.frombuffer(b"".join(pairs), np.int64)
+        a_cut, b_cut = np.flatnonzero(self.a_spaced[a[1:]]), np.flatnonzero(self.b_spaced[b[1:]])
+        a_ends, b_ends = a_ends[a_cut], np.append(b_ends[b_cut], -1)
+        at_b = np.searchsorted(b_ends[:-1], a_ends)
+        both = np.flatnonzero(b_ends[at_b] == a_ends)
+        a_to, b_to = [*(a_cut[both] * 4 + 4).tolist(), 4 * len(a)], [*(b_cut[at_b[both]] * 4 + 4).tolist(), 4 * len(b)]
+        a_raw, b_raw = a.tobytes(), b.tobytes()
+        spans = zip([0, *a_to], a_to, [0, *b_to], b_to)
+        return len(a), len(b), [a_raw[i:x] + _BETWEEN + b_raw[j:y] for i, x, j, y in spans]
+
+    def _aligned(self, windows: list[bytes]) -> list[tuple[str, bytes, int]]:
+        """Of each window: its groups as text, its linked id pairs as 64-bit integers, and its number of groups. All
+        are aligned in one go, as one run of tokens after the other covers the same bytes in A and in B."""
+        ids = np.frombuffer(b"".join([w + _BETWEEN for w in windows]), np.int32)
+        parted = np.flatnonzero(ids < 0)
+        side = np.cumsum(ids < 0) % 2
+        a, b = ids[(side == 0) & (ids >= 0)], ids[(side == 1) & (ids >= 0)]
+        starts = np.concatenate([[0], parted[1::2][:-1] + 1])
+        n_a, n_b = parted[::2] - starts, parted[1::2] - parted[::2] - 1
+        ends, at_a, at_b, shared = align(a, b, self.a_size, self.b_size)
+        pairs = (a[at_a].astype(np.int64) << _SHIFT | b[at_b]).tobytes()
+        # Which group a token is in, and its place when each group's A ids are written before its B ids.
+        last_a, last_b = at_a[shared], at_b[shared]
+        closes_a, closes_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        closes_a[last_a], closes_b[last_b] = 1, 1
+        group_a, group_b = np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b
+        written = np.empty(len(a) + len(b), np.int64)
+        before_b = np.concatenate([[0], last_b + 1])
+        written[np.arange(len(a)) + before_b[group_a]] = a + self.width * closes_a
+        written[np.arange(len(b)) + last_a[group_b] + 1] = b + 2 * self.width * closes_b
+        text = list(map(self.named.__getitem__, written.tolist()))
+        to_text = np.cumsum(n_a + n_b)
+        to_pair = np.searchsorted(at_a, np.cumsum(n_a) - 1, side="right")
+        to_group = group_a[np.cumsum(n_a) - 1] + 1
+        spans = zip([0, *to_text.tolist()], to_text.tolist(), [0, *(8 * to_pair).tolist()], (8 * to_pair).tolist(), np.diff(to_group, prepend=0).tolist())
+        return [("".join(text[i:x]), pairs[j:y], n) for i, x, j, y, n in spans]
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[int, int, int, str, np.ndarray]]:
+        """Per text: the number of A tokens, of B tokens and of groups; the groups' digest; a linked pair per link."""
+        cut = list(map(self._windows, texts, self.b.encode([t or "" for t in texts], num_threads=1)))
+        recent, older = self.recent, self.older
+        known = [list(map(recent.get, windows)) for *_, windows in cut]
+        new = {}
+        for (*_, windows), found in zip(cut, known):
+            for k, said in enumerate(found):
+                if said is None:
+                    w = windows[k]
+                    found[k] = said = older.get(w)
+                    if said is None:
+                        new[w] = None
+                    else:
+                        recent[w] = said
+        if new:
+            recent.update(zip(new, self._aligned(list(new))))
+        out = []
+        for (n_a, n_b, windows), found in zip(cut, known):
+            if not windows:
+                out.append((0, 0, 0, "", np.empty(0, np.int64)))
+                continue
+            said = [f or recent[w] for f, w in zip(found, windows)]
+            groups, pairs, counts = zip(*said)
+            digest = hashlib.sha256("".join(groups)[:-1].encode()).hexdigest()
+            out.append((n_a, n_b, sum(counts), digest, np.frombuffer(b"".join(pairs), np.int64)))
+        if len(recent) >= self.remembered:
+            self.older, self.recent = recent, {}
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -139,6 +171,21 @@ _ALIGNED = pa.schema(
 _ROW = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
 
 
+def together(parts: Iterator[pa.RecordBatch], chars: int = 1 << 16) -> Iterator[tuple[list, list]]:
+    """Ids and texts of a few rows at a time, of about so many characters, or of one longer text."""
+    for part in parts:
+        ids, texts, size = [], [], 0
+        for doc_id, text in zip(part.column(0).to_pylist(), part.column(1)):
+            ids.append(doc_id)
+            texts.append(text.as_py())
+            size += len(texts[-1] or "")
+            if size >= chars:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+        if ids:
+            yield ids, texts
+
+
 def aligned(docs: DataFrame, byte_bpe: str, pattern: str, pieces: str) -> DataFrame:
     """A row per document: its counts, its groups' digest, and its distinct linked pairs with how often each is linked.
 
@@ -146,15 +193,16 @@ def aligned(docs: DataFrame, byte_bpe: str, pattern: str, pieces: str) -> DataFr
     """
 
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        align_text = aligner(byte_bpe, pattern, pieces)
+        align_texts = aligner(byte_bpe, pattern, pieces)
         first = TaskContext.get().partitionId() << 40
 
         def rows():
             number = first
-            for part in parts:
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1)):
-                    n_a, n_b, n_groups, digest, links = align_text(text.as_py())
-                    pairs, times = np.unique(links, return_counts=True)
+            for doc_ids, texts in together(parts):
+                for doc_id, (n_a, n_b, n_groups, digest, links) in zip(doc_ids, align_texts(texts)):
+                    links = np.sort(links)
+                    opens = np.flatnonzero(np.diff(links, prepend=-1))
+                    pairs, times = links[opens], np.diff(opens, append=len(links))
                     yield number, doc_id, n_a, n_b, n_groups, len(links), digest, pairs.tobytes(), times.astype(np.int32).tobytes()
                     number += 1
 
@@ -167,31 +215,39 @@ def aligned(docs: DataFrame, byte_bpe: str, pattern: str, pieces: str) -> DataFr
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, f"{_ROW}, pairs binary, times binary")
 
 
+def _entries(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in all cells of a binary column one after the other, and how many each cell has."""
+    size = np.dtype(kind).itemsize
+    data, bounds = column.buffers()[2], np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    values = np.frombuffer(data, kind, (bounds[-1] - bounds[0]) // size, bounds[0]) if data and bounds[-1] > bounds[0] else np.empty(0, kind)
+    return values, np.diff(bounds) // size
+
+
 def pair_counts(found: DataFrame) -> DataFrame:
     """`pair, links, docs` over all documents: how many links hold a pair and how many documents."""
     schema = pa.schema([("pair", pa.int64()), ("links", pa.int64()), ("docs", pa.int64())])
 
-    def summed(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def summed(held: list) -> tuple[np.ndarray, ...]:
         pairs, links, docs = (np.concatenate(x) for x in zip(*held))
-        distinct, place = np.unique(pairs, return_inverse=True)
-        out = np.zeros((2, len(distinct)), np.int64)
-        np.add.at(out[0], place, links)
-        np.add.at(out[1], place, docs)
-        return distinct, out[0], out[1]
+        order = np.argsort(pairs, kind="stable")
+        pairs = pairs[order]
+        first = np.flatnonzero(np.diff(pairs, prepend=-1))
+        return pairs[first], np.add.reduceat(links[order], first), np.add.reduceat(docs[order], first)
 
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, whole = [], 0, 0
         for part in parts:
-            for pairs, times in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                n = len(pairs) // 8
-                held.append((np.frombuffer(pairs, np.int64), np.frombuffer(times, np.int32).astype(np.int64), np.ones(n, np.int64)))
-                size += n
-                if size - whole >= 500_000:
-                    held = [summed(held)]
-                    whole = size = len(held[0][0])
-                    if whole >= 1_000_000:
-                        yield pa.RecordBatch.from_arrays(list(map(pa.array, held[0])), schema=schema)
-                        held, size, whole = [], 0, 0
+            pairs, times = _entries(part.column(0), np.int64)[0], _entries(part.column(1), np.int32)[0]
+            if not len(pairs):
+                continue
+            held.append((pairs, times.astype(np.int64), np.ones(len(pairs), np.int64)))
+            size += len(pairs)
+            if size - whole >= 500_000:
+                held = [summed(held)]
+                whole = size = len(held[0][0])
+                if whole >= 1_000_000:
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, held[0])), schema=schema)
+                    held, size, whole = [], 0, 0
         if held:
             yield pa.RecordBatch.from_arrays(list(map(pa.array, summed(held))), schema=schema)
 
@@ -226,19 +282,20 @@ def link_strengths(found: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, links, best = held.value
         for part in parts:
-            n_best, count_sum, rest = [], [], []
-            for pairs, times in zip(part.column(7).to_pylist(), part.column(8).to_pylist()):
-                pairs, times = np.frombuffer(pairs, np.int64), np.frombuffer(times, np.int32).astype(np.int64)
-                at = np.searchsorted(pair, pairs)
-                hit = np.zeros(len(pairs), bool)
-                inside = at < len(pair)
-                hit[inside] = pair[at[inside]] == pairs[inside]
-                at, often = at[hit], times[hit]
-                n_best.append(int(often @ best[at]))
-                count_sum.append(int(often @ links[at]))
-                rest.append([{"pair": p, "times": t} for p, t in zip(pairs[~hit].tolist(), times[~hit].tolist())])
-            columns = [*part.columns[:7], pa.array(n_best, pa.int64()), pa.array(count_sum, pa.int64()), pa.array(rest, schema[-1].type)]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+            pairs, n = _entries(part.column(7), np.int64)
+            times = _entries(part.column(8), np.int32)[0].astype(np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            at = np.minimum(np.searchsorted(pair, pairs), len(pair) - 1)
+            hit = pair[at] == pairs if len(pair) else np.zeros(len(pairs), bool)
+            sums = []
+            for weight in (best, links):
+                running = np.concatenate([[0], np.cumsum(np.where(hit, times * weight[at], 0) if len(pair) else times * 0)])
+                ends = np.cumsum(n)
+                sums.append(pa.array(running[ends] - running[ends - n]))
+            rest = pa.StructArray.from_arrays([pa.array(pairs[~hit]), pa.array(times[~hit])], fields=list(schema[-1].type.value_type))
+            bounds = np.concatenate([[0], np.cumsum(np.bincount(row[~hit], minlength=len(n)))]).astype(np.int32)
+            rest = pa.ListArray.from_arrays(pa.array(bounds), rest)
+            yield pa.RecordBatch.from_arrays([*part.columns[:7], *sums, rest.cast(schema[-1].type)], schema=schema)
 
     split = stored(found.mapInArrow(scan, f"{_ROW}, n_best long, count_sum long, rest array<struct<pair: long, times: long>>"), "split")
     rare = split.select("row", F.explode("rest").alias("e")).select("row", "e.pair", "e.times")
