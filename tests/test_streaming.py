@@ -5,6 +5,7 @@ from __future__ import annotations
 import glob
 import os
 import shutil
+from datetime import timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 from parleystat.operators import turns as T
 from parleystat.operators.skew import heavy_keys
 from parleystat.operators.survey import token_totals
-from parleystat.streaming import replay
+from parleystat.plans import queries
+from parleystat.session import shared_dir
+from parleystat.streaming import replay, turns
 from parleystat.streaming.replay import replay_turns
 from parleystat.streaming.sinks import append_turns_stream, drain, read_changes, save_changes, stream_token_totals
 from parleystat.streaming.turns import follow_turns
@@ -55,6 +58,41 @@ def test_streams_equal_the_batch(spark, folder, variant, how, monkeypatch):
     assert sorted(tuple(r) for r in streamed.select(*COLUMNS).collect()) == expected
 
 
+def test_sessions_share_state_entries(spark, folder, monkeypatch):
+    """Calls and state entries are bounded however many sessions there are; turns without a session are one of their own."""
+    monkeypatch.setattr(turns, "BUCKETS", 3)
+    log = spark.read.schema(SCHEMA).parquet(folder)
+    batch = {r._id: (r.turn_number, r.eligible) for r in T.number_turns(log, heavy_keys(log, "session_id")).collect()}
+    nobody = log.withColumn("session_id", F.lit(None).cast("string"))  # every turn again, all of no session
+    alone = {r._id: r.turn_number for r in T.number_turns(nobody.withColumn("session_id", F.lit("x")), heavy_keys(log, "session_id")).collect()}
+    seen = []
+
+    def keep(rows, number):
+        seen.extend(rows.select("session_id", "_id", "turn_number", "eligible").collect())
+
+    copies = F.explode(F.array(F.col("session_id"), F.lit(None).cast("string")))
+    query = follow_turns(stream(spark, folder).withColumn("session_id", copies)).writeStream.foreachBatch(keep).trigger(availableNow=True).start()
+    query.awaitTermination()
+    entries = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+    assert log.select("session_id").distinct().count() > 4 >= entries
+    assert {r._id: (r.turn_number, r.eligible) for r in seen if r.session_id is not None} == batch
+    assert {r._id: r.turn_number for r in seen if r.session_id is None} == alone
+
+
+def test_stretches_of_several_files_are_one_micro_batch_each(spark, tmp_path, monkeypatch):
+    rows = [(k, START + timedelta(minutes=(k * 37) % 400), k % 7, "chat", 0.0, "") for k in range(400)]
+    events = spark.createDataFrame(rows, queries.proxies.TABLES["events"])
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    run = queries.queries()["stream_turns_resumed_text"]
+    expected = sorted(map(tuple, run(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(queries, "_FILE_ROWS", 20)
+    arriving = []
+    monkeypatch.setattr(queries, "drain", lambda stream, *a: arriving.append(a) or drain(stream, *a))
+    assert sorted(map(tuple, run(spark, str(tmp_path)).collect())) == expected and len(arriving) == 2
+    place = glob.glob(os.path.join(shared_dir(spark).removeprefix("file:"), "resumed-state-in-*"))
+    assert max(len(glob.glob(f"{p}/part-*")) for p in place) >= 4 * 4
+
+
 def test_token_totals(spark, folder):
     def spoken(frame):
         return frame.select(F.col("session_id").alias("person_id"), F.col("user_input").alias("text"))
