@@ -24,10 +24,14 @@ MAGIC = b"TOK8"
 TAIL = b"\nTOKEND\n"
 _HEAD = struct.Struct("<4sIQIIIII")  # magic, block size, ids, documents, blocks, words, escapes, crc32 of the body
 NO_ID = -(2**63)
+#: Bit lengths of small ids.
+_BITS = np.array([max(1, n.bit_length()) for n in range(1 << 16)], np.uint8)
 
 
 def _bits(ids: np.ndarray) -> np.ndarray:
     """Bit length of each id, at least 1."""
+    if len(ids) and ids.max() < len(_BITS):
+        return _BITS[ids]
     wide = ids.astype(np.uint64)
     bits = np.ones(len(wide), np.uint8)
     for shift in (32, 16, 8, 4, 2, 1):
@@ -49,7 +53,7 @@ def _widest(bits: np.ndarray) -> np.ndarray:
             grown, rest = top.copy(), max(0, n - step)
             np.maximum(top[:rest], top[step:], out=grown[:rest])
             top, span = grown, span + step
-        best[top <= width] = selector
+        np.copyto(best, np.uint8(selector), where=top <= width)
     return best
 
 
@@ -63,16 +67,13 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     step = np.array(COUNTS, np.int64)[best]
     first = np.arange(0, n, BLOCK)
     last = np.minimum(first + BLOCK, n)
-    at, block, starts, owners = first.copy(), np.arange(len(first)), [], []
+    at, stop, begins = first, last, np.zeros(n, bool)
     while len(at):  # one word of every unfinished block at a time
-        starts.append(at)
-        owners.append(block)
+        begins[at] = True
         at = at + step[at]
-        more = at < last[block]
-        at, block = at[more], block[more]
-    starts, owners = np.concatenate(starts), np.concatenate(owners)
-    order = np.argsort(starts, kind="stable")
-    starts, owners = starts[order], owners[order]
+        more = at < stop
+        at, stop = at[more], stop[more]
+    starts = np.flatnonzero(begins)
     selectors = best[starts]
     words = selectors.astype(np.uint64) << np.uint64(60)
     padded = np.concatenate([ids, np.zeros(max(COUNTS), np.uint64)])
@@ -82,11 +83,14 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             escaped = ids[starts[where]]
             words[where] |= np.arange(len(where), dtype=np.uint64)
             continue
-        count, width = COUNTS[selector], WIDTHS[selector]
-        end = last[owners[where]]
+        count, width, begin = COUNTS[selector], WIDTHS[selector], starts[where]
+        end, packed = last[begin // BLOCK], np.zeros(len(where), np.uint64)
+        short = np.flatnonzero(begin + count > end)  # the block ends inside the word
         for k in range(count):
-            place = starts[where] + k
-            words[where] |= np.where(place < end, padded[place], np.uint64(0)) << np.uint64(k * width)
+            value = padded[begin + k]
+            value[short[begin[short] + k >= end[short]]] = 0
+            packed |= value << np.uint64(k * width)
+        words[where] |= packed
     offsets = np.searchsorted(starts, first).astype(np.uint32)
     return words, offsets, escaped if (selectors == 0).any() else np.empty(0, np.uint64)
 
@@ -109,11 +113,12 @@ def decode(words: np.ndarray, offsets: np.ndarray, escaped: np.ndarray, n: int)
             out[start[where]] = escaped[data[where].astype(np.int64)]
             continue
         count, width = COUNTS[selector], WIDTHS[selector]
-        mask = np.uint64((1 << width) - 1)
+        mask, begin, held = np.uint64((1 << width) - 1), start[where], data[where]
+        room = end[where] - begin
         for k in range(count):
-            place = start[where] + k
-            inside = place < end[where]
-            out[place[inside]] = (data[where][inside] >> np.uint64(k * width)) & mask
+            value = (held >> np.uint64(k * width)) & mask
+            inside = room > k
+            out[begin[inside] + k] = value[inside]
     return out
 
 

@@ -5,29 +5,36 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parleystat.llm import simple8b
-from parleystat.llm.common import Remembered, batches, stored
+from parleystat.llm.common import Remembered, batches, small_batches, stored
 
 #: Ids after which a frame is closed.
 FRAME_IDS = 1 << 18
 _SIGNS = frozenset(".,;:!?")
+#: White space as Python has it.
+_WHITE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Longer white space at a space.
+_ODD = rf"{_WHITE} (?:{_WHITE}|$)"
+#: Bytes of text, about, whose words are numbered together.
+PORTION = 1 << 22
 
 
 class ByteLevelEncoder:
     """Ids of whole texts from a byte-level BPE tokenizer of the tokenizers library.
 
     The library splits a text into chunks and merges each chunk alone. A space that touches a character other
-    than white space always starts a chunk, so a text is cut there first and the ids of each piece are
-    remembered; a new piece is cut into chunks by the tokenizer's pattern, and a new chunk goes to the library's
-    model. Texts with longer white space at a space, or with an added token, go to the library whole. The ids are
-    those of `Tokenizer.encode(text, add_special_tokens=False)`.
+    than white space always starts a chunk, so texts are cut there first. The pieces of many texts are numbered, so that
+    each is looked up once, and its ids are remembered; a new piece is cut into chunks by the tokenizer's pattern, and a
+    new chunk goes to the library's model. Texts with longer white space at a space, or with an added token, go to the
+    library whole. The ids are those of `Tokenizer.encode(text, add_special_tokens=False)`.
     """
 
     def __init__(self, path: str, pattern: str):
@@ -38,11 +45,10 @@ class ByteLevelEncoder:
         self.model = self.tokenizer.model
         self.chunks = regex.compile(pattern).findall
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile(r"\s (?:\s|$)").search
         self.letters = byte_letters()
         self.packed = [n.to_bytes(4, "little") for n in range(self.tokenizer.get_vocab_size())]
-        self.of_chunk = Remembered(self._chunk, 400_000).__getitem__
-        self.of_word = Remembered(self._word, 600_000).__getitem__
+        self.of_chunk = Remembered(self._chunk, 50_000).__getitem__
+        self.words = Remembered(self._word, 700_000)
 
     def _chunk(self, chunk: str) -> bytes:
         if chunk.isascii() and chunk.isprintable():  # only the space is spelled otherwise
@@ -57,17 +63,33 @@ class ByteLevelEncoder:
     def _word(self, word: str) -> bytes:
         """A word with the space before it. Letters are one chunk, and a sign after them is another."""
         if word.isalpha():
-            return self.of_chunk(" " + word)
+            return self._chunk(" " + word)
         if word[-1:] in _SIGNS and word[:-1].isalpha():
-            return self.of_chunk(" " + word[:-1]) + self.of_chunk(word[-1])
+            return self.words[word[:-1]] + self.of_chunk(word[-1])
         return self._piece(" " + word)
 
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after the other, and how many each has."""
+        whole = reduce(pc.or_, [pc.match_substring(texts, t) for t in self.added], pc.match_substring_regex(texts, _ODD))
+        cut = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        first = cut.offsets.to_numpy()[:-1]  # what stands before the first space, or a whole text, is one of a kind
+        numbered = cut.values.dictionary_encode()
+        table = self.words.many(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
+        numbers = numbered.indices.to_numpy().copy()
+        numbers[first] = np.arange(len(table), len(table) + len(texts))
+        table += map(self._piece, cut.values.take(pa.array(first)).to_pylist())
+        for k in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            ids = self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids
+            table[k - len(texts)] = np.array(ids, "<u4").tobytes()
+        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        starts, sizes = (np.cumsum(sizes) - sizes)[numbers], sizes[numbers]
+        places = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+        places += np.arange(len(places))
+        return np.frombuffer(b"".join(table), "<u4")[places], np.add.reduceat(sizes, first) if len(first) else sizes
+
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if self.odd(text) or any(t in text for t in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        first, space, rest = text.partition(" ")
-        return self._piece(first) + (b"".join(map(self.of_word, rest.split(" "))) if space else b"")
+        return self.encode(pa.array([text], pa.string()))[0].tobytes()
 
 
 def byte_letters() -> list[str]:
@@ -93,37 +115,41 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, pattern: str,
     """
     ranked = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_tie", F.xxhash64("text"))
     ordered = ranked.repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").drop("_tie")
-    tail = np.array([end_id], "<u4").tobytes()
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, pattern)
+        encode = encoder(tokenizer, pattern).encode
+
+        def documents():
+            for part in parts:
+                names, texts = part.column(0).to_pylist(), part.column(1)
+                places = np.cumsum(pc.binary_length(texts).to_numpy()) // PORTION
+                cuts = [0, *(np.flatnonzero(np.diff(places)) + 1).tolist(), len(names)]
+                for a, b in zip(cuts, cuts[1:]):
+                    ids, sizes = encode(texts[a:b])
+                    ends = np.cumsum(sizes)
+                    ids = np.insert(ids, ends, end_id)
+                    yield from zip(names[a:b], np.split(ids, ends[:-1] + np.arange(1, len(ends))))
 
         def packed():
             names, held, size = [], [], 0
-            for part in parts:
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1)):
-                    held.append(encode(text.as_py()) + tail)
-                    names.append(simple8b.NO_ID if doc_id is None else doc_id)
-                    size += len(held[-1]) // 4
-                    if size >= FRAME_IDS:
-                        yield frame(names, held)
-                        names, held, size = [], [], 0
+            for doc_id, ids in documents():
+                held.append(ids)
+                names.append(simple8b.NO_ID if doc_id is None else doc_id)
+                size += len(ids)
+                if size >= FRAME_IDS:
+                    yield frame(names, held)
+                    names, held, size = [], [], 0
             if held:
                 yield frame(names, held)
 
-        def frame(names: list[int], held: list[bytes]) -> tuple[bytes]:
-            ids = np.frombuffer(b"".join(held), "<u4")
-            return (simple8b.pack_frame(np.array(names, np.int64), np.array([len(x) // 4 for x in held]), ids),)
+        def frame(names: list[int], held: list[np.ndarray]) -> tuple[bytes]:
+            return (simple8b.pack_frame(np.array(names, np.int64), np.array([len(x) for x in held]), np.concatenate(held)),)
 
         yield from batches(packed(), pa.schema([("value", pa.binary())]), most=4)
 
-    (
-        ordered.mapInArrow(write, "value binary")
-        .select(F.col("value").cast("string"))
-        .write.option("lineSep", simple8b.TAIL.decode("latin-1"))
-        .option("encoding", "ISO-8859-1")
-        .text(path)
-    )
+    frames = ordered.mapInArrow(write, "value binary").select(F.col("value").cast("string"))
+    with small_batches(docs.sparkSession):
+        frames.write.option("lineSep", simple8b.TAIL.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
 
 
 _READ = pa.schema([(n, pa.int64()) for n in ("part", "doc_id", "local_start", "n_tokens", "ids_crc32")])

@@ -4,13 +4,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from parleystat.llm import simple8b, token_files
-from parleystat.llm.common import scratch, table
+from parleystat.llm.common import Remembered, scratch, table
 from tests.llm import cases
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,6 +58,26 @@ def test_encoder_equals_the_library(text):
         assert np.frombuffer(encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_texts_together_equal_the_library_and_each_word_is_met_once():
+    library = Tokenizer.from_file(PATH)
+    coder = token_files.ByteLevelEncoder(PATH, public_tokenizers.PATTERN)
+    met, find = [], coder.words.compute
+    coder.words.compute = lambda word: met.append(word) or find(word)
+    texts = [*ODD, "one two one, two", "two one\u2003 one", *ODD]
+    for part in (texts, [], ["one two", "two three"]):
+        ids, sizes = coder.encode(pa.array(part, pa.string()))
+        want = [library.encode(t, add_special_tokens=False).ids for t in part]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes))[: len(part)]] == want
+    assert "three" in met and len(met) == len(set(met))
+
+
+def test_a_full_cache_gives_the_same():
+    cache = Remembered(lambda n: n * n, 5)
+    for keys in (range(4), range(2, 9), range(20), [3], []):
+        assert cache.many(list(keys)) == [n * n for n in keys]
+        assert len(cache) <= 5 + len(keys) and len(cache.older) <= 25
+
+
 def brute(rows):
     library = Tokenizer.from_file(PATH)
     out, start = [], 0
