@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parleystat.llm.common import slices
+
 WINDOW = 10
 #: Characters of benchmark text that one automaton is built from; more text is scanned in further blocks.
 BLOCK_CHARS = 16 << 20
@@ -177,7 +179,7 @@ def clean_documents(
 
         def clean(parts: Iterator[pa.RecordBatch], scanner=scanner) -> Iterator[pa.RecordBatch]:
             finder = scanner()
-            for part in parts:
+            for part in slices(parts):
                 texts = part.column(part.schema.get_field_index("text"))
                 yield part.filter(pa.array([not finder.scan(words_of(t.as_py()))[0] for t in texts], pa.bool_()))
 

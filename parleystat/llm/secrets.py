@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parleystat.llm.common import batches
+from parleystat.llm.common import batches, slices
 
 BASE = ("assign", "access", "hex")
 #: All kinds, in the order that breaks ties.
@@ -198,7 +198,7 @@ def redact_documents(docs: DataFrame) -> DataFrame:
     schema = docs.schema
 
     def scan(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in slices(parts):
             at = part.schema.get_field_index("text")
             texts = [redact(t.as_py()) for t in part.column(at)]
             columns = list(part.columns)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parleystat.llm.common import Remembered, batches
+from parleystat.llm.common import Remembered, batches, slices
 
 MARK = "\u2581"
 UNIGRAM, BPE = 1, 2
@@ -33,6 +33,8 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of piec
 UNKNOWN_PENALTY = 10.0
 #: Characters up to which a chain's prefixes are remembered.
 SHORT = 40
+#: Prefixes, parts and words (each) that a worker remembers; up to twice as many stay, at some 150 bytes each.
+REMEMBERED = 200_000
 
 # Reading a model file (protocol buffers)
 
@@ -153,7 +155,7 @@ class Normaliser:
 class Transducer:
     """The compiled machines of one model."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes, remembered: int = REMEMBERED):
         self.model = model = Model(data)
         if any(kind == USER for _, _, kind in model.pieces):
             raise ValueError("user-defined pieces are not supported")
@@ -168,10 +170,10 @@ class Transducer:
         self.unknown_cost = UNKNOWN_PENALTY - min((self.scores[i] for i in self.ids.values()), default=0.0)
         #: No piece has a mark after another character, so a word's pieces do not depend on the word before it.
         self.by_word = model.marks and all(x[0] == MARK or x[1] != MARK for x in self.joints)
-        self.apart = Remembered(self._stay_apart, 150_000).__getitem__
-        self.last_of = Remembered(self._last, 200_000).__getitem__
-        self.of_part = Remembered(self._ids, 200_000).__getitem__
-        self.of_word = Remembered(lambda word: self._parts(MARK + word), 200_000).__getitem__
+        self.apart = Remembered(self._stay_apart, remembered * 3 // 4).__getitem__
+        self.last_of = Remembered(self._last, remembered).__getitem__
+        self.of_part = Remembered(self._ids, remembered).__getitem__
+        self.of_word = Remembered(lambda word: self._parts(MARK + word), remembered).__getitem__
         if model.kind == BPE:
             self._merge_table()
         self.texts = [self._text(*piece) for piece in model.pieces]
@@ -370,28 +372,28 @@ class Transducer:
 
 
 @lru_cache(maxsize=4)
-def transducer(path: str) -> Transducer:
+def transducer(path: str, remembered: int = REMEMBERED) -> Transducer:
     """Compiled once per Python worker."""
     with open(path, "rb") as file:
-        return Transducer(file.read())
+        return Transducer(file.read(), remembered)
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded_equal", pa.bool_())])
 
 
-def encode_documents(docs: DataFrame, model: str, check: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, model: str, check: bool = True, remembered: int = REMEMBERED) -> DataFrame:
     """`doc_id, ids array<int>, decoded_equal` of each row's whole text.
 
     `model` is a model file that every executor has at that path. A null or empty text has no ids. With `check`,
     every encoding is decoded again and compared with the text; a model whose normaliser changes texts gives false
-    there. Rows that repeat stay.
+    there. Rows that repeat stay. With fewer words `remembered` a worker needs less memory and more time.
     """
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = transducer(model)
+        machine = transducer(model, remembered)
 
         def rows():
-            for part in parts:
+            for part in slices(parts):
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1)):
                     text = text.as_py() or ""
                     ids = np.frombuffer(machine.encode(text), "<i4")

@@ -69,3 +69,11 @@ def test_stages_on_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, FOLDER)
         docs.collect()
+
+
+def test_workers_remember_few_words_in_the_last_stage(spark, monkeypatch):
+    asked = []
+    encode = corpus_pipeline.sentencepiece_fst.encode_documents
+    monkeypatch.setattr(corpus_pipeline.sentencepiece_fst, "encode_documents", lambda *a, **k: asked.append(k) or encode(*a, **k))
+    corpus_pipeline.tokens(spark, cases.no_docs(spark), FOLDER).collect()
+    assert asked[0]["remembered"] <= 50_000

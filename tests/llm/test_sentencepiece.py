@@ -4,13 +4,14 @@ import struct
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from parleystat.llm import sentencepiece_fst as fst
-from parleystat.llm.common import table
+from parleystat.llm.common import slices, table
 from tests.llm import cases
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
@@ -40,6 +41,21 @@ def test_short_and_long_chains_agree():
         assert MACHINE._by_prefixes("▁" + word) == MACHINE._only_path("▁" + word)
 
 
+def test_full_caches_give_the_same():
+    small = fst.transducer(PATH, 8)
+    text = " ".join(f"word{k % 7}, unbelievable{k} é{k}" for k in range(60))
+    assert ids(small, text) == LIBRARY.encode(text)
+    caches = [f.__self__ for f in (small.apart, small.last_of, small.of_part, small.of_word)]
+    assert all(0 < len(c) <= c.limit <= 8 and len(c.older) <= 8 for c in caches)
+
+
+def test_batches_are_cut_and_no_row_is_lost():
+    parts = [pa.RecordBatch.from_pydict({"n": list(range(k))}) for k in (0, 2500, 1, 1000)]
+    found = [x.column(0).to_pylist() for x in slices(iter(parts))]
+    assert [len(x) for x in found] == [1000, 1000, 500, 1, 1000]
+    assert [n for x in found for n in x] == [*range(2500), 0, *range(1000)]
+
+
 def test_table_against_the_library(spark):
     docs = table(spark, "/root/testdata/sf0.001", "documents")
     texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
