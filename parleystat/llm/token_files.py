@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -18,13 +19,61 @@ from parleystat.llm.common import Remembered, batches, small_batches, stored
 
 #: Ids after which a frame is closed.
 FRAME_IDS = 1 << 18
-_SIGNS = frozenset(".,;:!?")
 #: White space as Python has it.
 _WHITE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Longer white space at a space.
 _ODD = rf"{_WHITE} (?:{_WHITE}|$)"
+#: Letters and digits in any version of Unicode; what is not listed is just not cut.
+_SAFE = r"[0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}\x{400}-\x{481}]"
+#: Signs other than an apostrophe, which may begin a chunk of letters.
+_SIGN = r"[!-&(-/:-@\[-`{-~]"
+#: Stands before a part of a text that no space precedes.
+APART = "\0"
+#: Places inside a word where a chunk always ends: a sign or a line end after a letter or digit, and a letter or digit after a
+#: sign or after a line end that no other white space precedes.
+_ENDS = ((rf"({_SAFE})(\n|{_SIGN})", rf"\1 {APART}\2"), (rf"({_SIGN}\n?|{APART}\n)({_SAFE})", rf"\1 {APART}\2"))
 #: Bytes of text, about, whose words are numbered together.
-PORTION = 1 << 22
+PORTION = 1 << 23
+
+
+class KnownWords:
+    """Ids of words, as Arrow arrays, which take a small part of what a dict of strings would. `compute` gives those of a new
+    word. When more than `limit` words or `most` bytes are held, the short ones met last stay, at most half of `limit`."""
+
+    def __init__(self, compute: Callable[[str], list[int]], limit: int, most: int = 1 << 26):
+        self.compute, self.limit, self.most, self.rounds = compute, limit, most, 0
+        self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.list_(pa.uint32()))
+        self.met = np.empty(0, np.int32)  # the last round that asked for the word
+
+    def many(self, words: pa.StringArray) -> pa.ListArray:
+        """The ids of each of these words, which are distinct."""
+        found = pc.index_in(words, value_set=self.words)
+        absent = found.is_null()
+        new = words.filter(absent)
+        places = found.fill_null(0).to_numpy().copy()
+        places[absent.to_numpy(zero_copy_only=False)] = np.arange(len(self.words), len(self.words) + len(new))
+        self.words = pa.concat_arrays([self.words, new])
+        self.ids = pa.concat_arrays([self.ids, self._computed(new)])
+        self.rounds += 1
+        self.met = np.concatenate([self.met, np.empty(len(new), np.int32)])
+        self.met[places] = self.rounds
+        out = self.ids.take(pa.array(places))
+        if len(self.words) > self.limit or self.words.nbytes + self.ids.nbytes > self.most:
+            self._forget()
+        return out
+
+    def _computed(self, words: pa.StringArray) -> pa.ListArray:
+        ids, ends = array("I"), [0]
+        for word in words.to_numpy(zero_copy_only=False).tolist():
+            ids.extend(self.compute(word))
+            ends.append(len(ids))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(ids, np.uint32)))
+
+    def _forget(self) -> None:
+        short = np.flatnonzero(pc.binary_length(self.words).to_numpy() <= 64)
+        last = np.argsort(-self.met[short], kind="stable")[: self.limit // 2]  # of one round, the ones known longer
+        kept = np.sort(short[last])
+        self.words, self.ids, self.met = self.words.take(pa.array(kept)), self.ids.take(pa.array(kept)), self.met[kept]
 
 
 class ByteLevelEncoder:
@@ -32,60 +81,62 @@ class ByteLevelEncoder:
 
     The library splits a text into chunks and merges each chunk alone. A space that touches a character other
     than white space always starts a chunk, so texts are cut there first. The pieces of many texts are numbered, so that
-    each is looked up once, and its ids are remembered; a new piece is cut into chunks by the tokenizer's pattern, and a
-    new chunk goes to the library's model. Texts with longer white space at a space, or with an added token, go to the
-    library whole. The ids are those of `Tokenizer.encode(text, add_special_tokens=False)`.
+    each is met once, cut again where letters and signs meet, and numbered again; the ids of these words are remembered. A
+    new word is cut into chunks by the tokenizer's pattern, and a new chunk goes to the library's model. Texts with longer
+    white space at a space, or with an added token, go to the library whole. The ids are those of
+    `Tokenizer.encode(text, add_special_tokens=False)`.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, remembered: int = 600_000):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.merged = self.tokenizer.model.tokenize
         self.chunks = regex.compile(pattern).findall
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = byte_letters()
-        self.packed = [n.to_bytes(4, "little") for n in range(self.tokenizer.get_vocab_size())]
+        self.space = self.letters[0x20]
         self.of_chunk = Remembered(self._chunk, 50_000).__getitem__
-        self.words = Remembered(self._word, 700_000)
+        self.words = KnownWords(self._word, remembered)
 
-    def _chunk(self, chunk: str) -> bytes:
+    def _chunk(self, chunk: str) -> list[int]:
         if chunk.isascii() and chunk.isprintable():  # only the space is spelled otherwise
-            spelled = chunk.replace(" ", self.letters[0x20])
+            spelled = chunk.replace(" ", self.space)
         else:
             spelled = "".join(map(self.letters.__getitem__, chunk.encode("utf-8")))
-        return b"".join([self.packed[t.id] for t in self.model.tokenize(spelled)])
+        return [t.id for t in self.merged(spelled)]
 
-    def _piece(self, piece: str) -> bytes:
-        return b"".join(map(self.of_chunk, self.chunks(piece)))
-
-    def _word(self, word: str) -> bytes:
-        """A word with the space before it. Letters are one chunk, and a sign after them is another."""
+    def _word(self, word: str) -> list[int]:
+        """A word with the space before it, if it had one. Letters are one chunk."""
         if word.isalpha():
-            return self._chunk(" " + word)
-        if word[-1:] in _SIGNS and word[:-1].isalpha():
-            return self.words[word[:-1]] + self.of_chunk(word[-1])
-        return self._piece(" " + word)
+            return [t.id for t in self.merged(self.space + word)] if word.isascii() else self._chunk(" " + word)
+        chunks = self.chunks(word[1:] if word[:1] == APART else " " + word)
+        return [n for chunk in chunks for n in self.of_chunk(chunk)]
+
+    def _pieces(self, pieces: pa.StringArray) -> pa.ListArray:
+        """The ids of each piece."""
+        for end, cut in _ENDS:
+            pieces = pc.replace_substring_regex(pieces, end, cut)
+        words = pc.split_pattern(pieces, " ")
+        numbered = words.values.dictionary_encode()
+        ids = self.words.many(numbered.dictionary).take(numbered.indices)
+        return pa.ListArray.from_arrays(ids.offsets.take(words.offsets), ids.values)
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one text after the other, and how many each has."""
-        whole = reduce(pc.or_, [pc.match_substring(texts, t) for t in self.added], pc.match_substring_regex(texts, _ODD))
-        cut = pc.split_pattern(pc.if_else(whole, "", texts), " ")
-        first = cut.offsets.to_numpy()[:-1]  # what stands before the first space, or a whole text, is one of a kind
+        whole = reduce(pc.or_, [pc.match_substring(texts, t) for t in (*self.added, APART)], pc.match_substring_regex(texts, _ODD))
+        cut = pc.split_pattern(pc.binary_join_element_wise(APART, pc.if_else(whole, "", texts), ""), " ")
         numbered = cut.values.dictionary_encode()
-        table = self.words.many(numbered.dictionary.to_numpy(zero_copy_only=False).tolist())
-        numbers = numbered.indices.to_numpy().copy()
-        numbers[first] = np.arange(len(table), len(table) + len(texts))
-        table += map(self._piece, cut.values.take(pa.array(first)).to_pylist())
-        for k in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
-            ids = self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids
-            table[k - len(texts)] = np.array(ids, "<u4").tobytes()
-        sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        starts, sizes = (np.cumsum(sizes) - sizes)[numbers], sizes[numbers]
-        places = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-        places += np.arange(len(places))
-        return np.frombuffer(b"".join(table), "<u4")[places], np.add.reduceat(sizes, first) if len(first) else sizes
+        table, numbers = self._pieces(numbered.dictionary), numbered.indices.to_numpy().copy()
+        alone = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        if len(alone):
+            lists = [self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids for k in alone.tolist()]
+            numbers[cut.offsets.to_numpy()[alone]] = np.arange(len(table), len(table) + len(alone))
+            table = pa.concat_arrays([table, pa.array(lists, table.type)])
+        ids = table.take(pa.array(numbers))
+        ends = ids.offsets.to_numpy()[cut.offsets.to_numpy()]
+        return ids.values.to_numpy(), np.diff(ends)
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -106,6 +157,24 @@ def encoder(path: str, pattern: str) -> ByteLevelEncoder:
     return ByteLevelEncoder(path, pattern)
 
 
+def portions(parts: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
+    """All rows (doc_id, text) in order, in lists of at most `most` bytes of text, one longer text aside."""
+    held, room = [], most
+    for part in parts:
+        places = np.cumsum(pc.binary_length(part.column(1)).to_numpy()) // most
+        cuts = [0, *(np.flatnonzero(np.diff(places)) + 1).tolist(), part.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            piece = part.slice(a, b - a)
+            size = pc.sum(pc.binary_length(piece.column(1))).as_py() or 0
+            if held and size > room:
+                yield held
+                held, room = [], most
+            held.append(piece)
+            room -= size
+    if held:
+        yield held
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, pattern: str, end_id: int) -> None:
     """Write the ids of all `docs` (doc_id, text), each followed by `end_id`, in ascending doc_id order.
 
@@ -120,15 +189,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, pattern: str,
         encode = encoder(tokenizer, pattern).encode
 
         def documents():
-            for part in parts:
-                names, texts = part.column(0).to_pylist(), part.column(1)
-                places = np.cumsum(pc.binary_length(texts).to_numpy()) // PORTION
-                cuts = [0, *(np.flatnonzero(np.diff(places)) + 1).tolist(), len(names)]
-                for a, b in zip(cuts, cuts[1:]):
-                    ids, sizes = encode(texts[a:b])
-                    ends = np.cumsum(sizes)
-                    ids = np.insert(ids, ends, end_id)
-                    yield from zip(names[a:b], np.split(ids, ends[:-1] + np.arange(1, len(ends))))
+            for portion in portions(parts, PORTION):
+                names = [doc_id for piece in portion for doc_id in piece.column(0).to_pylist()]
+                ids, sizes = encode(pa.concat_arrays([piece.column(1) for piece in portion]))
+                ends = np.cumsum(sizes)
+                ids = np.insert(ids, ends, end_id)
+                yield from zip(names, np.split(ids, ends[:-1] + np.arange(1, len(ends))))
 
         def packed():
             names, held, size = [], [], 0

@@ -15,6 +15,7 @@ from parleystat.llm.common import Remembered, scratch, table
 from tests.llm import cases
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+LIBRARY = Tokenizer.from_file(PATH)
 
 
 @settings(max_examples=60, deadline=None)
@@ -78,6 +79,52 @@ def test_a_full_cache_gives_the_same():
         assert len(cache) <= 5 + len(keys) and len(cache.older) <= 25
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="aZs9é.,;-'\"$\n\t \x00Жﬁ٣", max_size=30), max_size=6))
+def test_words_cut_at_signs_equal_the_library(texts):
+    ids, sizes = token_files.encoder(PATH, public_tokenizers.PATTERN).encode(pa.array(texts, pa.string()))
+    want = [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes))[: len(texts)]] == want
+
+
+def test_a_word_is_merged_once_whatever_sign_follows():
+    coder = token_files.ByteLevelEncoder(PATH, public_tokenizers.PATTERN)
+    met, find = [], coder.words.compute
+    coder.words.compute = lambda word: met.append(word) or find(word)
+    stems, signs = [a + b for a in "abcdef" for b in "uvwxyz"], [",", ".", ";", ":", "!", "?", ")", "-", ".\n", "\n"]
+    coder.encode(pa.array([f"x {w}{s}{w} {w}{s}" for w in stems for s in signs], pa.string()))
+    assert len(met) == len(set(met)) <= 2 * len(stems) + len(signs) + 1  # x, and each word with a space before it and without
+
+
+def test_known_words_are_bounded_and_right_after_words_are_forgotten():
+    known = token_files.KnownWords(lambda word: list(word.encode()), 10, 500)
+    for words in (["a", "b"], [], [f"w{k}" for k in range(40)], ["a", "w3"], ["y" * 1000, "é"], ["y" * 1000, "z", ""], ["a", "é"]):
+        got = known.many(pa.array(words, pa.string()))
+        assert got.to_pylist() == [list(w.encode()) for w in words]
+        assert len(known.words) == len(known.ids) == len(known.met) <= 10
+        assert known.words.nbytes + known.ids.nbytes <= 500
+
+
+def test_words_met_last_stay_known():
+    asked = []
+    known = token_files.KnownWords(lambda word: asked.append(word) or [1], 10)
+    for words in (["often", "a"], *([f"{k}", "often"] for k in range(30))):
+        known.many(pa.array(words))
+    assert asked.count("often") == 1 and len(known.words) <= 10
+
+
+def test_portions_keep_all_rows_in_order():
+    texts = ["", "a" * 5, "b" * 40, "c", "d" * 9, "", "e" * 9, "f" * 25, "g"]
+    batches = [pa.record_batch({"d": list(range(a, b)), "t": texts[a:b]}) for a, b in ((0, 4), (4, 4), (4, 7), (7, 9))]
+    batches[1] = batches[0].slice(0, 0)
+    for most in (1, 7, 10, 30, 1000):
+        got = list(token_files.portions(iter(batches), most))
+        assert [d for portion in got for piece in portion for d in piece.column(0).to_pylist()] == list(range(9))
+        sizes = [[len(t) for piece in portion for t in piece.column(1).to_pylist()] for portion in got]
+        assert all(sum(x) - max(x, default=0) < most for x in sizes)
+        assert len(got) == 1 or most < 1000
+
+
 def brute(rows):
     library = Tokenizer.from_file(PATH)
     out, start = [], 0
